@@ -27,17 +27,24 @@ def type_mix(
     columns: Sequence[str] | None = None,
     sample_rows: int | None = TYPE_SAMPLE,
 ) -> DataFrame:
-    """Columns whose values are not all of the class that the first value has.
+    """Text columns whose values are not all of the class that the first value has.
 
-    Blank and null values have no class. `sample_rows=None` looks at every row. The first
+    The classes are numbers, boolean words and other text; blank and null values have none.
+    Other columns have a declared type. `sample_rows=None` looks at every row. The first
     class comes from an aggregate over the key, not from a sort.
     """
-    columns = list(columns or df.columns)
+    columns = [c for c in (columns or df.columns) if V.is_text(df.schema[c].dataType)]
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [], "column string, ord int, expected_class string, differing bigint"
+        )
     rows = df if sample_rows is None else first_rows(df, key, sample_rows)
     ordered = F.struct(*key)
     aggregates = []
-    classes = {c: V.value_class(F.col(c), df.schema[c].dataType) for c in columns}
-    known = {c: F.when(k != "null", k) for c, k in classes.items()}
+    known = {}
+    for c in columns:
+        kind = V.value_class(F.col(c), df.schema[c].dataType)
+        known[c] = F.when(V.is_number_text(F.col(c)), F.lit("numeric")).when(kind != "null", kind)
     for i, c in enumerate(columns):
         aggregates.append(F.min_by(known[c], F.when(known[c].isNotNull(), ordered)).alias(f"first_{i}"))
         for kind in ("boolean", "numeric", "string"):
@@ -167,8 +174,8 @@ def issues(
         F.lit("warning").alias("severity"),
         F.lit("type_mix").alias("check"),
         "column",
-        F.explode(F.sequence(F.lit(1), F.col("differing"))).cast("double").alias("value"),
-    )
+        F.explode(F.sequence(F.lit(1), F.col("differing"))).alias("n"),
+    ).drop("n")
     out = extreme.unionByName(mixed, allowMissingColumns=True)
     empty = df.agg(F.count(F.lit(1)).alias("rows")).where("rows = 0").select(
         F.lit("critical").alias("severity"), F.lit("empty_dataset").alias("check")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["noise"]
+MODULES = ["noise", "profiling", "checks"]
 
 
 def load():

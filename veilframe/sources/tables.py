@@ -6,10 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DELIMITERS = [",", ";", "\t", "|"]
-CORRUPT = "__record"
 
 
 def read_delimited(
@@ -81,18 +79,12 @@ def detect_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] =
 def structure_issues(spark: SparkSession, path: str, columns: Sequence[str], sep: str) -> DataFrame:
     """One row per broken rule of a ragged line: (severity, check, row_key, found).
 
-    `row_key` is the raw line. Blank lines are skipped, as the reader skips them.
+    `row_key` is the raw line. The reader itself would fill a short line and cut a long one,
+    so the lines are counted as text; blank lines and headers are skipped, as it skips them.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    schema = schema.add(T.StructField(CORRUPT, T.StringType()))
-    rows = (
-        spark.read.schema(schema)
-        .csv(path, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
-        # naming a data column makes the parser read the fields, which sets the record column
-        .select(CORRUPT, F.col(columns[0]).alias("first"))
-        .where(F.col(CORRUPT).isNotNull())
-    )
-    found, expected = _fields(F.col(CORRUPT), sep), len(columns)
+    header = F.replace("value", F.lit('"'), F.lit("")) == sep.join(columns)
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~header)
+    found, expected = _fields(F.col("value"), sep), len(columns)
     rules = [
         (found != expected, "error", "column_count"),
         (found < expected, "error", "missing_columns"),
@@ -102,6 +94,6 @@ def structure_issues(spark: SparkSession, path: str, columns: Sequence[str], sep
         F.when(rule, F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check")))
         for rule, severity, check in rules
     ]))
-    return rows.select(F.col(CORRUPT).alias("row_key"), found.alias("found"), F.inline(broken)).select(
+    return rows.select(F.col("value").alias("row_key"), found.alias("found"), F.inline(broken)).select(
         "severity", "check", "row_key", "found"
     )
