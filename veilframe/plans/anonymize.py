@@ -74,6 +74,7 @@ class AnonymizationPlan:
     column_budget: float
     ledger_rows: tuple[tuple, ...]
     keep_unreadable: bool = False
+    overridden: bool = False
 
     @property
     def numeric_columns(self) -> list[str]:
@@ -268,7 +269,7 @@ def fit(
         plans.append(ColumnPlan(c, i, chosen[c], fills[c], released))
     return AnonymizationPlan(
         tuple(plans), key, noise, rows, budget["total_epsilon"], budget["preprocessing_epsilon"],
-        budget["column_budget"], tuple(ledger_rows), keep_unreadable,
+        budget["column_budget"], tuple(ledger_rows), keep_unreadable, bool(overrides),
     )
 
 
@@ -419,7 +420,7 @@ def audit(
         budget.select("used_epsilon", "remaining_epsilon", "utilization"),
         totals,
         risk.select("rows", "overall_risk", "linkage_label"),
-    ).withColumn("detection_mode", F.lit("heuristic"))
+    ).withColumn("detection_mode", F.lit("override" if plan.overridden else "heuristic"))
     return Audit(plan.ledger(spark), budget, utility, totals, risk, summary)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["noise", "profiling", "checks"]
+MODULES = ["noise", "profiling", "checks", "policies", "metrics"]
 
 
 def load():
