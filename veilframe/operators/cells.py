@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from veilframe.functions import values as V
 
 
-def unpivot_text(df: DataFrame, columns: Sequence[str], value: str = "value") -> DataFrame:
-    """(column, value) with every value as text."""
-    narrow = df.select([F.col(c).cast("string").alias(c) for c in columns])
-    return narrow.unpivot([], list(columns), "column", value)
+def unpivot_text(df: DataFrame, columns: Sequence[str], value: str = "value", trim: bool = False) -> DataFrame:
+    """(column, value) with every value as text; trimmed, a blank text is NULL."""
+    texts = []
+    for c in columns:
+        text = F.col(c).cast("string")
+        if trim and V.is_text(df.schema[c].dataType):
+            text = F.nullif(F.trim(text), F.lit(""))
+        texts.append(text.alias(c))
+    return df.select(texts).unpivot([], list(columns), "column", value)
 
 
 def unpivot_numbers(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -29,9 +34,10 @@ def unpivot_numbers(df: DataFrame, columns: Sequence[str], ids: Sequence[str] =
     return narrow.unpivot(list(ids), list(columns), "column", "value")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], trim: bool = False) -> DataFrame:
     """(column, value, n): how often each text occurs in each column; NULL is a value."""
-    return unpivot_text(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = unpivot_text(df, columns, trim=trim)
+    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_position(columns: Sequence[str]) -> Column:
@@ -53,12 +59,9 @@ def stack_rows(df: DataFrame, names: Sequence[str], fields: dict[str, dict[str,
 
     `fields` maps an output field to the aggregate column that holds it for each name.
     """
-    rows = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.lit(i).alias("ord"),
-            *[F.col(source[name]).alias(field) for field, source in fields.items()],
-        )
-        for i, name in enumerate(names)
-    ]
-    return df.select(F.inline(F.array(*rows)))
+    rows = []
+    for i, name in enumerate(names):
+        text = name.replace("\\", "\\\\").replace("'", "\\'")
+        parts = "".join(f", '{field}', `{source[name]}`" for field, source in fields.items())
+        rows.append(f"named_struct('column', '{text}', 'ord', {i}{parts})")
+    return df.selectExpr(f"inline(array({', '.join(rows)}))")

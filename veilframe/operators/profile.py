@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import values as V
-from veilframe.operators.cells import column_position, unpivot_text, value_counts
+from veilframe.operators.cells import column_position, stack_rows, value_counts
 
 SEMANTIC_TYPES = ["age", "year", "monetary", "numeric", "count", "boolean", "id", "string"]
 NUMERIC_TYPES = ["age", "year", "monetary", "numeric", "count"]
@@ -53,36 +53,7 @@ def profile(
         if not key:
             raise ValueError("sample_rows needs a key that orders the rows")
         df = first_rows(df, key, sample_rows)
-    if distinct == "exact":
-        cells = value_counts(df, columns)
-    else:
-        cells = unpivot_text(df, columns).withColumn("n", F.lit(1).cast("bigint"))
-    text = F.trim("value")
-    cells = cells.select("column", F.when(text != "", text).alias("value"), "n")
-    cells = cells.withColumn("class", _class_of_text(df, columns))
-    cells = cells.withColumn("number", F.when(F.col("class") == "numeric", _number("value")))
-
-    def rows(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    def unique(c: Column) -> Column:
-        return F.count_distinct(c) if distinct == "exact" else F.approx_count_distinct(c)
-
-    present = F.col("value").isNotNull()
-    number = F.col("number")
-    grouped = cells.groupBy("column").agg(
-        rows(present).alias("total_count"),
-        rows(F.col("class") == "numeric").alias("n_numeric"),
-        rows(F.col("class") == "boolean").alias("n_boolean"),
-        rows(F.col("class") == "string").alias("n_string"),
-        F.min(number).alias("num_min"),
-        F.max(number).alias("num_max"),
-        F.sum(number * F.col("n")).alias("num_sum"),
-        F.bool_and(number == F.floor(number)).alias("is_integer"),
-        unique(number).alias("num_unique"),
-        unique(F.col("value")).alias("unique_count"),
-        F.sum(F.when(F.col("class") == "string", F.char_length("value") * F.col("n"))).alias("sum_length"),
-    )
+    grouped = _exact_groups(df, columns) if distinct == "exact" else _estimated_groups(df, columns)
     total = F.col("total_count")
     return grouped.select(
         "column",
@@ -104,6 +75,75 @@ def profile(
     )
 
 
+def _exact_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Statistics from the distinct values of each column, so that each is parsed once.
+
+    In a typed column every number has one text; only in a text column may several texts
+    be the same number, so only those are counted distinct.
+    """
+    cells = value_counts(df, columns, trim=True)
+    cells = cells.withColumn("class", _class_of_text(df, columns))
+    cells = cells.withColumn("number", F.when(F.col("class") == "numeric", _number("value")))
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    number, kind = F.col("number"), F.col("class")
+    texts = [c for c in columns if V.is_text(df.schema[c].dataType)]
+    from_text = F.col("column").isin(texts) if texts else F.lit(False)
+    return cells.groupBy("column").agg(
+        rows(F.col("value").isNotNull()).alias("total_count"),
+        rows(kind == "numeric").alias("n_numeric"),
+        rows(kind == "boolean").alias("n_boolean"),
+        rows(kind == "string").alias("n_string"),
+        F.min(number).alias("num_min"),
+        F.max(number).alias("num_max"),
+        F.sum(number * F.col("n")).alias("num_sum"),
+        F.bool_and(number == F.floor(number)).alias("is_integer"),
+        (F.count(F.when(~from_text, number)) + F.count_distinct(F.when(from_text, number))).alias("num_unique"),
+        F.count("value").alias("unique_count"),
+        F.sum(F.when(kind == "string", F.char_length("value") * F.col("n"))).alias("sum_length"),
+    )
+
+
+def _estimated_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same statistics from two wide aggregates over typed columns: no value is shuffled.
+
+    The sketches of the distinct counts are kept apart from the plain aggregates, which
+    otherwise could not be compiled.
+    """
+    typed = []
+    for i, c in enumerate(columns):
+        dtype = df.schema[c].dataType
+        kind = V.value_class(F.col(c), dtype)
+        typed += [kind.alias(f"class_{i}"), V.to_number(F.col(c), dtype).alias(f"raw_{i}")]
+        typed.append((F.trim(F.col(c)) if V.is_text(dtype) else F.col(c)).alias(f"value_{i}"))
+    base = df.select(*typed)
+    plain = {
+        "total_count": "count(class_{i})",
+        "n_numeric": "count_if(class_{i} = 'numeric')",
+        "n_boolean": "count_if(class_{i} = 'boolean')",
+        "n_string": "count_if(class_{i} = 'string')",
+        "num_min": "min(case when class_{i} = 'numeric' then raw_{i} end)",
+        "num_max": "max(case when class_{i} = 'numeric' then raw_{i} end)",
+        "num_sum": "sum(case when class_{i} = 'numeric' then raw_{i} end)",
+        "is_integer": "bool_and(case when class_{i} = 'numeric' then raw_{i} = floor(raw_{i}) end)",
+        "sum_length": "sum(case when class_{i} = 'string' then char_length(cast(value_{i} as string)) end)",
+    }
+    sketches = {
+        "num_unique": "approx_count_distinct(case when class_{i} = 'numeric' then raw_{i} end)",
+        "unique_count": "approx_count_distinct(case when class_{i} is not null then value_{i} end)",
+    }
+    long = []
+    for measures in (plain, sketches):
+        wide = base.agg(*[
+            F.expr(e.format(i=i)).alias(f"{name}_{i}") for i in range(len(columns)) for name, e in measures.items()
+        ])
+        fields = {name: {c: f"{name}_{i}" for i, c in enumerate(columns)} for name in measures}
+        long.append(stack_rows(wide, columns, fields).drop("ord"))
+    return long[0].join(long[1], "column")
+
+
 def _share(part: str, total: Column) -> Column:
     return F.coalesce(F.try_divide(F.col(part).cast("double"), total.cast("double")), F.lit(0.0))
 
@@ -215,19 +255,19 @@ class ColumnProfile:
 
 def collect_profiles(
     df: DataFrame,
-    profiles: DataFrame,
+    profiles: DataFrame | None,
     overrides: Mapping[str, str] | None = None,
 ) -> dict[str, ColumnProfile]:
     """Bring a typed profile to the driver and fetch the categories of low-cardinality columns.
 
     `df` is the table (or sample) the profile was taken from. A column's categories are read
-    only if the profile counted at most `MAX_CATEGORIES` of them.
+    only if the profile counted few of them.
     """
     overrides = dict(overrides or {})
     unknown = set(overrides.values()) - set(SEMANTIC_TYPES)
     if unknown:
         raise ValueError(f"unknown semantic types in overrides: {sorted(unknown)}")
-    rows = {r["column"]: r for r in profiles.collect()}
+    rows = {} if profiles is None else {r["column"]: r for r in profiles.collect()}
     types = {c: overrides.get(c, r["semantic_type"]) for c, r in rows.items()}
     # an approximate count may be off by a few percent, hence the margin; the set is exact
     small = [
@@ -236,16 +276,16 @@ def collect_profiles(
     ]
     categories: dict[str, tuple[str, ...]] = {}
     if small:
-        texts = value_counts(df, small).select("column", F.trim("value").alias("value"))
         found = (
-            texts.where(F.col("value") != "")
+            value_counts(df, small, trim=True)
+            .where("value IS NOT NULL")
             .groupBy("column")
             .agg(F.sort_array(F.collect_set("value")).alias("values"))
         )
         categories = {r["column"]: tuple(r["values"]) for r in found.collect()}
     out = {}
     for c in df.columns:
-        if c not in rows:  # an empty table has no profile rows
+        if c not in rows:  # not profiled, or an empty table
             out[c] = ColumnProfile(c, overrides.get(c, "string"), 0)
             continue
         r = rows[c]

@@ -7,6 +7,7 @@ without a shuffle, an action or a Python function, so it serves batches and stre
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -119,10 +120,10 @@ class AnonymizationPlan:
         filled = T.DoubleType() if p.imputation.number is not None else dtype
         if p.released == "kept":
             return value
-        draws = [F.col(_draw(p.ord, s)) for s in range(p.streams)]
-        out = M.apply(p.mechanism, value, filled, draws)
         if p.released == "null":
             return F.lit(None).cast(out_type(p, dtype))
+        draws = [F.col(_draw(p.ord, s)) for s in range(p.streams)]
+        out = M.apply(p.mechanism, value, filled, draws)
         if self.keep_unreadable and p.semantic_type == "boolean" and V.is_text(dtype):
             return F.coalesce(out.cast("string"), value)
         return out
@@ -209,14 +210,18 @@ def fit(
     rows = df.count()
     budget = _budget(spark, rows, epsilon, purpose, global_epsilon, adjust_small)
     sample = df if sample_rows is None else first_rows(df, key, sample_rows)
-    typed = infer_types(profile(sample, names, distinct=distinct))
+    # an identifier is hashed whatever it holds
+    profiled = [c for c in names if (overrides or {}).get(c) != "id"]
+    typed = infer_types(profile(sample, profiled, distinct=distinct)) if profiled else None
     profiles = collect_profiles(sample, typed, overrides)
     types = {c: p.semantic_type for c, p in profiles.items()}
 
     if impute == "none":
         fills = {c: Imputation(c, "none", 0) for c in names}
     else:
-        fills = fit_imputation(df, types, key, budget["preprocessing_epsilon"], noise, names, impute)
+        filled = [c for c in names if c not in exclude]
+        fills = {c: Imputation(c, "none", 0) for c in names}
+        fills.update(fit_imputation(df, types, key, budget["preprocessing_epsilon"], noise, filled, impute))
     settings = _settings(spark, names, types, policy, budget["column_budget"])
 
     chosen: dict[str, M.Mechanism] = {}
@@ -314,13 +319,14 @@ def _budget(spark, rows, epsilon, purpose, global_epsilon, adjust_small) -> dict
 def _settings(spark, names, types, policy, column_budget) -> dict[str, dict]:
     schema = "dataset string, column string, ord int, semantic_type string"
     columns = spark.createDataFrame([(DATASET, c, i, types[c]) for i, c in enumerate(names)], schema)
-    settled = P.column_policy(columns, policy)
+    settled = {r["column"]: r.asDict() for r in P.column_policy(columns, policy).collect()}
     if policy is None:
-        # what is left after the reserve is split, so that the last column still fits; rounded
-        # down to the ledger's nine digits
-        totals = spark.createDataFrame([(DATASET, float(column_budget))], "dataset string, total_epsilon double")
-        settled = P.auto_assign(settled, totals).withColumn("epsilon", F.floor(F.col("epsilon") * 1e9) / 1e9)
-    return {r["column"]: r.asDict() for r in settled.collect()}
+        # an equal share of what is left after the reserve, so that the last column still fits,
+        # rounded down to the ledger's nine digits
+        share = math.floor(column_budget / len(names) * 1e9) / 1e9
+        for c in names:
+            settled[c]["epsilon"] = share
+    return settled
 
 
 def _charge(spark, entries, column_budget) -> list:

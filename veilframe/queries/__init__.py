@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["noise", "profiling", "checks", "policies", "metrics"]
+MODULES = ["noise", "profiling", "checks", "policies", "metrics", "release"]
 
 
 def load():

@@ -9,7 +9,7 @@ from veilframe.functions import noise as N
 from veilframe.functions.rng import KeyedNoise, hashed_row_key
 from veilframe.operators import risk as R
 from veilframe.operators import utility as U
-from veilframe.queries.base import SECRET, categorical_rr_sql, keyed, laplace_sql, query, r, rounded, table, u_sql
+from veilframe.queries.base import SECRET, categorical_rr_sql, keyed, laplace_sql, query, r, rounded, spread, table, u_sql
 
 # --- paired tables ----------------------------------------------------------------------
 
@@ -63,7 +63,7 @@ LINE_SQL = "select k, " + ", ".join(_LINE_SCALES) + ", " + ", ".join(
 
 def paired_lines(spark, sf_dir):
     """Line items before and after, keyed by the whole row."""
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"))
     draws = KeyedNoise(SECRET, "k")
     noisy = [
         N.laplace(F.col(c), F.col(f"u_{c}"), s, e).alias(c + U.NOISY) for c, (s, e) in _LINE_SCALES.items()
