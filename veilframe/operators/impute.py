@@ -32,12 +32,17 @@ class Imputation:
 
 
 def numeric_imputation(
-    df: DataFrame, columns: Sequence[str], epsilon: float, noise: KeyedNoise | TaskNoise
+    df: DataFrame,
+    columns: Sequence[str],
+    epsilon: float,
+    noise: KeyedNoise | TaskNoise,
+    small: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per column: method, missing cells and the value to put there.
 
     Fewer than ten values give their exact median, more give the mean with Laplace noise of
-    scale max(range / n, 0.1) / epsilon. The true mean is not part of the result.
+    scale max(range / n, 0.1) / epsilon. The true mean is not part of the result. `small`
+    names the columns known to have so few; by default every column is looked at for it.
     """
     if not epsilon > 0:
         raise ValueError(f"epsilon must be positive, got {epsilon}")
@@ -57,7 +62,11 @@ def numeric_imputation(
     wide = df.agg(*aggregates)
     fields = {f: {c: f"{f}_{i}" for i, c in enumerate(columns)} for f in ("n", "missing", "mean")}
     stats = stack_rows(wide, columns, fields)
-    medians = _small_medians(df, columns, numbers)
+    small = list(columns if small is None else small)
+    if small:
+        stats = stats.join(_small_medians(df, small, numbers), "column", "left")
+    else:
+        stats = stats.withColumn("median", F.lit(None).cast("double"))
     n, missing = F.col("n"), F.col("missing")
     method = (
         F.when(missing == 0, F.lit("none")).when(n == 0, F.lit("zero_fallback"))
@@ -69,8 +78,7 @@ def numeric_imputation(
         .when(F.col("method") == "zero_fallback", F.lit(0.0))
     )
     return (
-        stats.join(medians, "column", "left")
-        .withColumn("method", method)
+        stats.withColumn("method", method)
         .select(
             "column",
             "ord",
@@ -97,26 +105,37 @@ def _small_medians(df: DataFrame, columns: Sequence[str], numbers: Mapping[str,
 def mode_imputation(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
     """One row per column: missing cells and the most frequent value, ties to the one whose
     first row comes first in `key` order."""
-    order = F.struct(*key).alias("order")
+    slots = [f"v_{i}" for i in range(len(columns))]
     present = [
-        F.when(~V.is_missing(F.col(c), df.schema[c].dataType), F.col(c).cast("string")).alias(f"v_{i}")
-        for i, c in enumerate(columns)
+        F.when(~V.is_missing(F.col(c), df.schema[c].dataType), F.col(c).cast("string")).alias(slot)
+        for c, slot in zip(columns, slots)
     ]
-    keyed = df.select(order, *present)
-    cells = keyed.unpivot(["order"], [f"v_{i}" for i in range(len(columns))], "slot", "value")
-    counted = cells.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
-    names = F.array(*[F.lit(c) for c in columns])
-    ord_ = F.substring_index("slot", "_", -1).cast("int")
+    order = F.col(key[0]) if len(key) == 1 else F.struct(*key)
+    cells = df.select(order.alias("order"), *present).unpivot(["order"], slots, "slot", "value")
+    # a minimum of plain numbers is kept by a hash aggregate; of anything else it would sort
+    # every cell, so there the first rows are looked up later, for tied values only
+    cheap = len(key) == 1 and V.is_number(df.schema[key[0]].dataType)
+    first = [F.min("order").alias("first")] if cheap else []
+    counted = cells.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"), *first)
     per_column = counted.groupBy("slot").agg(
         F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("mode_frequency"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
         F.count("value").alias("unique_values"),
     )
-    # only the values that share the highest count are compared by their first row
-    ties = counted.where("value IS NOT NULL").join(
-        per_column.where("missing_count > 0").select("slot", F.col("mode_frequency").alias("n")), ["slot", "n"]
-    )
-    modes = ties.groupBy("slot").agg(F.min_by("value", "first").alias("mode"))
+    wanted = per_column.where("missing_count > 0").select("slot", F.col("mode_frequency").alias("n"))
+    ties = counted.where("value IS NOT NULL").join(F.broadcast(wanted), ["slot", "n"])  # a row per column
+    if cheap:
+        modes = ties.groupBy("slot").agg(F.min_by("value", "first").alias("mode"))
+    else:
+        tied = ties.groupBy("slot").agg(F.count(F.lit(1)).alias("tied"), F.max("value").alias("only"))
+        several = ties.join(F.broadcast(tied.where("tied > 1").select("slot")), "slot", "left_semi")
+        earliest = (
+            cells.join(several, ["slot", "value"], "left_semi")
+            .groupBy("slot").agg(F.min_by("value", "order").alias("earliest"))
+        )
+        modes = tied.join(earliest, "slot", "left").select("slot", F.coalesce("earliest", "only").alias("mode"))
+    names = F.array(*[F.lit(c) for c in columns])
+    ord_ = F.substring_index("slot", "_", -1).cast("int")
     missing = F.col("missing_count")
     method = (
         F.when(missing == 0, F.lit("none")).when(F.col("unique_values") == 0, F.lit("unknown_fallback"))
@@ -160,7 +179,7 @@ def fit_imputation(
         texts = [c for c in columns if types[c] in ("string", "boolean")]
     out = {c: Imputation(c, "none", 0) for c in columns}
     # the counts come first and are cheap; the statistics are read only for columns with gaps
-    gaps = df.agg(*[
+    gaps = df.agg(F.count(F.lit(1)).alias("__rows"), *[
         F.count_if(
             V.to_number(F.col(c), df.schema[c].dataType).isNull() if c in numeric
             else V.is_missing(F.col(c), df.schema[c].dataType)
@@ -170,7 +189,8 @@ def fit_imputation(
     numeric = [c for c in numeric if gaps[c]]
     texts = [c for c in texts if gaps[c]]
     if numeric:
-        for r in numeric_imputation(df, numeric, epsilon / len(columns), noise).collect():
+        small = [c for c in numeric if gaps["__rows"] - gaps[c] < MEDIAN_BELOW]
+        for r in numeric_imputation(df, numeric, epsilon / len(columns), noise, small).collect():
             out[r["column"]] = Imputation(
                 r["column"], r["method"], r["missing_count"], r["number"], None, r["epsilon_used"]
             )

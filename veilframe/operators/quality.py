@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +71,19 @@ def extreme_values(
     return unpivot_numbers(keyed, wanted, ["row_key"]).where(F.abs("value") > limit)
 
 
-def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One wide row: `rows` and the missing cells of each column as `missing_<position>`."""
+def missing_counts(
+    df: DataFrame, columns: Sequence[str] | None = None, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """One wide row: `rows` and the missing cells of each column as `missing_<position>`.
+
+    `extra` aggregates share the pass.
+    """
     columns = list(columns or df.columns)
     counts = [
         F.count_if(V.is_missing(F.col(c), df.schema[c].dataType)).alias(f"missing_{i}")
         for i, c in enumerate(columns)
     ]
-    return df.agg(F.count(F.lit(1)).alias("rows"), *counts)
+    return df.agg(F.count(F.lit(1)).alias("rows"), *counts, *extra)
 
 
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -94,26 +99,39 @@ def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
-def missing_totals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def missing_totals(
+    df: DataFrame, columns: Sequence[str] | None = None, extra: Mapping[str, Column] | None = None
+) -> DataFrame:
     """One row: cells, missing cells and the percentage, over the whole table."""
-    columns = list(columns or df.columns)
+    columns, extra = list(columns or df.columns), dict(extra or {})
     total = sum((F.col(f"missing_{i}") for i in range(len(columns))), F.lit(0).cast("bigint"))
     cells = F.col("rows") * F.lit(len(columns))
-    return missing_counts(df, columns).select(
+    counted = missing_counts(df, columns, [c.alias(name) for name, c in extra.items()])
+    return counted.select(
         F.col("rows"),
+        *extra,
         cells.alias("total_cells"),
         total.alias("total_missing"),
         F.coalesce(F.try_divide(total * 100.0, cells), F.lit(0.0)).alias("missing_percentage"),
     )
 
 
-def duplicate_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def duplicate_report(
+    df: DataFrame, columns: Sequence[str] | None = None, digest: bool = False
+) -> DataFrame:
     """One row: rows, distinct rows and surplus copies. NULL equals NULL.
 
     Copies are counted on the map side first, so a row that fills a third of the table
-    reaches the shuffle once per task.
+    reaches the shuffle once per task. With `digest` rows are compared by their SHA-256, so
+    that long texts are not shuffled.
     """
-    copies = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("copies"))
+    names = list(columns or df.columns)
+    if digest:
+        row = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+        grouped = df.groupBy(F.sha2(row, 256).alias("digest"))
+    else:
+        grouped = df.groupBy(*names)
+    copies = grouped.agg(F.count(F.lit(1)).alias("copies"))
     rows = F.coalesce(F.sum("copies"), F.lit(0))
     unique = F.count(F.lit(1))
     return copies.agg(
@@ -206,10 +224,8 @@ def quality_report(
         (F.count_if(F.abs(V.to_number(F.col(c), df.schema[c].dataType)) > EXTREME_VALUE) for c in numbers),
         F.lit(0).cast("bigint"),
     )
-    scan = df.agg(F.count(F.lit(1)).alias("n"), extremes.alias("extreme"))
     parts = [
-        missing_totals(df, columns),
-        scan.select("extreme", F.when(F.col("n") == 0, 1).otherwise(0).alias("critical")),
+        missing_totals(df, columns, {"extreme": extremes}),
         type_mix(df, key, columns).agg(F.coalesce(F.sum("differing"), F.lit(0)).alias("mixed")),
         duplicate_report(df, columns).drop("rows"),
     ]
@@ -220,7 +236,7 @@ def quality_report(
                 F.count_if(F.col("severity") == "warning").alias("ragged_warnings"),
             )
         )
-    wide = one_row(*parts)
+    wide = one_row(*parts).withColumn("critical", (F.col("rows") == 0).cast("int"))
     errors = F.col("errors") if structure is not None else F.lit(0).cast("bigint")
     ragged = F.col("ragged_warnings") if structure is not None else F.lit(0)
     warnings = F.col("extreme") + F.col("mixed") + ragged

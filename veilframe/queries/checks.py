@@ -175,7 +175,7 @@ def duplicate_report(spark, sf_dir):
 @query("duplicate_texts", _duplicates_sql("select text, lang from documents"))
 def duplicate_texts(spark, sf_dir):
     """Copies of whole documents."""
-    return rounded(Q.duplicate_report(table(spark, sf_dir, "documents"), ["text", "lang"]))
+    return rounded(Q.duplicate_report(table(spark, sf_dir, "documents"), ["text", "lang"], digest=True))
 
 
 _SEVERITY = "case when o_orderkey % 41 = 0 then 'critical' when o_orderkey % 5 = 0 then 'error' else 'warning' end"
