@@ -200,6 +200,27 @@ def test_wide_table(spark):
 # --- sources
 
 
+def test_file_position_is_a_key(spark):
+    df = S.with_file_key(S.read_table(spark, f"{SF}/lineitem.parquet"))
+    assert df.select("file_key").distinct().count() == df.count() == 60000
+    columns = ["l_quantity", "l_tax"]
+    plan = A.fit(df, ["file_key"], secret="s", release=columns)
+    out = plan.transform(df)
+    assert out.columns == columns
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "l_orderkey" not in text
+
+
+def test_files_without_header_or_rows(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(ValueError):
+        S.read_delimited(spark, str(tmp_path / "empty.csv"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_delimited(spark, str(tmp_path / "none.csv"))
+    (tmp_path / "head.csv").write_text("a,b\n")
+    assert S.read_delimited(spark, str(tmp_path / "head.csv")).columns == ["a", "b"]
+
+
 def test_delimiters(spark):
     df = spark.createDataFrame([("a,b", "x"), ("c", "y;z")], "p string, q string")
     for sep in (",", ";", "\t", "|"):

@@ -87,15 +87,16 @@ def _histograms(numbers: DataFrame, intervals) -> dict[tuple, list[tuple[int, fl
     cells, wanted = [], F.lit(False)
     for i, (c, low, high) in enumerate(intervals):
         v = F.col(c)
-        wanted = wanted | v.between(F.lit(low), F.lit(high))
+        inside = v.between(F.lit(low), F.lit(high))
+        wanted = wanted | inside
         # both halves are divided on their own, so that a very wide interval cannot overflow
         position = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
         slot = F.least(F.floor(position * F.lit(float(BINS))), F.lit(BINS - 1)).cast("int")
-        cell = F.struct(F.lit(i).alias("interval"), slot.alias("slot"), v.alias("v"))
-        cells.append(F.when(v.between(F.lit(low), F.lit(high)), cell))
+        cells += [F.lit(i), F.when(inside, slot), v]
     counted = (
         numbers.where(wanted)
-        .select(F.inline(F.array_compact(F.array(*cells))))
+        .select(F.stack(F.lit(len(intervals)), *cells).alias("interval", "slot", "v"))
+        .where("slot IS NOT NULL")
         .groupBy("interval", "slot")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )

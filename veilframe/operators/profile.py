@@ -99,7 +99,7 @@ def _exact_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.min(number).alias("num_min"),
         F.max(number).alias("num_max"),
         F.sum(number * F.col("n")).alias("num_sum"),
-        F.bool_and(number == F.floor(number)).alias("is_integer"),
+        F.bool_and(number == F.rint(number)).alias("is_integer"),
         (F.count(F.when(~from_text, number)) + F.count_distinct(F.when(from_text, number))).alias("num_unique"),
         F.count("value").alias("unique_count"),
         F.sum(F.when(kind == "string", F.char_length("value") * F.col("n"))).alias("sum_length"),
@@ -127,7 +127,7 @@ def _estimated_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "num_min": "min(case when class_{i} = 'numeric' then raw_{i} end)",
         "num_max": "max(case when class_{i} = 'numeric' then raw_{i} end)",
         "num_sum": "sum(case when class_{i} = 'numeric' then raw_{i} end)",
-        "is_integer": "bool_and(case when class_{i} = 'numeric' then raw_{i} = floor(raw_{i}) end)",
+        "is_integer": "bool_and(case when class_{i} = 'numeric' then raw_{i} = rint(raw_{i}) end)",
         "sum_length": "sum(case when class_{i} = 'string' then char_length(cast(value_{i} as string)) end)",
     }
     sketches = {
@@ -257,6 +257,7 @@ def collect_profiles(
     df: DataFrame,
     profiles: DataFrame | None,
     overrides: Mapping[str, str] | None = None,
+    columns: Sequence[str] | None = None,
 ) -> dict[str, ColumnProfile]:
     """Bring a typed profile to the driver and fetch the categories of low-cardinality columns.
 
@@ -284,7 +285,7 @@ def collect_profiles(
         )
         categories = {r["column"]: tuple(r["values"]) for r in found.collect()}
     out = {}
-    for c in df.columns:
+    for c in columns or df.columns:
         if c not in rows:  # not profiled, or an empty table
             out[c] = ColumnProfile(c, overrides.get(c, "string"), 0)
             continue

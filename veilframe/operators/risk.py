@@ -149,7 +149,9 @@ def linkage_attack(
         own = paired.sparkSession.createDataFrame(own.collect(), own.schema)
 
     def bin_of(v: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(LINK_BINS - 1), F.floor((v - F.lit(low)) / F.lit(width))))
+        # limited before it is cut to a whole number, which has a smaller range
+        position = (v - F.lit(low)) / F.lit(width)
+        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(LINK_BINS - 1.0), position)))
 
     balls = own.select("probe", "own", *[f"p{i}" for i in range(len(columns))])
     # a margin far above rounding keeps every original on the sphere inside the covered bins

@@ -174,6 +174,7 @@ def fit(
     policy: Mapping[str, Mapping] | DataFrame | None = None,
     overrides: Mapping[str, str] | None = None,
     exclude: Sequence[str] = (),
+    release: Sequence[str] | None = None,
     sample_rows: int | None = None,
     distinct: str = "exact",
     impute: str = "typed",
@@ -188,7 +189,9 @@ def fit(
 ) -> AnonymizationPlan:
     """Learn a release plan from a table.
 
-    `key` names the columns that identify a row; for a table without a key name all of them.
+    `key` names the columns that identify a row; for a table without a key name all of them,
+    or add one with `sources.tables.with_file_key`. `release` names the columns to release
+    (by default all), so that a key need not be among them; `exclude` those that pass as they are.
     `policy` maps column names to settings (method, epsilon, min, max, sensitivity,
     mask_type) or is a policy table; without one the budget is split equally.
     `sample_rows` infers types from the first rows only. A column that no longer fits the
@@ -200,8 +203,9 @@ def fit(
         if not secret:
             raise ValueError("fit needs a secret for keyed noise, or a noise source")
         noise = KeyedNoise(secret, KEY, digest)
-    key, names = tuple(key), list(df.columns)
-    missing = [c for c in [*key, *exclude, *(overrides or {})] if c not in names]
+    key, names = tuple(key), list(release or df.columns)
+    missing = [c for c in [*key, *names] if c not in df.columns]
+    missing += [c for c in [*exclude, *(overrides or {})] if c not in names]
     if missing:
         raise ValueError(f"no such columns: {missing}")
     spark = df.sparkSession
@@ -213,7 +217,7 @@ def fit(
     # an identifier is hashed whatever it holds
     profiled = [c for c in names if (overrides or {}).get(c) != "id"]
     typed = infer_types(profile(sample, profiled, distinct=distinct)) if profiled else None
-    profiles = collect_profiles(sample, typed, overrides)
+    profiles = collect_profiles(sample, typed, overrides, names)
     types = {c: p.semantic_type for c, p in profiles.items()}
 
     if impute == "none":

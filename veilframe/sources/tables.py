@@ -27,6 +27,14 @@ def read_table(spark: SparkSession, path: str, max_rows: int | None = None) -> D
     return df if max_rows is None else df.limit(max_rows)
 
 
+def with_file_key(df: DataFrame, name: str = "file_key") -> DataFrame:
+    """Add the position of each row in its parquet file, a key for tables that have none.
+
+    It needs no shuffle and no sort. It holds as long as the files are not rewritten.
+    """
+    return df.withColumn(name, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",", columns: Sequence[str] | None = None) -> None:
     """Delimited text with a header in each file, columns in the given order."""
     out = df if columns is None else df.select(*columns)
@@ -68,9 +76,8 @@ def detect_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] =
 
     Where no candidate does, the one with the most fields in every line; else a comma.
     """
-    rows = delimiter_statistics(spark, path, candidates).collect()
-    even = [r for r in rows if r["min_fields"] == r["max_fields"] and r["min_fields"] > 1]
-    some = even or [r for r in rows if (r["min_fields"] or 0) > 1]
+    rows = delimiter_statistics(spark, path, candidates).where("min_fields > 1").collect()
+    some = [r for r in rows if r["min_fields"] == r["max_fields"]] or rows
     if not some:
         return ","
     return max(some, key=lambda r: r["min_fields"])["delimiter"]
