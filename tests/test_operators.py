@@ -235,6 +235,35 @@ def test_ledger_is_greedy(spark, seed):
     assert all(r["used_epsilon"] <= r["total_epsilon"] for r in report)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_long_ledger_is_greedy(spark, seed):
+    rng = random.Random(seed)
+    entries, totals, expected = [], [], {}
+    shapes = {
+        "even": lambda i: rng.randint(1, 1000), "small": lambda i: 1, "large": lambda i: rng.randint(10**6, 10**7),
+        "falling": lambda i: 400 - i, "heavy": lambda i: int(rng.paretovariate(0.7)), "short": lambda i: 5,
+    }
+    for name, shape in shapes.items():
+        n = 3 if name == "short" else 300
+        total = rng.choice([7, 4096, 50_000, 10**6])
+        totals.append((name, total / 1e9))
+        used = 0
+        for o in range(n):
+            e = shape(o)
+            admitted = used + e <= total
+            used += e if admitted else 0
+            entries.append((name, o, f"c{o}", "laplace", e / 1e9))
+            expected[name, o] = (admitted, used)
+    rng.shuffle(entries)
+    charged = B.ledger(
+        spark.createDataFrame(entries, "dataset string, ord int, column string, operation string, epsilon double"),
+        spark.createDataFrame(totals, "dataset string, total_epsilon double"),
+        max_folded=10,
+    ).collect()
+    assert len(charged) == len(expected)
+    assert {(r["dataset"], r["ord"]): (r["admitted"], round(r["used_after"] * 1e9)) for r in charged} == expected
+
+
 def test_tenths_add_up(spark):
     entries = [("d", i, f"c{i}", "laplace", e) for i, e in enumerate((0.1, 0.2))]
     charged = B.ledger(

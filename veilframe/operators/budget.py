@@ -2,26 +2,41 @@
 
 Admission is greedy in column order. An entry that does not fit is skipped and does not
 count, and a later, smaller one may still fit; a running sum cannot express that. The
-entries of one dataset are its columns, so the array that is folded is as wide as a schema,
-however many datasets the ledger holds. Epsilons are summed as decimals: 0.1 + 0.2 fits
-into 0.3.
+entries of one dataset are folded as an array, which for the columns of a table is as wide
+as its schema. A dataset with more entries than that takes the way of `long_ledger`.
+Epsilons are summed as decimals: 0.1 + 0.2 fits into 0.3.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from veilframe.operators.long_ledger import long_ledger
 
 EPSILON_TYPE = "decimal(18,9)"
+MAX_FOLDED = 10_000
 
 
-def ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
+def ledger(entries: DataFrame, totals: DataFrame, max_folded: int = MAX_FOLDED) -> DataFrame:
     """Admit or skip each entry.
 
     `entries` has (dataset, ord, column, operation, epsilon), `totals` (dataset,
-    total_epsilon). The result adds admitted, used_after and number, the position among the
-    admitted entries.
+    total_epsilon). The result adds admitted and used_after. The entries of each dataset are
+    counted first: up to `max_folded` of them are folded in one task.
     """
+    long = entries.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_folded)
+    if long.isEmpty():
+        return folded_ledger(entries, totals)
+    short = entries.join(long, "dataset", "left_anti")
+    return folded_ledger(short, totals).unionByName(
+        long_ledger(entries.join(long, "dataset", "left_semi"), totals)
+    )
+
+
+def folded_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
+    """`ledger` for entries that are known to be the columns of tables."""
     entry = F.struct("ord", "column", "operation", F.col("epsilon").cast(EPSILON_TYPE).alias("epsilon"))
     per_dataset = entries.groupBy("dataset").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     limits = totals.select("dataset", F.col("total_epsilon").cast(EPSILON_TYPE).alias("total_epsilon"))
@@ -96,9 +111,7 @@ def can_consume(report: DataFrame, epsilon: Column) -> DataFrame:
 
 def consumptions(charged: DataFrame) -> DataFrame:
     """The admitted entries of each dataset, numbered in order of charging."""
-    kept = charged.where("admitted").groupBy("dataset").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "column", "operation", "epsilon"))).alias("entries")
-    )
-    return kept.select("dataset", F.posexplode("entries").alias("position", "e")).select(
-        "dataset", (F.col("position") + 1).alias("number"), "e.column", "e.operation", "e.epsilon"
+    order = Window.partitionBy("dataset").orderBy("ord", "column", "operation")
+    return charged.where("admitted").select(
+        "dataset", F.row_number().over(order).alias("number"), "column", "operation", "epsilon"
     )

@@ -340,7 +340,7 @@ def _charge(spark, entries, column_budget) -> list:
         entries, "dataset string, ord int, column string, operation string, epsilon double"
     )
     totals = spark.createDataFrame([(DATASET, float(column_budget))], "dataset string, total_epsilon double")
-    return sorted(B.ledger(table, totals).collect(), key=lambda r: r["ord"])
+    return sorted(B.folded_ledger(table, totals).collect(), key=lambda r: r["ord"])
 
 
 def impact_view(df: DataFrame, plan: AnonymizationPlan, key: Sequence[str], n: int = 5) -> DataFrame:

@@ -126,12 +126,12 @@ _EXTREME = "value * case when event_id % 1000 = 0 then 1e12 else 1e0 end"
 
 @query(
     "extreme_values",
-    "select cast(event_id as varchar) as row_key, 'value' as \"column\", " + r("value", 2) + " as value "
+    "select cast(event_id as varchar) as row_key, 'value' as \"column\", value "
     f"from (select event_id, {_EXTREME} as value from events) where abs(value) > 1e10",
 )
 def extreme_values(spark, sf_dir):
     df = table(spark, sf_dir, "events").withColumn("value", F.expr(_EXTREME))
-    return rounded(Q.extreme_values(df, ["event_id"]), 2)
+    return Q.extreme_values(df, ["event_id"])
 
 
 @query(
@@ -200,12 +200,12 @@ def quality_score(spark, sf_dir):
     "issue_details",
     f"with e as (select cast(event_id as varchar) as row_key, {_EXTREME} as value from events) "
     "select 'warning' as severity, 'extreme_value' as \"check\", row_key, 'value' as \"column\", "
-    + r("value", 2) + " as value from e where abs(value) > 1e10 order by row_key limit 20",
+    "value from e where abs(value) > 1e10 order by row_key limit 20",
 )
 def issue_details(spark, sf_dir):
     """The twenty issues that a report shows."""
     df = table(spark, sf_dir, "events").withColumn("value", F.expr(_EXTREME))
-    return rounded(Q.issue_details(Q.issues(df.select("event_id", "value"), ["event_id"])), 2)
+    return Q.issue_details(Q.issues(df.select("event_id", "value"), ["event_id"]))
 
 
 def _report_sql(source: str, missing: str, columns: int, extreme: str) -> str:

@@ -391,3 +391,30 @@ def ledger_violations(spark, sf_dir):
         (F.col("o_totalprice") - 100000).alias("epsilon"),
     )
     return B.ledger_violations(entries, totals)
+
+
+@query(
+    "budget_ledger_long",
+    """with e as (select concat('type_', event_type) as dataset, event_id as ord, props as "column", 'release' as operation,
+        1 + cast(floor(value * 10) as bigint) as e from events),
+        g as (select dataset, list(e order by ord) as es, cast(floor(count(*) * 20) as bigint) as total from e group by 1),
+        f as (select dataset, total, list_slice(list_reduce(list_prepend([0::bigint], list_transform(es, lambda x: [x])),
+        lambda a, x: list_append(a, case when a[len(a)] + x[1] <= total then a[len(a)] + x[1] else a[len(a)] end)),
+        2, len(es) + 1) as used from g),
+        n as (select *, row_number() over (partition by dataset order by ord) as i from e)
+        select n.dataset, ord, "column", operation, cast(e as double) / 1000000 as epsilon,
+        used[i] > case when i = 1 then 0 else used[i - 1] end as admitted, cast(used[i] as double) / 1000000 as used_after,
+        cast(total as double) / 1000000 as total_epsilon from n join f on n.dataset = f.dataset""",
+)
+def budget_ledger_long(spark, sf_dir):
+    """Every event charges the dataset of its type, of which there are five."""
+    events = table(spark, sf_dir, "events")
+    entries = events.select(
+        F.expr("concat('type_', event_type)").alias("dataset"), F.col("event_id").alias("ord"),
+        F.col("props").alias("column"), F.lit("release").alias("operation"),
+        (F.expr("1 + cast(floor(value * 10) as bigint)").cast("double") / 1000000).alias("epsilon"),
+    )
+    totals = entries.groupBy("dataset").agg((F.count(F.lit(1)) * 20).alias("n")).select(
+        "dataset", (F.col("n").cast("double") / 1000000).alias("total_epsilon")
+    )
+    return B.ledger(entries, totals, max_folded=100)
