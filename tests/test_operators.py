@@ -254,6 +254,10 @@ def test_long_ledger_is_greedy(spark, seed):
             used += e if admitted else 0
             entries.append((name, o, f"c{o}", "laplace", e / 1e9))
             expected[name, o] = (admitted, used)
+    for name, n in (("few", 3), ("many", 30)):  # datasets without a total
+        for o in range(n):
+            entries.append((name, o, f"c{o}", "laplace", 1e-9))
+            expected[name, o] = (False, 0)
     rng.shuffle(entries)
     charged = B.ledger(
         spark.createDataFrame(entries, "dataset string, ord int, column string, operation string, epsilon double"),

@@ -40,7 +40,7 @@ def folded_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
     entry = F.struct("ord", "column", "operation", F.col("epsilon").cast(EPSILON_TYPE).alias("epsilon"))
     per_dataset = entries.groupBy("dataset").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     limits = totals.select("dataset", F.col("total_epsilon").cast(EPSILON_TYPE).alias("total_epsilon"))
-    joined = per_dataset.join(limits, "dataset")
+    joined = per_dataset.join(limits, "dataset", "left").withColumn("total_epsilon", no_total_is_zero("total_epsilon"))
     spent = F.aggregate(
         "entries",
         F.struct(F.lit(0).cast(EPSILON_TYPE).alias("used"), _no_decisions().alias("decisions")),
@@ -62,6 +62,11 @@ def folded_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def no_total_is_zero(total: str) -> Column:
+    """A dataset without a total may spend nothing; its entries are all skipped."""
+    return F.coalesce(total, F.lit(0)).cast(EPSILON_TYPE)
+
+
 def _no_decisions() -> Column:
     return F.array().cast(f"array<struct<admitted:boolean,used_after:{EPSILON_TYPE}>>")
 
@@ -99,7 +104,10 @@ def budget_report(charged: DataFrame) -> DataFrame:
             F.count_if(~admitted).alias("skipped"),
         )
         .withColumn("remaining_epsilon", F.col("total_epsilon") - F.col("used_epsilon"))
-        .withColumn("utilization", F.col("used_epsilon") / F.col("total_epsilon") * 100.0)
+        .withColumn(
+            "utilization",
+            F.coalesce(F.try_divide(F.col("used_epsilon"), F.col("total_epsilon")) * 100.0, F.lit(0.0)),
+        )
     )
 
 

@@ -8,13 +8,14 @@ round decides everything up to that point, and h at least halves from round to r
 sixty rounds at the very most, whatever the number of entries.
 
 Prefix sums are taken in chunks of the entry order: sums per chunk, a running sum over the
-chunks, and a running sum inside each, so no task holds a whole dataset. Rows, state and
-decisions of each round are written tables, which an executor loss cannot change.
+chunks, and a running sum inside each, so no task holds a whole dataset. The numbered
+entries and the state after each round are written tables, which the loss of an executor
+cannot change; the decisions follow from all states in one last pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,54 +31,52 @@ def long_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    limits = totals.select("dataset", _nano("total_epsilon").alias("total"))
     rows = _numbered(entries, stored)
-    chunks = stored(rows.groupBy("dataset", "chunk").agg(F.count(F.lit(1)).alias("n")), "chunks")
-    start = chunks.select("dataset").distinct().join(limits, "dataset")
+    chunks = stored(
+        rows.groupBy("dataset", "chunk").agg(F.min("idx").alias("first"), F.max("idx").alias("last")), "chunks"
+    )
+    limits = totals.select("dataset", _nano("total_epsilon").alias("total"))
     state = stored(
-        start.select("dataset", "total", F.col("total").alias("left"), F.lit(-1).cast("bigint").alias("position")),
+        chunks.select("dataset").distinct().join(limits, "dataset", "left")
+        .withColumn("total", F.coalesce("total", F.lit(0).cast("bigint")))  # no total, no budget
+        .select(
+            "dataset", F.lit(0).alias("round"), "total", F.col("total").alias("left"),
+            F.lit(-1).cast("bigint").alias("position"),
+        ),
         "state_0",
     )
-    decided, round_ = [], 0
+    states = []
     while not state.isEmpty():
-        round_ += 1
-        measured = _measure(rows, chunks, state)
-        ends = stored(
-            measured.where("stops").groupBy("dataset").agg(
-                F.min("idx").alias("end"), F.min_by("consumed", "idx").alias("spent")
-            ),
-            f"ends_{round_}",
+        states.append(state)
+        measured = _measure(rows, chunks, state.withColumn("until", F.lit(None).cast("bigint")))
+        ends = measured.where("stops").groupBy("dataset").agg(
+            F.min("idx").alias("end"), F.min_by("consumed", "idx").alias("spent")
         )
-        # the end of a dataset reaches its rows by chunk, so that they need not meet in one task
-        by_chunk = chunks.select("dataset", "chunk").join(ends, "dataset", "left")
-        until = F.col("end").isNull() | (F.col("idx") <= F.col("end"))
-        here = measured.join(by_chunk, ["dataset", "chunk"]).where(until)
-        at_end = F.coalesce(F.col("idx") == F.col("end"), F.lit(False))
-        admitted = F.col("small") | at_end
-        used = F.col("total") - F.col("left") + F.when(at_end, F.col("consumed")).otherwise(F.col("running"))
-        decided.append(stored(
-            here.select("dataset", "ord", "column", "operation", "nano", admitted.alias("admitted"),
-                        used.alias("used"), "total"),
-            f"decided_{round_}",
-        ))
         state = stored(
             state.join(ends, "dataset").select(
-                "dataset", "total", (F.col("left") - F.col("spent")).alias("left"), F.col("end").alias("position")
+                "dataset", (F.col("round") + 1).alias("round"), "total",
+                (F.col("left") - F.col("spent")).alias("left"), F.col("end").alias("position"),
             ),
-            f"state_{round_}",
+            f"state_{len(states)}",
         )
-    out = decided[0]
-    for part in decided[1:]:
-        out = out.unionByName(part)
-
-    def back(name: str):
-        return F.col(name).cast("double") / NANO
-
-    return out.select(
-        "dataset", "ord", "column", "operation", back("nano").alias("epsilon"), "admitted",
-        back("used").alias("used_after"), back("total").alias("total_epsilon"),
+    every = states[0]
+    for one in states[1:]:
+        every = every.unionByName(one)
+    following = Window.partitionBy("dataset").orderBy("round")  # one row per round
+    spans = every.withColumn("until", F.lead("position").over(following))
+    final = _measure(rows, chunks, spans)
+    at_end = F.coalesce(F.col("idx") == F.col("until"), F.lit(False))
+    used = F.col("total") - F.col("left") + F.when(at_end, F.col("consumed")).otherwise(F.col("running"))
+
+    def back(c: Column) -> Column:
+        return c.cast("double") / NANO
+
+    return final.select(
+        "dataset", "ord", "column", "operation", back(F.col("nano")).alias("epsilon"),
+        (F.col("small") | at_end).alias("admitted"), back(used).alias("used_after"),
+        back(F.col("total")).alias("total_epsilon"),
     )
 
 
@@ -102,25 +101,33 @@ def _numbered(entries: DataFrame, stored) -> DataFrame:
     )
 
 
-def _measure(rows: DataFrame, chunks: DataFrame, state: DataFrame) -> DataFrame:
-    """The undecided entries with the running sum of the small ones, and where a round may end."""
-    by_chunk = chunks.select("dataset", "chunk").join(state, "dataset")
+def _measure(rows: DataFrame, chunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """The entries of each round with the running sum of the small ones, and where it may end.
+
+    `spans` has (dataset, round, total, left, position, until): a round holds the entries
+    after `position`, up to `until` where that is known. It reaches its entries by chunk, so
+    that those of one dataset need not meet in one task.
+    """
+    reach = (F.col("last") > F.col("position")) & (F.col("until").isNull() | (F.col("first") <= F.col("until")))
+    by_chunk = chunks.join(spans, "dataset").where(reach).drop("first", "last")
+    inside = (F.col("idx") > F.col("position")) & (F.col("until").isNull() | (F.col("idx") <= F.col("until")))
     # the largest power of two that is left; nothing is small once nothing is left
     power = F.expr("shiftleft(cast(1 as bigint), length(bin(left)) - 1)")
     open_rows = (
         rows.join(by_chunk, ["dataset", "chunk"])
-        .where(F.col("idx") > F.col("position"))
+        .where(inside)
         .withColumn("power", power)
         .withColumn("small", (F.col("nano") <= F.col("power")) & (F.col("left") >= F.col("power")))
     )
     part = F.when(F.col("small"), F.col("nano")).otherwise(F.lit(0))
-    sums = open_rows.groupBy("dataset", "chunk").agg(F.sum(part).alias("chunk_sum"))
-    before = Window.partitionBy("dataset").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("dataset", "chunk", F.coalesce(F.sum("chunk_sum").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("dataset", "chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    keys = ["dataset", "round", "chunk"]
+    sums = open_rows.groupBy(*keys).agg(F.sum(part).alias("chunk_sum"))
+    before = Window.partitionBy("dataset", "round").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*keys, F.coalesce(F.sum("chunk_sum").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     summed = (
-        open_rows.withColumn("inner", F.sum(part).over(inside))
-        .join(bases, ["dataset", "chunk"])
+        open_rows.withColumn("inner", F.sum(part).over(within))
+        .join(bases, keys)
         .withColumn("running", F.col("base") + F.col("inner"))
     )
     left = F.col("left") - F.col("running")

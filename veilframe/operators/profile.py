@@ -121,9 +121,9 @@ def _estimated_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     base = df.select(*typed)
     plain = {
         "total_count": "count(class_{i})",
-        "n_numeric": "count_if(class_{i} = 'numeric')",
-        "n_boolean": "count_if(class_{i} = 'boolean')",
-        "n_string": "count_if(class_{i} = 'string')",
+        "n_numeric": "count(case when class_{i} = 'numeric' then 1 end)",
+        "n_boolean": "count(case when class_{i} = 'boolean' then 1 end)",
+        "n_string": "count(case when class_{i} = 'string' then 1 end)",
         "num_min": "min(case when class_{i} = 'numeric' then raw_{i} end)",
         "num_max": "max(case when class_{i} = 'numeric' then raw_{i} end)",
         "num_sum": "sum(case when class_{i} = 'numeric' then raw_{i} end)",

@@ -41,11 +41,12 @@ def uniqueness(df: DataFrame, columns: Sequence[str] | None = None, distinct: st
 
 
 def uniqueness_reduction(paired: DataFrame, columns: Sequence[str], distinct: str = "exact") -> DataFrame:
-    """One row: mean uniqueness before and after, and the percentage by which it fell."""
+    """One row: rows, mean uniqueness before and after, and the percentage by which it fell."""
     both = [c for c in columns] + [c + NOISY for c in columns]
     scores = uniqueness(paired, both, distinct)
     noisy = F.col("column").endswith(NOISY)
     totals = scores.agg(
+        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
         F.coalesce(F.avg(F.when(~noisy, F.col("uniqueness"))), F.lit(0.0)).alias("original_uniqueness"),
         F.coalesce(F.avg(F.when(noisy, F.col("uniqueness"))), F.lit(0.0)).alias("noisy_uniqueness"),
     )
@@ -212,7 +213,7 @@ def risk_report(
     """One row with the three measures, their score and the overall category."""
     named = quasi_identifiers if quasi_identifiers is not None else QUASI_IDENTIFIERS
     qi = [c for c in named if c in columns]
-    parts = [uniqueness_reduction(paired, columns, distinct), paired.agg(F.count(F.lit(1)).alias("rows"))]
+    parts = [uniqueness_reduction(paired, columns, distinct)]
     if qi:
         parts.append(k_anonymity(paired, [c + NOISY for c in qi]))
     if numeric:

@@ -202,15 +202,15 @@ def reduction_sql(source: str, columns: list[str]) -> str:
     before = "(" + " + ".join(score(c) for c in columns) + f") / {len(columns)}"
     after = "(" + " + ".join(score(c + "__noisy") for c in columns) + f") / {len(columns)}"
     return (
-        "select before as original_uniqueness, after as noisy_uniqueness, "
+        "select n as \"rows\", before as original_uniqueness, after as noisy_uniqueness, "
         "greatest((before - after) / before * 100, 0e0) as uniqueness_reduction "
-        f"from (select {before} as before, {after} as after from ({source}))"
+        f"from (select count(*) as n, {before} as before, {after} as after from ({source}))"
     )
 
 
 @query(
     "uniqueness_reduction",
-    "select " + ", ".join(
+    "select \"rows\", " + ", ".join(
         f"{r(c)} as {c}" for c in ("original_uniqueness", "noisy_uniqueness", "uniqueness_reduction")
     ) + f" from ({reduction_sql(CUSTOMER_SQL, CUSTOMER_COLUMNS)})",
 )
@@ -296,8 +296,7 @@ def risk_sql(source: str, columns: list[str], numbers: list[str], key: str, qi:
         else 'LOW' end as overall_risk from (select *, case link_risk when 'HIGH' then 4 when 'MEDIUM' then 2 else 0 end
         + case when k_risk = 'HIGH' and "rows" > 100 then 2 when k_risk in ('HIGH', 'MEDIUM') then 1 else 0 end
         + case when uniqueness_reduction < 5 then 1 else 0 end as risk_score
-        from ({reduction_sql(source, columns)}), ({linkage_sql(source, numbers, key)}), ({k}),
-        (select count(*) as "rows" from ({source}))))"""
+        from ({reduction_sql(source, columns)}), ({linkage_sql(source, numbers, key)}), ({k})))"""
 
 
 @query(
