@@ -88,6 +88,22 @@ def test_attack_joins_on_bins(customers):
     assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_first_rows_are_a_top_k(spark, customers):
+    df, plan = customers
+    from veilframe.operators.profile import first_rows, infer_types, profile
+
+    pair = first_rows(plan.paired(df), ["c_custkey"], 500)
+    derived = pair.withColumn("d", F.col("c_acctbal") - F.col("c_acctbal__noisy")).withColumn("e", F.col("d") * F.col("d"))
+    for sample in (
+        A.impact_view(df, plan, ["c_custkey"]),
+        infer_types(profile(df, key=["c_custkey"], sample_rows=100)),
+        plan.paired(first_rows(df, ["c_custkey"], 10)),
+        derived,
+    ):
+        text = sample._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
 def test_audit_sees_what_was_released(customers):
     df, plan = customers
     released = plan.transform(df).select("c_acctbal").collect()

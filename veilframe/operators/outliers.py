@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import values as V
 from veilframe.operators.cells import stack_rows
 from veilframe.operators.order_stats import SMALL_ROWS, order_statistics
+from veilframe.operators.profile import first_rows
 
 Z_THRESHOLD = 3.0
 IQR_MULTIPLIER = 1.5
@@ -110,7 +111,7 @@ def outlier_details(
         v.alias("value"),
         F.when(is_z, F.lit("zscore")).otherwise(F.lit("iqr")).alias("outlier_type"),
     )
-    return found.orderBy(F.desc("outlier_type"), *key).limit(n)
+    return first_rows(found, [F.desc("outlier_type"), *key], n)
 
 
 def outlier_summary(df: DataFrame, limits: dict[str, OutlierLimits]) -> DataFrame:

@@ -29,9 +29,14 @@ NAME_WORDS = {
 MIXED_NAME_PARTS = ["age", "year", "count", "price", "cost", "size", "consumption", "emission"]
 
 
-def first_rows(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
-    """The first n rows in key order, as a top-k instead of a full sort."""
-    return df.orderBy(*key).limit(n)
+def first_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
+    """The first n rows in an order, found as a top-k.
+
+    Projections that a caller adds would be pushed below the limit and turn the top-k into a
+    sort of the whole table. The coalesce keeps them above it, and moves nothing: a top-k
+    has one partition.
+    """
+    return df.orderBy(*order).limit(n).coalesce(1)
 
 
 def profile(

@@ -208,7 +208,7 @@ def issues(
 def issue_details(found: DataFrame) -> DataFrame:
     """The first issues, worst first."""
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "error", 1).otherwise(2)
-    return found.orderBy(rank, "check", "column", "row_key").limit(MAX_DETAILS)
+    return first_rows(found, [rank, "check", "column", "row_key"], MAX_DETAILS)
 
 
 def quality_report(

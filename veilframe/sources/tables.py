@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELIMITERS = [",", ";", "\t", "|"]
+SAMPLE_LINES = 100
 
 
 def read_delimited(
@@ -52,9 +53,19 @@ def _fields(line: Column, sep: str) -> Column:
     return F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep), F.lit(""))) + F.lit(1)
 
 
-def delimiter_statistics(spark: SparkSession, path: str, candidates: Sequence[str] = DELIMITERS) -> DataFrame:
-    """(delimiter, lines, min_fields, max_fields) of each candidate, in one pass."""
+def delimiter_statistics(
+    spark: SparkSession,
+    path: str,
+    candidates: Sequence[str] = DELIMITERS,
+    sample_lines: int | None = None,
+) -> DataFrame:
+    """(delimiter, lines, min_fields, max_fields) of each candidate, in one pass.
+
+    `sample_lines` looks at the first lines only, which opens no more files than it must.
+    """
     lines = spark.read.text(path).where(F.trim("value") != "")
+    if sample_lines is not None:
+        lines = spark.createDataFrame(lines.take(sample_lines), "value string")
     counts = lines.select([_fields(F.col("value"), d).alias(f"d{i}") for i, d in enumerate(candidates)])
     wide = counts.agg(
         F.count(F.lit(1)).alias("lines"),
@@ -71,12 +82,17 @@ def delimiter_statistics(spark: SparkSession, path: str, candidates: Sequence[st
     return wide.select(F.inline(F.array(*rows)))
 
 
-def detect_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] = DELIMITERS) -> str:
+def detect_delimiter(
+    spark: SparkSession,
+    path: str,
+    candidates: Sequence[str] = DELIMITERS,
+    sample_lines: int | None = SAMPLE_LINES,
+) -> str:
     """The candidate that splits every line into the same number of fields, the more the better.
 
     Where no candidate does, the one with the most fields in every line; else a comma.
     """
-    rows = delimiter_statistics(spark, path, candidates).where("min_fields > 1").collect()
+    rows = delimiter_statistics(spark, path, candidates, sample_lines).where("min_fields > 1").collect()
     some = [r for r in rows if r["min_fields"] == r["max_fields"]] or rows
     if not some:
         return ","
