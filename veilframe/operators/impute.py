@@ -155,6 +155,33 @@ def mode_imputation(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -
     )
 
 
+def _by_kind(types: Mapping[str, str], columns: Sequence[str], strategy: str) -> tuple[list[str], list[str]]:
+    """Columns that are filled with a number, and those filled with a text."""
+    if strategy not in ("typed", "mode"):
+        raise ValueError(f"strategy must be 'typed' or 'mode', got {strategy!r}")
+    if strategy == "mode":
+        return [], [c for c in columns if types[c] != "id"]
+    return (
+        [c for c in columns if types[c] in NUMERIC_TYPES],
+        [c for c in columns if types[c] in ("string", "boolean")],
+    )
+
+
+def count_gaps(
+    df: DataFrame, types: Mapping[str, str], columns: Sequence[str], strategy: str = "typed"
+) -> tuple[int, dict[str, int]]:
+    """Rows of the table and the missing cells of each column that can be filled, in one pass."""
+    numeric, texts = _by_kind(types, columns, strategy)
+    found = df.agg(F.count(F.lit(1)).alias("__rows"), *[
+        F.count_if(
+            V.to_number(F.col(c), df.schema[c].dataType).isNull() if c in numeric
+            else V.is_missing(F.col(c), df.schema[c].dataType)
+        ).alias(c)
+        for c in numeric + texts
+    ]).first().asDict()
+    return found.pop("__rows"), found
+
+
 def fit_imputation(
     df: DataFrame,
     types: Mapping[str, str],
@@ -163,33 +190,22 @@ def fit_imputation(
     noise: KeyedNoise | TaskNoise,
     columns: Sequence[str] | None = None,
     strategy: str = "typed",
+    gaps: tuple[int, Mapping[str, int]] | None = None,
 ) -> dict[str, Imputation]:
     """Imputation of every column, by its semantic type.
 
     Each column may spend an equal share of `epsilon`; only a noisy mean spends it.
     `strategy="mode"` fills every column with its mode; `id` columns are never filled.
+    Statistics are read only for the columns that have `gaps`, the result of `count_gaps`.
     """
-    if strategy not in ("typed", "mode"):
-        raise ValueError(f"strategy must be 'typed' or 'mode', got {strategy!r}")
     columns = list(columns or df.columns)
-    if strategy == "mode":
-        numeric, texts = [], list(columns)
-    else:
-        numeric = [c for c in columns if types[c] in NUMERIC_TYPES]
-        texts = [c for c in columns if types[c] in ("string", "boolean")]
+    rows, missing = gaps or count_gaps(df, types, columns, strategy)
+    numeric, texts = (
+        [c for c in kind if missing.get(c)] for kind in _by_kind(types, columns, strategy)
+    )
     out = {c: Imputation(c, "none", 0) for c in columns}
-    # the counts come first and are cheap; the statistics are read only for columns with gaps
-    gaps = df.agg(F.count(F.lit(1)).alias("__rows"), *[
-        F.count_if(
-            V.to_number(F.col(c), df.schema[c].dataType).isNull() if c in numeric
-            else V.is_missing(F.col(c), df.schema[c].dataType)
-        ).alias(c)
-        for c in numeric + texts
-    ]).first() if numeric or texts else {}
-    numeric = [c for c in numeric if gaps[c]]
-    texts = [c for c in texts if gaps[c]]
     if numeric:
-        small = [c for c in numeric if gaps["__rows"] - gaps[c] < MEDIAN_BELOW]
+        small = [c for c in numeric if rows - missing[c] < MEDIAN_BELOW]
         for r in numeric_imputation(df, numeric, epsilon / len(columns), noise, small).collect():
             out[r["column"]] = Imputation(
                 r["column"], r["method"], r["missing_count"], r["number"], None, r["epsilon_used"]

@@ -22,7 +22,7 @@ from veilframe.operators import budget as B
 from veilframe.operators import policy as P
 from veilframe.operators import quality as Q
 from veilframe.operators.cells import one_row
-from veilframe.operators.impute import Imputation, fit_imputation, imputed
+from veilframe.operators.impute import Imputation, count_gaps, fit_imputation, imputed
 from veilframe.operators.outliers import fit_limits, outlier_summary, outlier_totals
 from veilframe.operators.profile import (
     MAX_CATEGORIES,
@@ -203,6 +203,9 @@ def fit(
         if not secret:
             raise ValueError("fit needs a secret for keyed noise, or a noise source")
         noise = KeyedNoise(secret, KEY, digest)
+    for name, value in (("epsilon", epsilon), ("global_epsilon", global_epsilon)):
+        if value is not None and not value > 0:
+            raise ValueError(f"{name} must be positive, got {value}")
     key, names = tuple(key), list(release or df.columns)
     missing = [c for c in [*key, *names] if c not in df.columns]
     missing += [c for c in [*exclude, *(overrides or {})] if c not in names]
@@ -211,8 +214,6 @@ def fit(
     spark = df.sparkSession
     policy = _policy_table(spark, policy)
 
-    rows = df.count()
-    budget = _budget(spark, rows, epsilon, purpose, global_epsilon, adjust_small)
     sample = df if sample_rows is None else first_rows(df, key, sample_rows)
     # an identifier is hashed whatever it holds
     profiled = [c for c in names if (overrides or {}).get(c) != "id"]
@@ -220,12 +221,17 @@ def fit(
     profiles = collect_profiles(sample, typed, overrides, names)
     types = {c: p.semantic_type for c, p in profiles.items()}
 
+    fills = {c: Imputation(c, "none", 0) for c in names}
+    filled = [c for c in names if c not in exclude]
     if impute == "none":
-        fills = {c: Imputation(c, "none", 0) for c in names}
+        rows, gaps = df.count(), {}
     else:
-        filled = [c for c in names if c not in exclude]
-        fills = {c: Imputation(c, "none", 0) for c in names}
-        fills.update(fit_imputation(df, types, key, budget["preprocessing_epsilon"], noise, filled, impute))
+        rows, gaps = count_gaps(df, types, filled, impute)
+    budget = _budget(spark, rows, epsilon, purpose, global_epsilon, adjust_small)
+    if any(gaps.values()):
+        fills.update(fit_imputation(
+            df, types, key, budget["preprocessing_epsilon"], noise, filled, impute, (rows, gaps)
+        ))
     settings = _settings(spark, names, types, policy, budget["column_budget"])
 
     chosen: dict[str, M.Mechanism] = {}
@@ -311,9 +317,6 @@ def _budget(spark, rows, epsilon, purpose, global_epsilon, adjust_small) -> dict
     """Effective epsilon and its split: explicit value, then purpose, then global; size rule last."""
     schema = "dataset string, rows bigint, purpose string, explicit_epsilon double, global_epsilon double"
     explicit = None if epsilon is None else float(epsilon)
-    for name, value in (("epsilon", explicit), ("global_epsilon", global_epsilon)):
-        if value is not None and not value > 0:
-            raise ValueError(f"{name} must be positive, got {value}")
     request = spark.createDataFrame([(DATASET, rows, purpose, explicit, float(global_epsilon))], schema)
     counted = F.col("rows") if adjust_small else F.lit(P.SMALL_ROWS)
     resolved = P.resolve_epsilon(request).withColumn("rows", counted)
