@@ -37,6 +37,7 @@ from veilframe.operators.utility import NOISY, utility_metrics, utility_summary
 
 DATASET = "dataset"
 KEY = "__key"
+EXACT_ROWS = 1_000_000
 LEDGER_SCHEMA = (
     "dataset string, stage string, ord int, column string, operation string, epsilon double, "
     "admitted boolean, used_after double, total_epsilon double, formal boolean"
@@ -176,7 +177,7 @@ def fit(
     exclude: Sequence[str] = (),
     release: Sequence[str] | None = None,
     sample_rows: int | None = None,
-    distinct: str = "exact",
+    distinct: str = "auto",
     impute: str = "typed",
     charge_categorical: bool = True,
     on_exhausted: str = "null",
@@ -194,7 +195,8 @@ def fit(
     (by default all), so that a key need not be among them; `exclude` those that pass as they are.
     `policy` maps column names to settings (method, epsilon, min, max, sensitivity,
     mask_type) or is a policy table; without one the budget is split equally.
-    `sample_rows` infers types from the first rows only. A column that no longer fits the
+    `sample_rows` infers types from the first rows only. `distinct` says how the profile counts
+    distinct values: `exact`, `approx`, or by the number of rows. A column that no longer fits the
     budget becomes NULL, stays as it is (`keep`) or stops the run (`error`).
     """
     if on_exhausted not in ("null", "keep", "error"):
@@ -215,6 +217,9 @@ def fit(
     policy = _policy_table(spark, policy)
 
     sample = df if sample_rows is None else first_rows(df, key, sample_rows)
+    if distinct == "auto":
+        # exact counts shuffle the values of every column, which only a small table is worth
+        distinct = "exact" if sample_rows is not None or df.count() <= EXACT_ROWS else "approx"
     # an identifier is hashed whatever it holds
     profiled = [c for c in names if (overrides or {}).get(c) != "id"]
     typed = infer_types(profile(sample, profiled, distinct=distinct)) if profiled else None
