@@ -22,18 +22,16 @@ from veilframe.llm.common import per_text
 
 START = "▁"
 FAR = 10.0
-#: Kinds of pieces in a sentencepiece file that stand for text: normal and user defined.
-TEXT_KINDS = (1, 4)
 
 
 def read_pieces(path: str) -> dict[str, float]:
-    """Pieces of text and their scores."""
+    """Pieces of text and their scores; runs of marks, which stand for runs of spaces, occur in no word."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    return {
-        p.id_to_piece(i): p.get_score(i) for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))
-    }
+    text = [i for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
+    scores = {p.id_to_piece(i): p.get_score(i) for i in text}
+    return {piece: score for piece, score in scores.items() if piece == START or piece.strip(START)}
 
 
 class Counter:
