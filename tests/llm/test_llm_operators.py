@@ -123,6 +123,7 @@ def test_bpe_equals_the_library(spark, odd, library):
         ids = library.encode_ordinary(text or "")
         want[key, len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode())] += 1
     assert got == want
+    assert Counter(tuple(r) for r in bpe.round_trip(odd, PATH, PATTERN).collect()) == want
     assert bpe.decode(bpe.encode(odd.limit(0), PATH, PATTERN), PATH, PATTERN).count() == 0
 
 

@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 
 from veilframe.llm.common import per_text
 
-#: Words that a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+#: Words that a worker remembers; beyond that only those of the present texts stay.
+REMEMBERED = 500_000
 #: Bytes beyond which a word is encoded as rows.
 LONG = 256
 #: Squares of the lengths of words that are encoded at once.
-ROUND_CELLS = 30_000_000
+ROUND_CELLS = 10_000_000
 #: Ids that are decoded at once.
-DECODED = 2_000_000
+DECODED = 1_000_000
 
 # A word is one row with the list of its tokens; places count from 1.
 SHORT_WORDS = """
@@ -94,7 +94,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.spaces = regex.compile(r"\s\s").search
         self.whole = {w.decode(): b"%d" % r for w, r in ranks.items() if _is_text(w)}
-        self.words: dict[str, bytes] = {}
+        self.words = dict(self.whole)  # a word that is a token is encoded as that token
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         con = self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         made = [(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
@@ -139,12 +139,11 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The decimal ids of each text, joined by one space."""
         split = [self.parts(t) for t in texts]
+        met = set().union(*split)
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if not self.words:
-            self.words.update(self.whole)  # a word that is a token is encoded as that token
+            self.words = {w: self.words[w] for w in met.intersection(self.words)} | self.whole
         known = self.words
-        new = {p: self.split(p) for p in set().union(*split).difference(known)}
+        new = {p: self.split(p) for p in met.difference(known)}
         words = {w for s in new.values() for w in s}.difference(known)
         if words:
             self.learn(sorted(words))
@@ -190,15 +189,38 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """Key, n_tokens, ids_sha256 (of the decimal ids joined by a space) and ids of every row. No shuffle."""
 
     def run(texts: list[bytes]) -> list:
-        made = codec(path, pattern).encode([t.decode() for t in texts])
-        lists = [np.fromstring(m, np.int32, sep=" ") if m else np.empty(0, np.int32) for m in made]
-        sizes = np.array([len(x) for x in lists])
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(lists)))
-        return [pa.array(sizes), [hashlib.sha256(m).hexdigest() for m in made], ids]
+        made, ids, sizes = encoded_texts(texts, path, pattern)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids))
+        return [pa.array(sizes), [hashlib.sha256(m).hexdigest() for m in made], lists]
 
     return per_text(docs, key, text, ENCODED, run)
 
 
+def encoded_texts(texts: list[bytes], path: str, pattern: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Decimal ids of each text joined by a space, all ids, and their number per text."""
+    made = codec(path, pattern).encode([t.decode() for t in texts])
+    lists = [np.fromstring(m, np.int32, sep=" ") if m else np.empty(0, np.int32) for m in made]
+    return made, np.concatenate(lists), np.array([len(x) for x in lists])
+
+
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, n_tokens and digests of the ids and of the bytes they decode to. Encoding and decoding share a worker, so no ids travel."""
+
+    def run(texts: list[bytes]) -> list:
+        made, ids, sizes = encoded_texts(texts, path, pattern)
+        digests: list[str] = []
+        for start, end in _runs(sizes):
+            first = sizes[:start].sum()
+            decoded = codec(path, pattern).decode(ids[first : first + sizes[start:end].sum()], sizes[start:end])
+            digests += [hashlib.sha256(d).hexdigest() for d in decoded]
+        return [pa.array(sizes), [hashlib.sha256(m).hexdigest() for m in made], digests]
+
+    return per_text(docs, key, text, DIGESTS, run)
+
+
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """The rows with the bytes of their ids as a binary column in the place of the ids. NULL ids are no ids."""
     rest = [c for c in encoded.columns if c not in (ids, into)]
@@ -219,10 +241,14 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into:
 
 
 def _by_size(batch: pa.RecordBatch, ids: str) -> Iterator[pa.RecordBatch]:
-    sizes = np.diff(batch.column(ids).offsets.to_numpy())
-    upto, start = np.cumsum(sizes), 0
-    while start < batch.num_rows:
-        before = upto[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(upto, before + DECODED, "right")))
+    for start, end in _runs(np.diff(batch.column(ids).offsets.to_numpy())):
         yield batch.slice(start, end - start)
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about DECODED ids."""
+    upto, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + DECODED, "right")))
+        yield start, end
         start = end

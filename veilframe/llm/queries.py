@@ -35,8 +35,7 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(encoded, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
