@@ -37,9 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digest of the ids, and digest of the text that they decode to."""
-    path, pattern = vocabulary()
-    decoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return bpe.round_trip(docs, *vocabulary())
 
 
 STAGES = [
