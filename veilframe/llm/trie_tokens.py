@@ -2,12 +2,12 @@
 
 The pieces and scores are those of a sentencepiece model file. A text is cut into words at white space, each word is
 led by the mark of a word start, and its best segmentation is the one of the greatest sum of scores, of equal sums the one
-with fewer tokens. The best score of a beginning depends on the beginning only: so the distinct words of some megabytes of text
-are put into a trie, the forward scores are computed once per node, and the nodes where words end keep the number
+with fewer tokens. The best score of a beginning depends on the beginning only: so the distinct words that
+a worker meets are put into a trie, the forward scores are computed once per node, and the nodes where words end keep the number
 of tokens. A character outside the pieces costs FAR below the worst score and counts as its UTF-8 bytes (byte fallback).
 
 Defined cases: NULL and empty texts have 0 tokens. Repeated rows are counted each. Words are never cut. Other columns are not read.
-The work stays in the task that reads the rows; a trie lives as long as its piece of text.
+The work stays in the task that reads the rows; the trie is bounded.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from veilframe.llm.common import per_text
 
 START = "▁"
 FAR = 10.0
+#: Nodes beyond which a worker starts a new trie.
+NODES = 800_000
 
 
 def read_pieces(path: str) -> dict[str, float]:
@@ -35,63 +37,82 @@ def read_pieces(path: str) -> dict[str, float]:
 
 
 class Counter:
-    """Counts tokens of words by the pieces of one model."""
+    """Counts tokens of words by the pieces of one model; the trie stays until it has NODES nodes.
+
+    Which pieces end at a node is told by a second automaton (Aho and Corasick, 1975) over the pieces, whose state is kept per node.
+    """
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces))
         self.unknown = min(pieces.values()) - FAR
-        # endings tell which lengths can match at a node at all
-        lengths: dict[str, set[int]] = {}
-        for p in pieces:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {end: sorted(k) for end, k in lengths.items()}
-
-    def count(self, words: list[str]) -> dict[str, tuple[int, float]]:
-        """Tokens and score of each distinct word."""
-        # a node is its number; children by (node, character)
-        child: dict[tuple[int, str], int] = {}
-        terminal: dict[str, int] = {}
-        parent, depth, last = [0], [0], [""]
-        score, tokens = [0.0], [0]
+        edges: dict[int, int] = {}
+        states = [(0, 0, "")]  # depth, state before, character
+        own: dict[int, tuple[int, float]] = {}
+        for piece, gain in pieces.items():
+            at = 0
+            for depth, c in enumerate(piece, 1):
+                step = at << 21 | ord(c)
+                if step not in edges:
+                    edges[step] = len(states)
+                    states.append((depth, at, c))
+                at = edges[step]
+            own[at] = (len(piece), gain)
+        self.edges, self.fail = edges, [0] * len(states)
+        #: Length and score of the pieces that end in a state, short ones first.
+        self.ending: list[tuple[tuple[int, float], ...]] = [()] * len(states)
+        for at in sorted(range(1, len(states)), key=lambda i: states[i][0]):
+            depth, before, c = states[at]
+            self.fail[at] = self.next(self.fail[before], ord(c)) if depth > 1 else 0
+            self.ending[at] = self.ending[self.fail[at]] + ((own[at],) if at in own else ())
+        self.plant()
+
+    def next(self, state: int, char: int) -> int:
+        while True:
+            after = self.edges.get(state << 21 | char)
+            if after is not None:
+                return after
+            if not state:
+                return 0
+            state = self.fail[state]
+
+    def plant(self) -> None:
+        """An empty trie: children by node and character; state, score and tokens of each node; and where words end."""
+        self.child: dict[int, int] = {}
+        self.state, self.score, self.tokens = [0], [0.0], [0]
+        self.terminal: dict[str, int] = {}
+
+    def count(self, words: list[str]) -> list[tuple[int, float]]:
+        """Tokens and score of each word."""
+        if len(self.state) > NODES:
+            self.plant()
+        child, state, score, tokens, terminal, ending = self.child, self.state, self.score, self.tokens, self.terminal, self.ending
         for word in words:
-            marked = START + word
-            node = 0
-            for k, c in enumerate(marked):
-                below = child.get((node, c))
-                if below is None:
-                    below = child[node, c] = len(parent)
-                    parent.append(node)
-                    depth.append(k + 1)
-                    last.append(c)
-                    best, n = self.forward(marked, k + 1, node, parent, score, tokens)
+            if word in terminal:
+                continue
+            path = [0]
+            for c in START + word:
+                step = path[-1] << 21 | ord(c)
+                node = child.get(step)
+                if node is None:
+                    node = child[step] = len(state)
+                    after = self.next(state[path[-1]], ord(c))
+                    best = None
+                    for length, gain in ending[after]:
+                        at = path[-length]
+                        s, n = score[at] + gain, tokens[at] + 1
+                        if best is None:
+                            best, fewest = s, n
+                            if length > 1:  # no piece for the character itself: bytes may stand for it
+                                s, n = score[path[-1]] + self.unknown, tokens[path[-1]] + len(c.encode())
+                        if s > best or (s == best and n < fewest):
+                            best, fewest = s, n
+                    if best is None:
+                        best, fewest = score[path[-1]] + self.unknown, tokens[path[-1]] + len(c.encode())
+                    state.append(after)
                     score.append(best)
-                    tokens.append(n)
-                node = below
-            terminal[word] = node
-        return {w: (tokens[node], score[node]) for w, node in terminal.items()}
-
-    def forward(self, text: str, end: int, node: int, parent: list[int], score: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Best score and least tokens of text[:end]; node is the one of text[:end - 1]."""
-        c = text[end - 1]
-        best, fewest = score[node] + self.unknown, tokens[node] + len(c.encode())
-        known = False
-        at, back = node, 1
-        for length in self.reach(text, end):
-            while back < length:
-                at, back = parent[at], back + 1
-            gain = self.pieces.get(text[end - length : end])
-            if gain is not None:
-                s, n = score[at] + gain, tokens[at] + 1
-                if length == 1 and not known:
-                    best, fewest, known = s, n, True
-                elif s > best or (s == best and n < fewest):
-                    best, fewest = s, n
-        return best, fewest
-
-    def reach(self, text: str, end: int) -> list[int]:
-        one, two = self.lengths.get(text[end - 1 : end], ()), self.lengths.get(text[end - 2 : end], ()) if end > 1 else ()
-        return [k for k in (*one, *two) if k <= end]
+                    tokens.append(fewest)
+                path.append(node)
+            terminal[word] = path[-1]
+        return [(tokens[terminal[w]], score[terminal[w]]) for w in words]
 
 
 @lru_cache(2)
@@ -109,9 +130,8 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def run(texts: list[bytes]) -> list:
         split = [t.split() for t in texts]
         words = list(set().union(*split))
-        made = counter(path).count([w.decode() for w in words])
         number = {w: i for i, w in enumerate(words)}
-        counts, scores = np.array([made[w.decode()] for w in words]).reshape(-1, 2).T
+        counts, scores = np.array(counter(path).count([w.decode() for w in words])).reshape(-1, 2).T
         places = [np.fromiter(map(number.__getitem__, s), np.int64, len(s)) for s in split]
         return [[len(s) for s in split], [int(counts[p].sum()) for p in places], [float(scores[p].sum()) for p in places]]
 
