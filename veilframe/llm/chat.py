@@ -41,39 +41,43 @@ def rotate(
         F.coalesce(col(speaker).cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(col(text).cast("string"), F.lit("")).alias("text"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62)))
+    # keys without NULL keep one partitioning usable for a window and the join after it
+    rows = rows.withColumns({"none": F.col("conv_id").isNull(), "conv": F.coalesce(F.col("conv_id").cast("string"), F.lit(""))})
     # participants: distinct speakers, combined before the shuffle
-    people = rows.groupBy("conv_id", "speaker").agg(F.lit(1).alias("one"))
+    people = rows.groupBy("none", "conv", "speaker").agg(F.lit(1).alias("one"))
     sets_scene = F.col("speaker").isin(*scene)
-    talkers = people.groupBy(F.col("conv_id").alias("c")).agg(F.max(~sets_scene).alias("others"))
-    seats = people.join(talkers, F.col("conv_id").eqNullSafe(F.col("c"))).where(~sets_scene | ~F.col("others"))
-    seats = seats.select("c", F.col("speaker").alias("perspective"))
-    every = rows.join(seats, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    others = F.max(~sets_scene).over(Window.partitionBy("none", "conv"))
+    seats = people.withColumn("others", others).where(~sets_scene | ~F.col("others")).select("none", "conv", F.col("speaker").alias("perspective"))
+    every = rows.join(seats, ["none", "conv"])
     own = F.col("speaker") == F.col("perspective")
     seat = F.when(own, "assistant").when(sets_scene, "system").otherwise("user")
     header = F.when(own | sets_scene, F.concat(F.lit(START), seat, F.lit("\n"))).otherwise(
         F.concat(F.lit(f"{START}user name="), F.col("speaker"), F.lit("\n"))
     )
+    group = ["none", "conv", "perspective", "block"]
     made = every.select(
-        "conv_id", "perspective", "block", "turn", "speaker", seat.alias("seat"), own.alias("trained"), "text",
-        F.concat(header, "text", F.lit(END)).alias("segment"), F.length(header).alias("head"),
-    ).withColumn("size", F.length("segment").cast("bigint"))
-    blocks = made.groupBy("conv_id", "perspective", "block").agg(F.sum("size").alias("b_size"), F.count("*").alias("b_rows"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        F.col("conv_id").alias("b_conv"), F.col("perspective").alias("b_perspective"), F.col("block").alias("b_block"),
-        _sum("b_size", before).alias("b_start"), _sum("b_rows", before).alias("b_first"),
+        "conv_id", *group, "turn", "speaker", seat.alias("seat"), own.alias("trained"), "text", header.alias("header"),
+        (F.length(header) + F.length("text") + len(END)).cast("bigint").alias("size"),
     )
-    within = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
-    upto = within.rowsBetween(Window.unboundedPreceding, -1)
-    placed = made.withColumn("w_start", _sum("size", upto)).withColumn("w_seq", F.row_number().over(within) - 1)
-    same = (
-        F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("perspective") == F.col("b_perspective")) & (F.col("block") == F.col("b_block"))
+    sizes = rows.select("none", "conv", "block", "speaker", F.length("text").alias("n")).groupBy("none", "conv", "block", "speaker").agg(
+        F.sum("n").alias("n"), F.count("*").alias("turns")
+    )
+    # the same headers for sums of texts: one row per block, speaker and perspective
+    blocks = sizes.join(seats, ["none", "conv"]).groupBy(*group).agg(
+        F.sum(F.col("n") + F.col("turns") * (F.length(header) + len(END))).alias("b_size"), F.sum("turns").alias("b_rows")
     )
+    before = Window.partitionBy("none", "conv", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*group, _sum("b_size", before).alias("b_start"), _sum("b_rows", before).alias("b_first"))
+    within = Window.partitionBy(*group).orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
+    upto = within.rowsBetween(Window.unboundedPreceding, -1)
+    # dealt by block, as a conversation may be very long
+    dealt = made.repartition(*group)
+    placed = dealt.withColumn("w_start", _sum("size", upto)).withColumn("w_seq", F.row_number().over(within) - 1)
     start = F.col("b_start") + F.col("w_start")
-    return placed.join(blocks, same).select(
-        "conv_id", "perspective", (F.col("b_first") + F.col("w_seq")).alias("seq"), "speaker", "seat", "segment", "trained",
-        start.alias("start"), F.when(F.col("trained"), start + F.col("head")).alias("mask_start"),
-        F.when(F.col("trained"), start + F.col("size")).alias("mask_end"),
+    return placed.join(blocks, group).select(
+        "conv_id", "perspective", (F.col("b_first") + F.col("w_seq")).alias("seq"), "speaker", "seat",
+        F.concat("header", "text", F.lit(END)).alias("segment"), "trained", start.alias("start"),
+        F.when(F.col("trained"), start + F.length("header")).alias("mask_start"), F.when(F.col("trained"), start + F.col("size")).alias("mask_end"),
     )
 
 
