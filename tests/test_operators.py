@@ -92,8 +92,13 @@ def test_histogram_search_finds_exact_elements(spark, seed):
     ranks = [0, n // 4, n // 2, 3 * n // 4, n - 1]
     bounds = {"v": (n, min(values), max(values))}
     ordered = sorted(values)
-    for small in (0, 10**6):
-        assert S.order_statistics(df, {"v": ranks}, bounds, small)["v"] == [ordered[k] for k in ranks]
+    assert S.order_statistics(df, {"v": ranks}, bounds)["v"] == [ordered[k] for k in ranks]
+
+
+def test_order_of_the_smallest_numbers(spark):
+    values = [5e-324, 1e-323, 1e-323, 1.5e-323, 1e300, -5e-324]
+    found = S.order_statistics(table(spark, values), {"v": list(range(6))}, {"v": (6, min(values), max(values))})
+    assert found["v"] == sorted(values)
 
 
 def test_rank_outside_the_column_is_refused(spark):
@@ -109,7 +114,7 @@ def test_outliers_against_python(spark, n):
     rng = random.Random(n)
     values = [rng.gauss(10, 2) for _ in range(n - 1)] + [90.0]
     df = table(spark, values)
-    limits = O.fit_limits(df, ["v"], small_rows=0)
+    limits = O.fit_limits(df, ["v"])
     row = O.outlier_summary(df, limits).first()
     assert row["analysis_performed"] == (n >= 3)
     if n < 3:

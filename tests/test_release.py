@@ -30,7 +30,7 @@ def rows(df):
 
 
 def test_trace_of_a_small_table(spark, users):
-    plan = A.fit(users, ["user_id"], secret="s", policy=POLICY, charge_categorical=False)
+    plan = A.fit(users, ["user_id"], secret="s", policy=POLICY, charge_categorical=False, adjust_small=True)
     assert plan.types() == {
         "user_id": "count", "name": "string", "age": "age", "gender": "string", "location": "string",
         "purchase_amount": "numeric", "login_count": "count", "is_active": "boolean", "last_login_days": "count",
@@ -52,7 +52,7 @@ def test_trace_of_a_small_table(spark, users):
 
 
 def test_categories_are_charged_by_default(spark, users):
-    plan = A.fit(users, ["user_id"], secret="s", policy=POLICY)
+    plan = A.fit(users, ["user_id"], secret="s", policy=POLICY, adjust_small=True)
     assert plan.budget_report(spark).first()["used_epsilon"] == 2.8
 
 

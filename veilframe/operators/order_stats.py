@@ -1,8 +1,7 @@
 """Exact order statistics (the k-th smallest value) of many columns at once.
 
-A column of few values, by a count that was checked, is sorted in one task. `percentile` would
-do that for any size, and may interpolate. Beyond it the ranks are narrowed by histograms: each
-pass counts the rows of the current intervals in equal bins, which shuffles at most
+`percentile` would gather a column in one task, and may interpolate. Here the ranks are narrowed by
+histograms at any size: each pass counts the rows of the current intervals in equal bins, which shuffles at most
 bins x intervals rows per task, and keeps the one bin that holds the rank. The observed
 minimum and maximum of that bin are the next interval, and the search ends when they meet.
 """
@@ -17,14 +16,12 @@ from pyspark.sql import functions as F
 from veilframe.functions import values as V
 
 BINS = 1024
-SMALL_ROWS = 100_000
 
 
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int]],
     bounds: Mapping[str, tuple[int, float, float]],
-    small_rows: int = SMALL_ROWS,
 ) -> dict[str, list[float]]:
     """Values at zero-based `ranks` per column, over the column's finite numbers.
 
@@ -35,26 +32,13 @@ def order_statistics(
         for k in wanted:
             if not 0 <= k < bounds[c][0]:
                 raise ValueError(f"rank {k} is outside the {bounds[c][0]} values of {c}")
-    small = {c: r for c, r in ranks.items() if r and bounds[c][0] <= small_rows}
-    large = {c: r for c, r in ranks.items() if r and bounds[c][0] > small_rows}
     out: dict[str, list[float]] = {c: [] for c in ranks}
-    if small:
-        out.update(_by_sorting(numbers, small))
-    if large:
-        out.update(_by_histogram(numbers, large, bounds))
+    wanted = {c: r for c, r in ranks.items() if r}
+    if wanted:
+        out.update(_by_histogram(numbers, wanted, bounds))
     return out
 
 
-def _by_sorting(numbers, ranks) -> dict[str, list[float]]:
-    """The values of a checked, small number of rows, sorted in one task."""
-    aggregates = []
-    for c, wanted in ranks.items():
-        ordered = F.sort_array(F.collect_list(c))
-        aggregates.append(F.array(*[F.element_at(ordered, k + 1) for k in wanted]).alias(c))
-    row = numbers.agg(*aggregates).first()
-    return {c: list(row[c]) for c in ranks}
-
-
 def _by_histogram(numbers, ranks, bounds) -> dict[str, list[float]]:
     # target (column, rank) -> (low, high, rows below low)
     open_targets = {}
@@ -89,8 +73,13 @@ def _histograms(numbers: DataFrame, intervals) -> dict[tuple, list[tuple[int, fl
         v = F.col(c)
         inside = v.between(F.lit(low), F.lit(high))
         wanted = wanted | inside
-        # both halves are divided on their own, so that a very wide interval cannot overflow
-        position = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+        # both halves are taken on their own, so that a very wide interval cannot overflow
+        width = high / 2 - low / 2
+        if width < 1e-300:  # neighbouring tiny numbers cannot be halved: scaled up they can
+            scale = 2.0**1000
+            position = (v * scale - F.lit(low * scale)) / F.lit(high * scale - low * scale)
+        else:
+            position = (v / 2 - F.lit(low / 2)) / F.lit(width)
         slot = F.least(F.floor(position * F.lit(float(BINS))), F.lit(BINS - 1)).cast("int")
         cells += [F.lit(i), F.when(inside, slot), v]
     counted = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import values as V
 from veilframe.operators.cells import stack_rows
-from veilframe.operators.order_stats import SMALL_ROWS, order_statistics
+from veilframe.operators.order_stats import order_statistics
 from veilframe.operators.profile import first_rows
 
 Z_THRESHOLD = 3.0
@@ -57,7 +57,6 @@ def fit_limits(
     columns: Sequence[str],
     z_threshold: float = Z_THRESHOLD,
     iqr_multiplier: float = IQR_MULTIPLIER,
-    small_rows: int = SMALL_ROWS,
 ) -> dict[str, OutlierLimits]:
     """Limits of every column: one aggregate for all, then their quartiles together.
 
@@ -80,7 +79,7 @@ def fit_limits(
         if n >= 3:
             ranks[c] = [n // 4, 3 * n // 4, (n - 1) // 2, n // 2]
             bounds[c] = (n, low, high)
-    found = order_statistics(df, ranks, bounds, small_rows) if ranks else {}
+    found = order_statistics(df, ranks, bounds) if ranks else {}
     out = {}
     for c, (n, mean, std, low, high) in stats.items():
         q1, q3, below, above = found.get(c, [None] * 4)

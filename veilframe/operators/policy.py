@@ -44,6 +44,7 @@ TYPE_DEFAULTS = {
     "string": {"mask_type": "partial"},
 }
 OTHER_DEFAULT = {"method": "laplace", "epsilon": 0.2}
+# What is said of a purpose that is not configured.
 CUSTOM_PURPOSE = ("Custom purpose", "No specific compliance notes")
 
 SMALL_ROWS = 500

@@ -13,7 +13,6 @@ from veilframe.operators.cells import one_row, stack_rows, unpivot_numbers
 from veilframe.operators.profile import first_rows
 
 EXTREME_VALUE = 1e10
-TYPE_SAMPLE = 10
 MAX_DETAILS = 20
 
 
@@ -25,12 +24,12 @@ def type_mix(
     df: DataFrame,
     key: Sequence[str],
     columns: Sequence[str] | None = None,
-    sample_rows: int | None = TYPE_SAMPLE,
+    sample_rows: int | None = None,
 ) -> DataFrame:
     """Text columns whose values are not all of the class that the first value has.
 
     The classes are numbers, boolean words and other text; blank and null values have none.
-    Other columns have a declared type. `sample_rows=None` looks at every row. The first
+    Other columns have a declared type. Every row counts unless `sample_rows` is given. The first
     class comes from an aggregate over the key, not from a sort.
     """
     columns = [c for c in (columns or df.columns) if V.is_text(df.schema[c].dataType)]
@@ -43,8 +42,7 @@ def type_mix(
     aggregates = []
     known = {}
     for c in columns:
-        kind = V.value_class(F.col(c), df.schema[c].dataType)
-        known[c] = F.when(V.is_number_text(F.col(c)), F.lit("numeric")).when(kind != "null", kind)
+        known[c] = _text_class(df, c)
     for i, c in enumerate(columns):
         aggregates.append(F.min_by(known[c], F.when(known[c].isNotNull(), ordered)).alias(f"first_{i}"))
         for kind in ("boolean", "numeric", "string"):
@@ -62,6 +60,24 @@ def type_mix(
     return long.select("column", "ord", "expected_class", other.alias("differing")).where("differing > 0")
 
 
+def _text_class(df: DataFrame, c: str) -> Column:
+    kind = V.value_class(F.col(c), df.schema[c].dataType)
+    return F.when(V.is_number_text(F.col(c)), F.lit("numeric")).when(kind != "null", kind)
+
+
+def mixed_cells(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """(row_key, column) of every text cell that is not of the class of its column's first value."""
+    columns = [c for c in (columns or df.columns) if V.is_text(df.schema[c].dataType)]
+    expected = type_mix(df, key, columns).select(F.col("column").alias("name"), "expected_class")
+    if not columns:
+        return expected.select(F.lit("").alias("row_key"), F.col("name").alias("column"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text_class(df, c).alias("kind")) for c in columns])
+    rows = df.select(row_key(key).alias("row_key"), F.inline(cells)).where("kind IS NOT NULL")
+    # one row per mixed column: as wide as the schema
+    met = rows.join(F.broadcast(expected), (F.col("column") == F.col("name")) & (F.col("kind") != F.col("expected_class")))
+    return met.select("row_key", "column")
+
+
 def extreme_values(
     df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, limit: float = EXTREME_VALUE
 ) -> DataFrame:
@@ -188,12 +204,9 @@ def issues(
         "column",
         "value",
     )
-    mixed = type_mix(df, key, columns).select(
-        F.lit("warning").alias("severity"),
-        F.lit("type_mix").alias("check"),
-        "column",
-        F.explode(F.sequence(F.lit(1), F.col("differing"))).alias("n"),
-    ).drop("n")
+    mixed = mixed_cells(df, key, columns).select(
+        F.lit("warning").alias("severity"), F.lit("type_mix").alias("check"), "row_key", "column"
+    )
     out = extreme.unionByName(mixed, allowMissingColumns=True)
     empty = df.agg(F.count(F.lit(1)).alias("rows")).where("rows = 0").select(
         F.lit("critical").alias("severity"), F.lit("empty_dataset").alias("check")

@@ -37,7 +37,6 @@ from veilframe.operators.utility import NOISY, utility_metrics, utility_summary
 
 DATASET = "dataset"
 KEY = "__key"
-EXACT_ROWS = 1_000_000
 LEDGER_SCHEMA = (
     "dataset string, stage string, ord int, column string, operation string, epsilon double, "
     "admitted boolean, used_after double, total_epsilon double, formal boolean"
@@ -177,11 +176,11 @@ def fit(
     exclude: Sequence[str] = (),
     release: Sequence[str] | None = None,
     sample_rows: int | None = None,
-    distinct: str = "auto",
+    distinct: str = "exact",
     impute: str = "typed",
     charge_categorical: bool = True,
     on_exhausted: str = "null",
-    adjust_small: bool = True,
+    adjust_small: bool = False,
     salt: str | None = None,
     digest: str = "md5",
     delta: float = M.DEFAULT_DELTA,
@@ -196,7 +195,8 @@ def fit(
     `policy` maps column names to settings (method, epsilon, min, max, sensitivity,
     mask_type) or is a policy table; without one the budget is split equally.
     `sample_rows` infers types from the first rows only. `distinct` says how the profile counts
-    distinct values: `exact`, `approx`, or by the number of rows. A column that no longer fits the
+    distinct values, `exact` or `approx`, at every size. `adjust_small` raises an epsilon below 2 to 4
+    where a table has fewer than 500 rows. A column that no longer fits the
     budget becomes NULL, stays as it is (`keep`) or stops the run (`error`).
     """
     if on_exhausted not in ("null", "keep", "error"):
@@ -217,9 +217,6 @@ def fit(
     policy = _policy_table(spark, policy)
 
     sample = df if sample_rows is None else first_rows(df, key, sample_rows)
-    if distinct == "auto":
-        # exact counts shuffle the values of every column, which only a small table is worth
-        distinct = "exact" if sample_rows is not None or df.count() <= EXACT_ROWS else "approx"
     # an identifier is hashed whatever it holds
     profiled = [c for c in names if (overrides or {}).get(c) != "id"]
     typed = infer_types(profile(sample, profiled, distinct=distinct)) if profiled else None
@@ -382,8 +379,8 @@ def preprocess_summary(
         wide = wide.withColumn("columns_analyzed", F.lit(0))
     used = [f for f in fills.values() if f.missing_count > 0]
     advice = F.array_compact(F.array(
-        F.when(F.col("critical") > 0, F.lit("Address critical data quality issues before anonymization")),
-        F.when(F.col("total_outliers") > 0, F.lit("Review outlier analysis and consider data cleaning if needed")),
+        F.when(F.col("critical") > 0, F.lit("empty_table")),
+        F.when(F.col("total_outliers") > 0, F.lit("outliers_found")),
     ))
     return wide.select(
         F.col("rows").alias("original_rows"),

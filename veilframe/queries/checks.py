@@ -52,6 +52,17 @@ def csv_roundtrip(spark, sf_dir):
     return text.select([F.col(f.name).cast(f.dataType) for f in df.schema.fields])
 
 
+# cells with delimiters, doubled quotes and line breaks
+_QUOTED = "concat('say \"', lang, '\", ', replace(text, 'e', '\"'))"
+
+
+@query("csv_quoted", f"select doc_id, {_QUOTED} as cell from documents")
+def csv_quoted(spark, sf_dir):
+    path = scratch_dir(spark) + "/quoted"
+    S.write_delimited(table(spark, sf_dir, "documents").select("doc_id", F.expr(_QUOTED).alias("cell")), path)
+    return S.read_delimited(spark, path, ",", line_breaks=True).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 _RAGGED = (
     "case c_custkey % 50 when 1 then concat_ws(';', c_custkey, c_name, c_nationkey) "
     f"when 2 then concat({_LINE}, ';surplus') when 3 then '' else {_LINE} end"
@@ -421,7 +432,7 @@ _IMPUTED_COUNTS = " + ".join(f"count(*) filter ({_GAPS_MISSING[c]})" for c in ("
         cast(gone as integer) as values_imputed, {r('1e-1 / 5')} as epsilon_used,
         cast(2 as bigint) as columns_analyzed, hit as columns_with_outliers, total_outliers,
         cast(total_outliers > 0 as integer) as issues_detected,
-        case when total_outliers > 0 then 'Review outlier analysis and consider data cleaning if needed' else '' end
+        case when total_outliers > 0 then 'outliers_found' else '' end
         as recommendations from g, s""",
 )
 def preprocess_summary(spark, sf_dir):

@@ -61,7 +61,7 @@ _CUSTOMER_SQL = "select " + ", ".join(
 
 def customer_plan(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return df, A.fit(df, ["c_custkey"], secret=SECRET, overrides={"c_custkey": "id"})
+    return df, A.fit(df, ["c_custkey"], secret=SECRET, overrides={"c_custkey": "id"}, adjust_small=True)
 
 
 @query("anonymize_customer", _CUSTOMER_SQL)
@@ -79,7 +79,8 @@ def exclude_columns(spark, sf_dir):
     """Name and segment stay as they are and cost nothing."""
     df = table(spark, sf_dir, "customer")
     plan = A.fit(
-        df, ["c_custkey"], secret=SECRET, overrides={"c_custkey": "id"}, exclude=["c_name", "c_mktsegment"]
+        df, ["c_custkey"], secret=SECRET, overrides={"c_custkey": "id"}, exclude=["c_name", "c_mktsegment"],
+        adjust_small=True,
     )
     return rounded(plan.transform(df))
 

@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELIMITERS = [",", ";", "\t", "|"]
-SAMPLE_LINES = 100
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, max_rows: int | None = None, encoding: str = "UTF-8"
+    spark: SparkSession, path: str, sep: str | None = None, max_rows: int | None = None, encoding: str = "UTF-8",
+    line_breaks: bool = False, sample_lines: int | None = None,
 ) -> DataFrame:
-    """Text with a header line, every cell a string. The delimiter is detected if not given."""
-    sep = sep or detect_delimiter(spark, path)
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False)
+    """Text with a header line, every cell a string; a quote within quotes is doubled.
+
+    The delimiter is detected if not given, from all lines or the first `sample_lines`. `line_breaks`
+    reads cells that hold line breaks; a file is then one task, whatever its size.
+    """
+    sep = sep or detect_delimiter(spark, path, sample_lines=sample_lines)
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, escape='"', multiLine=line_breaks)
     if not df.columns:
         raise ValueError(f"{path} has no header")
     return df if max_rows is None else df.limit(max_rows)
@@ -39,7 +43,7 @@ def with_file_key(df: DataFrame, name: str = "file_key") -> DataFrame:
 def write_delimited(df: DataFrame, path: str, sep: str = ",", columns: Sequence[str] | None = None) -> None:
     """Delimited text with a header in each file, columns in the given order."""
     out = df if columns is None else df.select(*columns)
-    out.write.csv(path, header=True, sep=sep, mode="errorifexists")
+    out.write.csv(path, header=True, sep=sep, escape='"', mode="errorifexists")
 
 
 def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
@@ -86,9 +90,9 @@ def detect_delimiter(
     spark: SparkSession,
     path: str,
     candidates: Sequence[str] = DELIMITERS,
-    sample_lines: int | None = SAMPLE_LINES,
+    sample_lines: int | None = None,
 ) -> str:
-    """The candidate that splits every line into the same number of fields, the more the better.
+    """The candidate that splits every line (or the first `sample_lines`) into the same number of fields, the more the better.
 
     Where no candidate does, the one with the most fields in every line; else a comma.
     """
