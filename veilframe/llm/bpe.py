@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 
 from veilframe.llm.common import per_text
 
-#: Words that a worker remembers; beyond that only those of the present texts stay.
-REMEMBERED = 500_000
+#: Words that a worker remembers; beyond that only those of the present texts stay. More words take more memory and less time.
+REMEMBERED = 200_000
 #: Bytes beyond which a word is encoded as rows.
 LONG = 256
 #: Squares of the lengths of words that are encoded at once.
 ROUND_CELLS = 10_000_000
 #: Ids that are decoded at once.
-DECODED = 1_000_000
+DECODED = 500_000
 
 # A word is one row with the list of its tokens; places count from 1.
 SHORT_WORDS = """
@@ -88,7 +88,8 @@ FROM pieces JOIN vocab USING (tok) GROUP BY doc
 class Codec:
     """The vocabulary of one rank file in an in-process DuckDB, and the words met so far."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
@@ -140,7 +141,7 @@ class Codec:
         """The decimal ids of each text, joined by one space."""
         split = [self.parts(t) for t in texts]
         met = set().union(*split)
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self.words = {w: self.words[w] for w in met.intersection(self.words)} | self.whole
         known = self.words
         new = {p: self.split(p) for p in met.difference(known)}
@@ -175,9 +176,9 @@ def _is_text(word: bytes) -> bool:
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, remembered: int = REMEMBERED) -> Codec:
     """One per worker and vocabulary."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, remembered)
 
 
 ENCODED = [
@@ -196,9 +197,9 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return per_text(docs, key, text, ENCODED, run)
 
 
-def encoded_texts(texts: list[bytes], path: str, pattern: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def encoded_texts(texts: list[bytes], *vocabulary) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Decimal ids of each text joined by a space, all ids, and their number per text."""
-    made = codec(path, pattern).encode([t.decode() for t in texts])
+    made = codec(*vocabulary).encode([t.decode() for t in texts])
     lists = [np.fromstring(m, np.int32, sep=" ") if m else np.empty(0, np.int32) for m in made]
     return made, np.concatenate(lists), np.array([len(x) for x in lists])
 
@@ -206,15 +207,16 @@ def encoded_texts(texts: list[bytes], path: str, pattern: str) -> tuple[list[byt
 DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Key, n_tokens and digests of the ids and of the bytes they decode to. Encoding and decoding share a worker, so no ids travel."""
+    own = (path, pattern, remembered)
 
     def run(texts: list[bytes]) -> list:
-        made, ids, sizes = encoded_texts(texts, path, pattern)
+        made, ids, sizes = encoded_texts(texts, *own)
         digests: list[str] = []
         for start, end in _runs(sizes):
             first = sizes[:start].sum()
-            decoded = codec(path, pattern).decode(ids[first : first + sizes[start:end].sum()], sizes[start:end])
+            decoded = codec(*own).decode(ids[first : first + sizes[start:end].sum()], sizes[start:end])
             digests += [hashlib.sha256(d).hexdigest() for d in decoded]
         return [pa.array(sizes), [hashlib.sha256(m).hexdigest() for m in made], digests]
 

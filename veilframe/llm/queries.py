@@ -35,7 +35,7 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    return bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern, remembered=500_000)
 
 
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
