@@ -7,6 +7,7 @@ without a shuffle, an action or a Python function, so it serves batches and stre
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
@@ -76,6 +77,7 @@ class AnonymizationPlan:
     ledger_rows: tuple[tuple, ...]
     keep_unreadable: bool = False
     overridden: bool = False
+    release_id: str = ""
 
     @property
     def numeric_columns(self) -> list[str]:
@@ -108,7 +110,7 @@ class AnonymizationPlan:
         if isinstance(noise, KeyedNoise):
             noise = KeyedNoise(noise.secret, KEY, noise.digest)
         draws = [
-            noise.uniform(p.column, s).alias(_draw(p.ord, s)) for p in self.columns for s in range(p.streams)
+            noise.uniform(f"{self.release_id}/{p.column}", s).alias(_draw(p.ord, s)) for p in self.columns for s in range(p.streams)
         ]
         return df.select("*", key.alias(KEY)).select("*", *draws)
 
@@ -186,6 +188,7 @@ def fit(
     delta: float = M.DEFAULT_DELTA,
     noise: KeyedNoise | TaskNoise | None = None,
     keep_unreadable: bool = False,
+    release_id: str | None = None,
 ) -> AnonymizationPlan:
     """Learn a release plan from a table.
 
@@ -198,6 +201,8 @@ def fit(
     distinct values, `exact` or `approx`, at every size. `adjust_small` raises an epsilon below 2 to 4
     where a table has fewer than 500 rows. A column that no longer fits the
     budget becomes NULL, stays as it is (`keep`) or stops the run (`error`).
+    `release_id` enters every draw; by default it is a fingerprint of the mechanisms, so that the same plan
+    repeats its noise and plans that differ anywhere are independent of each other.
     """
     if on_exhausted not in ("null", "keep", "error"):
         raise ValueError(f"on_exhausted must be 'null', 'keep' or 'error', got {on_exhausted!r}")
@@ -287,9 +292,15 @@ def fit(
     return AnonymizationPlan(
         tuple(plans), key, noise, rows, budget["total_epsilon"], budget["preprocessing_epsilon"],
         budget["column_budget"], tuple(ledger_rows), keep_unreadable, bool(overrides),
+        _fingerprint(plans) if release_id is None else release_id,
     )
 
 
+def _fingerprint(plans: Sequence[ColumnPlan]) -> str:
+    settings = repr([(p.column, p.mechanism, p.imputation, p.released) for p in plans])
+    return hashlib.sha256(settings.encode()).hexdigest()[:16]
+
+
 def _policy_table(spark: SparkSession, policy) -> DataFrame | None:
     if policy is None:
         return None

@@ -15,6 +15,15 @@ from veilframe.session import scratch_dir
 from veilframe.streaming.release import release_stream
 
 
+# The checks must be able to repeat the noise of a release.
+RELEASE = "check"
+
+
+def drawn(column: str) -> str:
+    """The name under which a release draws for a column."""
+    return f"{RELEASE}/{column}"
+
+
 def budget_sql(source: str, epsilon: float, columns: int) -> str:
     """Total, column budget and equal share of a dataset, with the size rule."""
     return f"""select total, total - least(1e-1, total * 1e-1) as budget,
@@ -24,12 +33,12 @@ def budget_sql(source: str, epsilon: float, columns: int) -> str:
 
 def _number_sql(c: str, key: str, sensitivity: str, epsilon: str = "share") -> str:
     """Laplace noise, not below zero if the column never is."""
-    noisy = f"{c} + {laplace_sql(u_sql(c, key), f'least({sensitivity}, max_{c} - min_{c}) / {epsilon}')}"
+    noisy = f"{c} + {laplace_sql(u_sql(drawn(c), key), f'least({sensitivity}, max_{c} - min_{c}) / {epsilon}')}"
     return f"case when min_{c} >= 0 then greatest({noisy}, 0e0) else {noisy} end"
 
 
 def _count_sql(c: str, key: str, epsilon: str = "share") -> str:
-    return f"greatest(round_even({c} + {laplace_sql(u_sql(c, key), f'1e0 / {epsilon}')}, 0) + 0e0, 0e0)"
+    return f"greatest(round_even({c} + {laplace_sql(u_sql(drawn(c), key), f'1e0 / {epsilon}')}, 0) + 0e0, 0e0)"
 
 
 def _stats_sql(source: str, numbers: list[str], categories: list[str]) -> str:
@@ -39,7 +48,7 @@ def _stats_sql(source: str, numbers: list[str], categories: list[str]) -> str:
 
 
 def _category_sql(c: str, key: str, epsilon: str = "share") -> str:
-    return categorical_rr_sql(c, c, key, f"cats_{c}", epsilon)
+    return categorical_rr_sql(c, drawn(c), key, f"cats_{c}", epsilon)
 
 
 # --- customers: equal split of the budget ------------------------------------------------
@@ -61,7 +70,7 @@ _CUSTOMER_SQL = "select " + ", ".join(
 
 def customer_plan(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return df, A.fit(df, ["c_custkey"], secret=SECRET, overrides={"c_custkey": "id"}, adjust_small=True)
+    return df, A.fit(df, ["c_custkey"], secret=SECRET, release_id=RELEASE, overrides={"c_custkey": "id"}, adjust_small=True)
 
 
 @query("anonymize_customer", _CUSTOMER_SQL)
@@ -79,7 +88,7 @@ def exclude_columns(spark, sf_dir):
     """Name and segment stay as they are and cost nothing."""
     df = table(spark, sf_dir, "customer")
     plan = A.fit(
-        df, ["c_custkey"], secret=SECRET, overrides={"c_custkey": "id"}, exclude=["c_name", "c_mktsegment"],
+        df, ["c_custkey"], secret=SECRET, release_id=RELEASE, overrides={"c_custkey": "id"}, exclude=["c_name", "c_mktsegment"],
         adjust_small=True,
     )
     return rounded(plan.transform(df))
@@ -127,7 +136,7 @@ def order_plan(spark, sf_dir, **options):
         (F.col("o_orderstatus") == "F").alias("o_done"), "o_orderpriority",
     )
     return df, A.fit(
-        df, ["o_orderkey"], secret=SECRET, policy=_ORDER_POLICY, overrides={"o_orderkey": "id"}, **options
+        df, ["o_orderkey"], secret=SECRET, release_id=RELEASE, policy=_ORDER_POLICY, overrides={"o_orderkey": "id"}, **options
     )
 
 
@@ -135,7 +144,7 @@ def _orders_sql(year: str) -> str:
     price = _number_sql("o_totalprice", "o_orderkey", "5e2", "4e-1")
     return f"""select {hash_sql('o_orderkey')} as o_orderkey,
         {_category_sql('o_orderstatus', 'o_orderkey', '2e-1')} as o_orderstatus, {r(price, 4)} as o_totalprice,
-        {year} as o_year, {boolean_rr_sql('o_done', u_sql('o_done', 'o_orderkey'), '3e-1')} as o_done, o_orderpriority
+        {year} as o_year, {boolean_rr_sql('o_done', u_sql(drawn('o_done'), 'o_orderkey'), '3e-1')} as o_done, o_orderpriority
         from ({_ORDER_SOURCE}), ({_stats_sql('orders', ['o_totalprice'], ['o_orderstatus'])})"""
 
 
@@ -185,7 +194,7 @@ _LINE_RELEASE = {
 def line_plan(spark, sf_dir):
     df = spread(table(spark, sf_dir, "lineitem"))
     ids = {c: "id" for c in ("l_orderkey", "l_partkey", "l_suppkey")}
-    return df, A.fit(df, df.columns, secret=SECRET, global_epsilon=5.0, overrides=ids, distinct="approx")
+    return df, A.fit(df, df.columns, secret=SECRET, release_id=RELEASE, global_epsilon=5.0, overrides=ids, distinct="approx")
 
 
 @query(
@@ -231,12 +240,27 @@ def ml_compare(spark, sf_dir):
         "o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("o_year"), "o_orderpriority"
     )
     plan = A.fit(
-        df, ["o_orderkey"], secret=SECRET, global_epsilon=10.0, overrides={"o_orderkey": "id"},
+        df, ["o_orderkey"], secret=SECRET, release_id=RELEASE, global_epsilon=10.0, overrides={"o_orderkey": "id"},
         exclude=["o_orderstatus"],
     )
     return compare_models(df, plan, "o_orderstatus", skip=["o_orderkey"])
 
 
+@query("release_pair", "select count(*) as orders, cast(0 as bigint) as recovered from orders")
+def release_pair(spark, sf_dir):
+    """Two plans under one secret: twice the second less the first must not give the original back."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    noisy = []
+    for epsilon in (0.2, 0.4):
+        policy = {"o_totalprice": {"method": "laplace", "epsilon": epsilon, "min": 0.0, "max": 1e6, "sensitivity": 500.0}}
+        plan = A.fit(df, ["o_orderkey"], secret=SECRET, policy=policy, overrides={"o_orderkey": "id"})
+        noisy.append(plan.paired(df).select("__key", F.col("o_totalprice").alias("value"), F.col("o_totalprice__noisy").alias(f"n{len(noisy)}")))
+    both = noisy[0].join(noisy[1].drop("value"), "__key")
+    return both.agg(
+        F.count("*").alias("orders"), F.count_if(F.abs(2 * F.col("n1") - F.col("n0") - F.col("value")) < 0.01).alias("recovered")
+    )
+
+
 _EVENT_COLUMNS = {
     "event_id": hash_sql("event_id"),
     "user_id": hash_sql("user_id"),
@@ -256,7 +280,7 @@ def stream_transform(spark, sf_dir):
     names = list(_EVENT_COLUMNS)
     events = table(spark, sf_dir, "events")
     plan = A.fit(
-        events.select(names), ["event_id"], secret=SECRET, global_epsilon=2.0,
+        events.select(names), ["event_id"], secret=SECRET, release_id=RELEASE, global_epsilon=2.0,
         overrides={"event_id": "id", "user_id": "id"},
     )
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
