@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import discrete as D
 from veilframe.functions import noise as N
-from veilframe.functions.rng import KeyedNoise, TaskNoise, hashed_row_key
+from veilframe.functions.rng import KeyedNoise, TaskNoise, hashed_row_key, row_key
 
 LINES = "/root/testdata/sf0.01/lineitem.parquet"
 
@@ -140,3 +140,9 @@ def test_masks(spark):
     assert len(rows[3]["hash"]) == 12
     with pytest.raises(ValueError):
         D.mask(F.col("v"), "rot13")
+
+
+def test_keys_of_different_rows_differ(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None), ("-", "a"), ("1:a", "a"), ("", ""), ("", None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(row_key(["x", "y"])).distinct().count() == len(rows)

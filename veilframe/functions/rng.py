@@ -19,10 +19,11 @@ _CELLS = float(2**52)
 
 
 def row_key(columns: Sequence[str]) -> Column:
-    """One string per row. NULLs are spelled out so that they cannot shift the fields."""
+    """One string per row. Each of several fields is led by its length, so that no two rows of different fields share a key."""
     if len(columns) == 1:
         return F.col(columns[0]).cast("string")
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
 
 
 def hashed_row_key(columns: Sequence[str]) -> Column:

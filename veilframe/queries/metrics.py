@@ -54,7 +54,9 @@ LINE_COLUMNS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     "l_returnflag", "l_linestatus", "l_shipdate",
 ]
-LINE_KEY_SQL = "md5(concat_ws('|', " + ", ".join(f"cast({c} as varchar)" for c in LINE_COLUMNS) + "))"
+LINE_KEY_SQL = "md5(concat_ws('|', " + ", ".join(
+    f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in LINE_COLUMNS
+) + "))"
 _LINE_SCALES = {"l_quantity": (1.0, 0.3), "l_extendedprice": (1000.0, 0.3), "l_discount": (0.1, 0.5), "l_tax": (0.08, 0.5)}
 LINE_SQL = "select k, " + ", ".join(_LINE_SCALES) + ", " + ", ".join(
     f"{c} + {laplace_sql(u_sql(c, 'k'), f'{s}e0 / {e}e0')} as {c}__noisy" for c, (s, e) in _LINE_SCALES.items()
