@@ -81,8 +81,18 @@ def test_half_is_rounded_to_even(spark):
     zero = F.lit(0.5)  # the median draw is no noise
     df = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,), (None,)], "v double")
     got = [r[0] for r in df.select(N.discrete_laplace(F.col("v"), zero, 1.0, 1.0)).collect()]
-    assert got == [0.0, 2.0, 2.0, 0.0, None]
-    assert math.copysign(1, got[3]) == 1
+    assert got == [0, 2, 2, 0, None] and all(type(g) is int for g in got[:4])
+
+
+def test_whole_values_keep_their_digits(spark):
+    zero = F.lit(0.5)
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big,), (2**63 - 1,), (-5,), (None,)], "v bigint")
+    got = [r[0] for r in df.select(N.discrete_laplace(F.col("v"), zero, 1.0, 1.0, integral=True, lower=0.5)).collect()]
+    assert got == [big, 2**63 - 1, 1, None]
+    far = spark.createDataFrame([(2**63 - 1,)], "v bigint").select(
+        N.discrete_laplace(F.col("v"), F.lit(0.99), 1.0, 0.1, integral=True)).first()[0]
+    assert 2**63 - 2048 <= far <= 2**63 - 1
 
 
 def test_scaling_applies_to_the_value(spark):

@@ -231,7 +231,7 @@ def test_ledger_is_greedy(spark, seed):
             entries.append((f"d{d}", o, f"c{o}", "laplace", e / 10))
             expected[f"d{d}", o] = (admitted, used / 10)
     rng.shuffle(entries)
-    charged = B.ledger(
+    charged = B.folded_ledger(
         spark.createDataFrame(entries, "dataset string, ord int, column string, operation string, epsilon double"),
         spark.createDataFrame(totals, "dataset string, total_epsilon double"),
     )
@@ -267,19 +267,26 @@ def test_long_ledger_is_greedy(spark, seed):
     charged = B.ledger(
         spark.createDataFrame(entries, "dataset string, ord int, column string, operation string, epsilon double"),
         spark.createDataFrame(totals, "dataset string, total_epsilon double"),
-        max_folded=10,
     ).collect()
     assert len(charged) == len(expected)
     assert {(r["dataset"], r["ord"]): (r["admitted"], round(r["used_after"] * 1e9)) for r in charged} == expected
 
 
-def test_tenths_add_up(spark):
-    entries = [("d", i, f"c{i}", "laplace", e) for i, e in enumerate((0.1, 0.2))]
-    charged = B.ledger(
-        spark.createDataFrame(entries, "dataset string, ord int, column string, operation string, epsilon double"),
-        spark.createDataFrame([("d", 0.3)], "dataset string, total_epsilon double"),
-    )
-    assert [r["admitted"] for r in charged.collect()] == [True, True]
+@pytest.mark.parametrize("way", [B.ledger, B.folded_ledger])
+def test_tenths_add_up(spark, way):
+    schema = "dataset string, ord int, column string, operation string, epsilon double"
+
+    def charge(epsilons, total):
+        entries = [("d", i, f"c{i}", "laplace", e) for i, e in enumerate(epsilons)]
+        totals = spark.createDataFrame([("d", total)], "dataset string, total_epsilon double")
+        return sorted(way(spark.createDataFrame(entries, schema), totals).collect(), key=lambda r: r["ord"])
+
+    assert [r["admitted"] for r in charge([0.1, 0.2], 0.3)] == [True, True]
+    # what rounds to nothing costs 1e-9
+    assert [r["admitted"] for r in charge([1e-12, 1e-12], 1e-9)] == [True, False]
+    for bad in (0.0, -0.5, None, float("nan")):
+        with pytest.raises(Exception, match="epsilon must be above zero"):
+            charge([0.1, bad], 1.0)
 
 
 # --- utility and risk

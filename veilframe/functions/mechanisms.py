@@ -136,11 +136,13 @@ def apply(m: Mechanism, value: Column, dtype: T.DataType, draws: Sequence[Column
         return D.categorical_response(value.cast("string"), draws[0], draws[1], m.categories, m.epsilon)
     if m.method == "randomized_response":
         return D.boolean_response(V.to_boolean(value, dtype), draws[0], m.epsilon)
+    if m.method == "discrete_laplace":
+        integral = isinstance(dtype, T.IntegralType)
+        number = value if integral else V.to_number(value, dtype)
+        return N.discrete_laplace(number, draws[0], m.sensitivity, m.epsilon, integral, m.lower, m.upper)
     number = V.to_number(value, dtype)
     if m.method.endswith("gaussian"):
         noisy = N.gaussian(number, draws[0], draws[1], m.sensitivity, m.epsilon, m.delta)
-    elif m.method == "discrete_laplace":
-        noisy = N.discrete_laplace(number, draws[0], m.sensitivity, m.epsilon)
     elif m.method in NUMERIC_METHODS:
         noisy = N.laplace(number, draws[0], m.sensitivity, m.epsilon)
     else:

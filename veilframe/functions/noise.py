@@ -46,9 +46,37 @@ def bounded_laplace(
     return clamp(laplace(value, u, sensitivity, epsilon), lower, upper, value)
 
 
-def discrete_laplace(value: Column, u: Column, sensitivity: float, epsilon: float) -> Column:
-    """Rounded to the even neighbour; adding 0 turns a negative zero into zero."""
-    return F.rint(laplace(value, u, sensitivity, epsilon)) + F.lit(0.0)
+#: Doubles beyond this cannot be told from the ends of BIGINT.
+_WHOLE = float(2**63 - 1024)
+
+
+def whole(number: Column) -> Column:
+    """A double as BIGINT, rounded to the even neighbour and limited to what BIGINT holds. NULL and NaN give NULL."""
+    limited = F.greatest(F.lit(-_WHOLE), F.least(F.lit(_WHOLE), F.rint(number)))
+    return F.when(number.isNotNull() & ~F.isnan(number), limited).cast("bigint")
+
+
+def discrete_laplace(
+    value: Column, u: Column, sensitivity: float, epsilon: float, integral: bool = False,
+    lower: float | None = None, upper: float | None = None,
+) -> Column:
+    """A BIGINT: value plus noise, rounded to the even neighbour and limited to the whole numbers within the bounds.
+
+    `integral` says that `value` is of a whole type. Then only the noise is rounded, so that values above 2^53 keep
+    all their digits; a sum beyond BIGINT ends at its limit.
+    """
+    _check(sensitivity, epsilon)
+    rounded = whole(laplace(value, u, sensitivity, epsilon))
+    if integral:
+        exact = value.cast("bigint")
+        rounded = F.coalesce(F.try_add(exact, whole(laplace_sample(u, sensitivity / epsilon))), rounded)
+        rounded = F.when(value.isNotNull(), rounded)
+    out = rounded
+    if lower is not None:
+        out = F.greatest(out, F.lit(math.ceil(lower)).cast("bigint"))
+    if upper is not None:
+        out = F.least(out, F.lit(math.floor(upper)).cast("bigint"))
+    return out if lower is None and upper is None else F.when(rounded.isNotNull(), out)
 
 
 def scaled_laplace(

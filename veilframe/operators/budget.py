@@ -2,42 +2,33 @@
 
 Admission is greedy in column order. An entry that does not fit is skipped and does not
 count, and a later, smaller one may still fit; a running sum cannot express that. The
-entries of one dataset are folded as an array, which for the columns of a table is as wide
-as its schema. A dataset with more entries than that takes the way of `long_ledger`.
-Epsilons are summed as decimals: 0.1 + 0.2 fits into 0.3.
+columns of a table are folded as an array as wide as its schema (`folded_ledger`); entries of
+any number are charged by `ledger`. Which of the two is meant is for the caller to say.
+Epsilons are summed as decimals of nine digits: 0.1 + 0.2 fits into 0.3, and a positive epsilon
+costs at least 1e-9. One that is missing or not above zero stops the charge; `ledger_violations`
+lists such entries.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from veilframe.operators.long_ledger import long_ledger
+from veilframe.operators.long_ledger import EPSILON_TYPE, charged_epsilon, long_ledger, ranked
 
-EPSILON_TYPE = "decimal(18,9)"
-MAX_FOLDED = 10_000
 
-
-def ledger(entries: DataFrame, totals: DataFrame, max_folded: int = MAX_FOLDED) -> DataFrame:
-    """Admit or skip each entry.
+def ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
+    """Admit or skip each entry, however many a dataset has.
 
     `entries` has (dataset, ord, column, operation, epsilon), `totals` (dataset,
-    total_epsilon). The result adds admitted and used_after. The entries of each dataset are
-    counted first: up to `max_folded` of them are folded in one task.
+    total_epsilon). The result adds admitted and used_after.
     """
-    long = entries.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_folded)
-    if long.isEmpty():
-        return folded_ledger(entries, totals)
-    short = entries.join(long, "dataset", "left_anti")
-    return folded_ledger(short, totals).unionByName(
-        long_ledger(entries.join(long, "dataset", "left_semi"), totals)
-    )
+    return long_ledger(entries, totals)
 
 
 def folded_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
-    """`ledger` for entries that are known to be the columns of tables."""
-    entry = F.struct("ord", "column", "operation", F.col("epsilon").cast(EPSILON_TYPE).alias("epsilon"))
+    """`ledger` for entries that are known to be the columns of tables: one job, nothing written."""
+    entry = F.struct("ord", "column", "operation", charged_epsilon("epsilon").alias("epsilon"))
     per_dataset = entries.groupBy("dataset").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     limits = totals.select("dataset", F.col("total_epsilon").cast(EPSILON_TYPE).alias("total_epsilon"))
     joined = per_dataset.join(limits, "dataset", "left").withColumn("total_epsilon", no_total_is_zero("total_epsilon"))
@@ -118,8 +109,8 @@ def can_consume(report: DataFrame, epsilon: Column) -> DataFrame:
 
 
 def consumptions(charged: DataFrame) -> DataFrame:
-    """The admitted entries of each dataset, numbered in order of charging."""
-    order = Window.partitionBy("dataset").orderBy("ord", "column", "operation")
-    return charged.where("admitted").select(
-        "dataset", F.row_number().over(order).alias("number"), "column", "operation", "epsilon"
+    """The admitted entries of each dataset, numbered in order of charging. No task holds a whole dataset."""
+    admitted = charged.where("admitted").select("dataset", "ord", "column", "operation", "epsilon")
+    return ranked(admitted, ["ord", "column", "operation"]).select(
+        "dataset", (F.col("idx") + 1).alias("number"), "column", "operation", "epsilon"
     )

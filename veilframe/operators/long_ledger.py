@@ -15,29 +15,26 @@ cannot change; the decisions follow from all states in one last pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.session import scratch_dir
 
+EPSILON_TYPE = "decimal(18,9)"
 NANO = 1_000_000_000
 ORDER = ["ord", "column", "operation", "nano"]
 
 
 def long_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
     """(dataset, ord, column, operation, epsilon, admitted, used_after, total_epsilon)."""
-    spark, folder = entries.sparkSession, scratch_dir(entries.sparkSession)
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    rows = _numbered(entries, stored)
+    stored = _store(entries.sparkSession)
+    ordered = entries.select("dataset", "ord", "column", "operation", _nano(charged_epsilon("epsilon")).alias("nano"))
+    rows = ranked(ordered, ORDER, stored)
     chunks = stored(
         rows.groupBy("dataset", "chunk").agg(F.min("idx").alias("first"), F.max("idx").alias("last")), "chunks"
     )
-    limits = totals.select("dataset", _nano("total_epsilon").alias("total"))
+    limits = totals.select("dataset", _nano(F.col("total_epsilon").cast(EPSILON_TYPE)).alias("total"))
     state = stored(
         chunks.select("dataset").distinct().join(limits, "dataset", "left")
         .withColumn("total", F.coalesce("total", F.lit(0).cast("bigint")))  # no total, no budget
@@ -80,22 +77,44 @@ def long_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def _nano(column: str):
-    return F.round(F.col(column).cast("decimal(18,9)") * NANO).cast("bigint")
+def charged_epsilon(column: str) -> Column:
+    """What an entry costs: nine digits, at least 1e-9. The charge stops at what is missing or not above zero."""
+    e = F.col(column).cast("double")
+    cost = F.greatest(F.col(column).cast(EPSILON_TYPE), F.lit(1 / NANO).cast(EPSILON_TYPE)).cast(EPSILON_TYPE)
+    refused = F.raise_error(F.lit("epsilon must be above zero; see ledger_violations")).cast(EPSILON_TYPE)
+    return F.when((e > 0) & ~F.isnan(e), cost).otherwise(refused)
+
+
+def _nano(amount: Column) -> Column:
+    return F.round(amount * NANO).cast("bigint")
+
 
+def _store(spark: SparkSession):
+    """A function that writes a table below the shared folder and reads it again."""
+    folder = scratch_dir(spark)
 
-def _numbered(entries: DataFrame, stored) -> DataFrame:
-    """Entries with their chunk and their position in the dataset's order."""
-    ordered = entries.select("dataset", "ord", "column", "operation", _nano("epsilon").alias("nano"))
-    placed = ordered.repartitionByRange("dataset", *ORDER).withColumn("chunk", F.spark_partition_id())
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return stored
+
+
+def ranked(df: DataFrame, order: list[str], stored=None) -> DataFrame:
+    """The rows with their chunk and their position (idx, from 0) in the order of their dataset.
+
+    The table is cut into chunks by range and written, so that positions stay as they are after a lost task.
+    """
+    stored = stored or _store(df.sparkSession)
+    placed = df.repartitionByRange("dataset", *order).withColumn("chunk", F.spark_partition_id())
     rows = stored(placed, "placed")
     counts = rows.groupBy("dataset", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("dataset").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("dataset", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("dataset", "chunk").orderBy(*ORDER)
+    inside = Window.partitionBy("dataset", "chunk").orderBy(*order)
     numbered = rows.withColumn("place", F.row_number().over(inside)).join(offsets, ["dataset", "chunk"])
     return stored(
-        numbered.select("dataset", "chunk", "ord", "column", "operation", "nano",
+        numbered.select("dataset", "chunk", *[c for c in df.columns if c != "dataset"],
                         (F.col("offset") + F.col("place") - 1).alias("idx")),
         "numbered",
     )

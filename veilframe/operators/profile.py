@@ -80,6 +80,23 @@ def profile(
     )
 
 
+def class_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, ord, total_count, numeric_ratio, boolean_ratio, string_ratio): the part of `profile` that needs no
+    distinct values, as one aggregate that shuffles one row per task."""
+    columns = list(columns or df.columns)
+    classes = df.select([V.value_class(F.col(c), df.schema[c].dataType).alias(f"class_{i}") for i, c in enumerate(columns)])
+    kinds = ("numeric", "boolean", "string")
+    wide = classes.agg(*[
+        F.count_if(F.col(f"class_{i}") == kind).alias(f"{kind}_{i}") for i in range(len(columns)) for kind in kinds
+    ], *[F.count(f"class_{i}").alias(f"total_{i}") for i in range(len(columns))])
+    fields = {f: {c: f"{f}_{i}" for i, c in enumerate(columns)} for f in ("total", *kinds)}
+    long = stack_rows(wide, columns, fields)
+    return long.select(
+        "column", "ord", F.col("total").alias("total_count"),
+        *[_share(kind, F.col("total")).alias(f"{kind}_ratio") for kind in kinds],
+    )
+
+
 def _exact_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics from the distinct values of each column, so that each is parsed once.
 

@@ -162,7 +162,7 @@ def _draw(ord_: int, stream: int) -> str:
 
 def out_type(p: ColumnPlan, dtype: T.DataType) -> T.DataType:
     if p.semantic_type in NUMERIC_TYPES:
-        return T.DoubleType()
+        return T.LongType() if p.mechanism.method == "discrete_laplace" else T.DoubleType()
     return T.BooleanType() if p.semantic_type == "boolean" else T.StringType()
 
 

@@ -40,15 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in fewer parts, such as a file of one row group.
-
-    A table with as many parts as there are cores is left as it is, so nothing large moves.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def keyed(column: str) -> KeyedNoise:
     return KeyedNoise(SECRET, column)
 

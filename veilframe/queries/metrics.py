@@ -9,7 +9,7 @@ from veilframe.functions import noise as N
 from veilframe.functions.rng import KeyedNoise, hashed_row_key
 from veilframe.operators import risk as R
 from veilframe.operators import utility as U
-from veilframe.queries.base import SECRET, categorical_rr_sql, keyed, laplace_sql, query, r, rounded, spread, table, u_sql
+from veilframe.queries.base import SECRET, categorical_rr_sql, keyed, laplace_sql, query, r, rounded, table, u_sql
 
 # --- paired tables ----------------------------------------------------------------------
 
@@ -38,12 +38,12 @@ def paired_customers(spark, sf_dir):
         F.col("c_nationkey").cast("double").alias("nation"),
         F.col("c_mktsegment").alias("segment"),
     )
-    nation = N.discrete_laplace(F.col("nation"), draws.uniform("nation"), 1.0, 0.5)
+    nation = N.discrete_laplace(F.col("nation"), draws.uniform("nation"), 1.0, 0.5, lower=0.0)
     return df.select(
         "*",
         N.bounded_laplace(F.col("age"), draws.uniform("age"), 1.0, 0.2, 0.0, 120.0).alias("age__noisy"),
         N.laplace(F.col("c_acctbal"), draws.uniform("c_acctbal"), 50.0, 0.3).alias("c_acctbal__noisy"),
-        N.clamp(nation, 0.0, None, F.col("nation")).alias("nation__noisy"),
+        nation.cast("double").alias("nation__noisy"),
         D.categorical_response(
             F.col("segment"), draws.uniform("segment", 0), draws.uniform("segment", 1), SEGMENTS, 0.5
         ).alias("segment__noisy"),
@@ -65,7 +65,7 @@ LINE_SQL = "select k, " + ", ".join(_LINE_SCALES) + ", " + ", ".join(
 
 def paired_lines(spark, sf_dir):
     """Line items before and after, keyed by the whole row."""
-    df = spread(table(spark, sf_dir, "lineitem"))
+    df = table(spark, sf_dir, "lineitem")
     draws = KeyedNoise(SECRET, "k")
     noisy = [
         N.laplace(F.col(c), F.col(f"u_{c}"), s, e).alias(c + U.NOISY) for c, (s, e) in _LINE_SCALES.items()

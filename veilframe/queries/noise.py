@@ -51,12 +51,12 @@ def bounded_laplace(spark, sf_dir):
 
 @query(
     "discrete_laplace",
-    "select p_partkey, round_even(p_size + " + laplace_sql(u_sql("p_size", "p_partkey"), "1e0 / 3e-1")
-    + ", 0) + 0e0 as noisy from part",
+    "select p_partkey, cast(round_even(p_size + " + laplace_sql(u_sql("p_size", "p_partkey"), "1e0 / 3e-1")
+    + ", 0) as bigint) as noisy from part",
 )
 def discrete_laplace(spark, sf_dir):
     u = keyed("p_partkey").uniform("p_size")
-    noisy = N.discrete_laplace(F.col("p_size"), u, 1.0, 0.3)
+    noisy = N.discrete_laplace(F.col("p_size"), u, 1.0, 0.3, integral=True)
     return table(spark, sf_dir, "part").select("p_partkey", noisy.alias("noisy"))
 
 
@@ -102,7 +102,7 @@ def _mechanism(df, key: str, m: M.Mechanism, digits: int = 6):
     """Key and released column, as a plan would release it."""
     draws = [keyed(key).uniform(m.column, s) for s in range(m.streams)]
     out = M.apply(m, F.col(m.column), df.schema[m.column].dataType, draws)
-    if m.semantic_type in ("age", "year", "monetary", "numeric", "count"):
+    if m.method in M.NUMERIC_METHODS and m.method != "discrete_laplace":
         out = rnd(out, digits)
     return df.select(key, out.alias("released"))
 
@@ -162,8 +162,8 @@ def monetary_noise(spark, sf_dir):
 
 @query(
     "count_noise",
-    "select p_partkey, greatest(round_even(p_size + " + laplace_sql(u_sql("p_size", "p_partkey"), "1e0 / 1e0")
-    + ", 0) + 0e0, 0e0) as released from part",
+    "select p_partkey, greatest(cast(round_even(p_size + " + laplace_sql(u_sql("p_size", "p_partkey"), "1e0 / 1e0")
+    + ", 0) as bigint), 0) as released from part",
 )
 def count_noise(spark, sf_dir):
     return _mechanism(table(spark, sf_dir, "part"), "p_partkey", M.choose("p_size", "count"))

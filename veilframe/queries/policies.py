@@ -342,7 +342,7 @@ LEDGER_SQL = _ledger_sql()
 @query("budget_ledger", LEDGER_SQL)
 def budget_ledger(spark, sf_dir):
     """Each supplier's dataset charges its columns; some do not fit and are skipped."""
-    return B.ledger(_charges(spark, sf_dir), _totals(spark, sf_dir))
+    return B.folded_ledger(_charges(spark, sf_dir), _totals(spark, sf_dir))
 
 
 _REPORT_SQL = f"""select dataset, total_epsilon, {r('used')} as used_epsilon, admitted, skipped,
@@ -353,7 +353,7 @@ _REPORT_SQL = f"""select dataset, total_epsilon, {r('used')} as used_epsilon, ad
 
 @query("budget_report", _REPORT_SQL)
 def budget_report(spark, sf_dir):
-    return rounded(B.budget_report(B.ledger(_charges(spark, sf_dir), _totals(spark, sf_dir))))
+    return rounded(B.budget_report(B.folded_ledger(_charges(spark, sf_dir), _totals(spark, sf_dir))))
 
 
 @query(
@@ -362,18 +362,18 @@ def budget_report(spark, sf_dir):
     f"as can_consume from ({_REPORT_SQL})",
 )
 def can_consume(spark, sf_dir):
-    report = B.budget_report(B.ledger(_charges(spark, sf_dir), _totals(spark, sf_dir)))
+    report = B.budget_report(B.folded_ledger(_charges(spark, sf_dir), _totals(spark, sf_dir)))
     checked = B.can_consume(report, F.lit(0.1))
     return rounded(checked.select("dataset", "used_epsilon", "total_epsilon", "can_consume"))
 
 
 @query(
     "budget_consumptions",
-    f"select dataset, cast(row_number() over (partition by dataset order by ord) as integer) as number, \"column\", "
+    f"select dataset, row_number() over (partition by dataset order by ord) as number, \"column\", "
     f"operation, epsilon from ({LEDGER_SQL}) where admitted",
 )
 def budget_consumptions(spark, sf_dir):
-    return B.consumptions(B.ledger(_charges(spark, sf_dir), _totals(spark, sf_dir)))
+    return B.consumptions(B.folded_ledger(_charges(spark, sf_dir), _totals(spark, sf_dir)))
 
 
 @query(
@@ -417,4 +417,4 @@ def budget_ledger_long(spark, sf_dir):
     totals = entries.groupBy("dataset").agg((F.count(F.lit(1)) * 20).alias("n")).select(
         "dataset", (F.col("n").cast("double") / 1000000).alias("total_epsilon")
     )
-    return B.ledger(entries, totals, max_folded=100)
+    return B.ledger(entries, totals)

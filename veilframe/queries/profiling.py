@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.operators import profile as P
-from veilframe.queries.base import query, r, rounded, spread, table
+from veilframe.queries.base import query, r, rounded, table
 
 # columns of each table by how their cells are read
 CUSTOMER = {"c_custkey": "int", "c_name": "text", "c_nationkey": "int", "c_acctbal": "number", "c_mktsegment": "text"}
@@ -111,8 +111,7 @@ _TEXT_FIELDS = (
 
 @query("value_class_profile", f"select {_CLASS_FIELDS} from ({profile_sql('select * from lineitem', LINEITEM)})")
 def value_class_profile(spark, sf_dir):
-    found = P.profile(spread(table(spark, sf_dir, "lineitem")))
-    return rounded(found.select("column", "ord", "total_count", "numeric_ratio", "boolean_ratio", "string_ratio"))
+    return rounded(P.class_shares(table(spark, sf_dir, "lineitem")))
 
 
 @query(

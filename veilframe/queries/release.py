@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from veilframe.plans import anonymize as A
 from veilframe.plans.ml_compare import compare_models
 from veilframe.queries.base import (
-    SECRET, boolean_rr_sql, categorical_rr_sql, hash_sql, laplace_sql, partial_mask_sql, query, r, rounded, spread,
-    table, u_sql,
+    SECRET, boolean_rr_sql, categorical_rr_sql, hash_sql, laplace_sql, partial_mask_sql, query, r, rounded, table,
+    u_sql,
 )
 from veilframe.queries.metrics import LINE_KEY_SQL, risk_sql, summary_sql
 from veilframe.session import scratch_dir
@@ -38,7 +38,7 @@ def _number_sql(c: str, key: str, sensitivity: str, epsilon: str = "share") -> s
 
 
 def _count_sql(c: str, key: str, epsilon: str = "share") -> str:
-    return f"greatest(round_even({c} + {laplace_sql(u_sql(drawn(c), key), f'1e0 / {epsilon}')}, 0) + 0e0, 0e0)"
+    return f"greatest(cast(round_even({c} + {laplace_sql(u_sql(drawn(c), key), f'1e0 / {epsilon}')}, 0) as bigint), 0)"
 
 
 def _stats_sql(source: str, numbers: list[str], categories: list[str]) -> str:
@@ -192,7 +192,7 @@ _LINE_RELEASE = {
 
 
 def line_plan(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "lineitem"))
+    df = table(spark, sf_dir, "lineitem")
     ids = {c: "id" for c in ("l_orderkey", "l_partkey", "l_suppkey")}
     return df, A.fit(df, df.columns, secret=SECRET, release_id=RELEASE, global_epsilon=5.0, overrides=ids, distinct="approx")
 
