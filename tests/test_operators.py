@@ -327,14 +327,30 @@ def test_linkage_against_brute_force(spark, seed, scale):
     mx = max(abs(r[1]) for r in rows)
     my = max(abs(r[2] or 0) for r in rows)
     original = [(r[1] / mx, (r[2] or 0.0) / my) for r in rows]
-    linked = 0
-    for r in rows[:500]:
+    linked, first = 0, 0
+    for r in rows:
         p = (r[3] / mx, (r[4] or 0.0) / my)
         nearest = min(range(700), key=lambda j: ((original[j][0] - p[0]) ** 2 + (original[j][1] - p[1]) ** 2, j))
         linked += nearest == r[0]
+        first += nearest == r[0] and r[0] < 500
     row = K.linkage_attack(df, ["x", "y"], ["k"]).first()
-    assert (row["probes"], row["linked"]) == (500, linked)
-    assert K.linkage_attack(df, ["x", "y"], ["k"], probes=1200).first()["probes"] == 700
+    assert (row["probes"], row["linked"]) == (700, linked)
+    row = K.linkage_attack(df, ["x", "y"], ["k"], probes=500).first()
+    assert (row["probes"], row["linked"]) == (500, first)
+
+
+def test_linkage_of_odd_tables(spark):
+    schema = "k int, x double, x__noisy double"
+    # all rows alike: only the earliest key is found; far noise stays outside the grid of the originals
+    alike = spark.createDataFrame([(i, 1.0, 1.0) for i in range(300)], schema)
+    assert K.linkage_attack(alike, ["x"], ["k"]).first()[:2] == (300, 1)
+    far = spark.createDataFrame([(i, float(i), 1e9) for i in range(300)] + [(300, 0.0, -1e12)], schema)
+    assert K.linkage_attack(far, ["x"], ["k"]).first()[:2] == (301, 1)
+    # equal keys with other values are different rows
+    twice = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 5.0), (1, 9.0, 5.1)], schema)
+    assert K.linkage_attack(twice, ["x"], ["k"]).first()[:2] == (3, 2)
+    empty = spark.createDataFrame([], schema)
+    assert K.linkage_attack(empty, ["x"], ["k"]).first()[:3] == (0, 0, 0.0)
 
 
 def test_uniqueness_estimate(spark):

@@ -5,6 +5,8 @@ import check
 import pytest
 from conftest import SF
 
+from veilframe.queries import release
+
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
@@ -29,7 +31,7 @@ def test_entry_has_rows_and_schema(spark):
 
 
 def test_model_comparison(spark):
-    rows = QUERIES["ml_compare"](spark, SF).collect()
+    rows = release._compared(spark, SF).collect()
     assert [r["model"] for r in rows] == ["random_forest", "logistic_regression"]
     for r in rows:
         assert 0 <= r["original_accuracy"] <= 1 and 0 <= r["anonymised_accuracy"] <= 1

@@ -79,13 +79,14 @@ def test_pruned_to_the_released_columns(customers):
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int>" in text
 
 
-def test_attack_joins_on_bins(customers):
-    df, plan = customers
-    from veilframe.operators.risk import linkage_attack
-
-    attack = linkage_attack(plan.paired(df), ["c_nationkey", "c_acctbal"], ["c_custkey"])
-    text = attack._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "NestedLoop" not in text
+def test_attack_joins_on_cells(spark):
+    from veilframe.operators.risk import _beaten
+
+    probes = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 0.4, 0)], "probe int, p0 double, p1 double, own double, radius double, level int")
+    points = spark.createDataFrame([(0.0, 0.0, 2)], "x0 double, x1 double, row int")
+    text = _beaten(probes, points, [-3, 0], [0, 1], 2)._jdf.queryExecution().executedPlan().toString()
+    keys = next(line for line in text.splitlines() if "Join" in line)
+    assert all(name in keys for name in ("level", "cell0", "cell1")) and "Cartesian" not in text and "NestedLoop" not in text
 
 
 def test_first_rows_are_a_top_k(spark, customers):

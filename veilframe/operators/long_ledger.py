@@ -15,11 +15,11 @@ cannot change; the decisions follow from all states in one last pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.session import scratch_dir
+from veilframe.session import table_store
 
 EPSILON_TYPE = "decimal(18,9)"
 NANO = 1_000_000_000
@@ -28,7 +28,7 @@ ORDER = ["ord", "column", "operation", "nano"]
 
 def long_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
     """(dataset, ord, column, operation, epsilon, admitted, used_after, total_epsilon)."""
-    stored = _store(entries.sparkSession)
+    stored = table_store(entries.sparkSession)
     ordered = entries.select("dataset", "ord", "column", "operation", _nano(charged_epsilon("epsilon")).alias("nano"))
     rows = ranked(ordered, ORDER, stored)
     chunks = stored(
@@ -89,23 +89,12 @@ def _nano(amount: Column) -> Column:
     return F.round(amount * NANO).cast("bigint")
 
 
-def _store(spark: SparkSession):
-    """A function that writes a table below the shared folder and reads it again."""
-    folder = scratch_dir(spark)
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    return stored
-
-
 def ranked(df: DataFrame, order: list[str], stored=None) -> DataFrame:
     """The rows with their chunk and their position (idx, from 0) in the order of their dataset.
 
     The table is cut into chunks by range and written, so that positions stay as they are after a lost task.
     """
-    stored = stored or _store(df.sparkSession)
+    stored = stored or table_store(df.sparkSession)
     placed = df.repartitionByRange("dataset", *order).withColumn("chunk", F.spark_partition_id())
     rows = stored(placed, "placed")
     counts = rows.groupBy("dataset", "chunk").agg(F.count(F.lit(1)).alias("n"))

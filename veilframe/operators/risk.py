@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +13,15 @@ from veilframe.functions import values as V
 from veilframe.operators.cells import column_position, one_row, unpivot_text, value_counts
 from veilframe.operators.profile import first_rows
 from veilframe.operators.utility import NOISY
+from veilframe.session import table_store
 
 K_THRESHOLD = 5
 OUTLIER_THRESHOLD = 2.0
-PROBES = 500
-LINK_BINS = 128
-COLLECTED_PROBES = 1000
+# The linkage attack: originals in the first sample, growth of the sample, columns of the grid.
+FIRST_SAMPLE = 64
+SAMPLE_GROWTH = 16
+GRID_AXES = 2
+_SLOTS = 2**62
 # Quasi-identifiers looked for where the caller names none.
 QUASI_IDENTIFIERS = ["age", "location", "gender", "occupation"]
 
@@ -116,68 +121,60 @@ def outlier_preservation(paired: DataFrame, column: str, threshold: float = OUTL
 
 
 def linkage_attack(
-    paired: DataFrame, columns: Sequence[str], key: Sequence[str], probes: int = PROBES
+    paired: DataFrame, columns: Sequence[str], key: Sequence[str], probes: int | None = None
 ) -> DataFrame:
-    """One row: how many of the first `probes` released rows are nearest to their own original.
+    """One row: how many released rows are nearest to their own original; with `probes`, of the first so many.
 
     Values are divided by the largest original of their column, a missing one counts as 0.
-    A probe fails as soon as any other original is closer than its own (or as close and
-    earlier in `key` order), so it is enough to look inside the ball around the probe whose
-    radius is its own distance. Each ball becomes the bins it covers along one axis, and the
-    originals meet it in an equi-join on their bin. A probe beaten among the probes' own
-    originals leaves before the whole table is read: what remains has small balls.
+    A probe fails as soon as any other original is closer than its own, or as close and earlier in
+    `key` order: an existence test inside the ball around the probe whose radius is its own distance.
+    Of equal originals only the earliest can matter, so they become one point.
+
+    The probes meet a keyed sample of the points, those that are left a larger one, and the last of
+    them every point. A ball that holds none of m sampled points is expected to hold few of the next
+    sample, so every round makes few pairs for each probe that is left. Points are found by cells of a
+    grid over the two widest columns; each probe takes the grid whose cells are as wide as its ball,
+    which therefore touches two cells a side. Rows of equal keys are told apart by their values.
     """
     if not columns:
         raise ValueError("the attack needs at least one numeric column")
+    dims = range(len(columns))
     o = {c: _filled(paired, c) for c in columns}
-    row = paired.agg(*[F.max(F.abs(o[c])).alias(f"max_{i}") for i, c in enumerate(columns)],
-                     *[F.min(o[c]).alias(f"low_{i}") for i, c in enumerate(columns)],
-                     *[F.max(o[c]).alias(f"high_{i}") for i, c in enumerate(columns)],
+    row = paired.agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.abs(o[c])).alias(f"max_{i}") for i, c in enumerate(columns)],
                      *[F.stddev_pop(o[c]).alias(f"std_{i}") for i, c in enumerate(columns)]).first()
-    scale = [row[f"max_{i}"] or 1.0 for i in range(len(columns))]
-    spreads = [(row[f"std_{i}"] or 0.0) / scale[i] for i in range(len(columns))]
-    axis = spreads.index(max(spreads))
-    low = (row[f"low_{axis}"] or 0.0) / scale[axis]
-    width = ((row[f"high_{axis}"] or 0.0) / scale[axis] - low) / LINK_BINS or 1.0
+    scale = [row[f"max_{i}"] or 1.0 for i in dims]
+    axes = sorted(dims, key=lambda i: -(row[f"std_{i}"] or 0.0) / scale[i])[:GRID_AXES]
 
-    order = F.struct(*key)
+    stored = table_store(paired.sparkSession)
+    # one key is a plain column, whose minimum a hash aggregate keeps
+    order = F.col(key[0]) if len(key) == 1 else F.struct(*key)
     xs = [(o[c] / F.lit(s)).alias(f"x{i}") for i, (c, s) in enumerate(zip(columns, scale))]
     ps = [(_filled(paired, c + NOISY) / F.lit(s)).alias(f"p{i}") for i, (c, s) in enumerate(zip(columns, scale))]
-    sample = first_rows(paired, key, probes).select(order.alias("probe"), *xs, *ps)
-    own = sample.withColumn("own", _squared(len(columns)))
-    if probes <= COLLECTED_PROBES:
-        # the sample is read several times below, and finding it takes a pass over the table
-        own = paired.sparkSession.createDataFrame(own.collect(), own.schema)
-
-    def bin_of(v: Column) -> Column:
-        # limited before it is cut to a whole number, which has a smaller range
-        position = (v - F.lit(low)) / F.lit(width)
-        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(LINK_BINS - 1.0), position)))
-
-    balls = own.select("probe", "own", *[f"p{i}" for i in range(len(columns))])
-    # a margin far above rounding keeps every original on the sphere inside the covered bins
-    radius = F.sqrt("own") * (1 + 1e-9) + 1e-12
-    centre = F.col(f"p{axis}")
-    covered = F.sequence(bin_of(centre - radius), bin_of(centre + radius))
-
-    def beaten(targets: DataFrame, originals: DataFrame) -> DataFrame:
-        spread = targets.withColumn("bin", F.explode(covered))
-        if probes <= COLLECTED_PROBES:  # else the join is left to the optimizer
-            spread = F.broadcast(spread)
-        closer = (_squared(len(columns)) < F.col("own")) | (
-            (_squared(len(columns)) == F.col("own")) & (F.col("row") < F.col("probe"))
-        )
-        located = originals.withColumn("bin", bin_of(F.col(f"x{axis}")))
-        hits = located.join(spread, "bin").where(closer)
-        return hits.select("probe").distinct()
-
-    pilot = own.select(F.col("probe").alias("row"), *[f"x{i}" for i in range(len(columns))])
-    survivors = balls.join(beaten(balls, pilot), "probe", "left_anti")
-    everyone = paired.select(order.alias("row"), *xs)
-    linked = survivors.join(beaten(survivors, everyone), "probe", "left_anti")
-    counts = one_row(
-        own.agg(F.count(F.lit(1)).alias("probes")), linked.agg(F.count(F.lit(1)).alias("linked"))
+    located = paired.select(order.alias("row"), *xs)
+    points = stored(located.groupBy(*[f"x{i}" for i in dims]).agg(F.min("row").alias("row")), "points")
+    chosen = paired if probes is None else first_rows(paired, key, probes)
+    radius = F.least(F.sqrt("own") * (1 + 1e-9) + 1e-12, F.lit(1e300))  # a margin far above rounding
+    # scaled originals lie within -1 and 1, so no ball needs cells wider than that
+    level = F.ceil(F.log2(F.least(radius, F.lit(1.0)) * 2)).cast("int")
+    left = stored(
+        chosen.select(order.alias("probe"), *xs, *ps).withColumn("own", _squared(len(columns)))
+        .select("probe", *[f"p{i}" for i in dims], "own", radius.alias("radius"), level.alias("level")),
+        "probes_0",
     )
+    own, identity = left, left.columns
+    size, finished = FIRST_SAMPLE, False
+    for turn in itertools.count(1):
+        levels = [r["level"] for r in left.select("level").distinct().collect()]  # some forty at the most
+        if finished or not levels:
+            break
+        finished = size >= row["rows"]
+        sample = points if finished else points.where(
+            F.pmod(F.xxhash64("row"), F.lit(_SLOTS)) < F.lit(math.ceil(size / row["rows"] * _SLOTS))
+        )
+        hits = _beaten(left, sample, levels, axes, len(columns))
+        left = stored(left.join(hits, identity, "left_anti"), f"probes_{turn}")
+        size *= SAMPLE_GROWTH
+    counts = one_row(own.agg(F.count(F.lit(1)).alias("probes")), left.agg(F.count(F.lit(1)).alias("linked")))
     rate = F.coalesce(F.try_divide(F.col("linked") * 100.0, F.col("probes")), F.lit(0.0))
     return counts.select(
         "probes",
@@ -188,6 +185,23 @@ def linkage_attack(
     )
 
 
+def _beaten(probes: DataFrame, points: DataFrame, levels: Sequence[int], axes: Sequence[int], dimensions: int) -> DataFrame:
+    """The probes whose ball holds a point that is nearer than their own, or as near and earlier."""
+    side = F.pow(F.lit(2.0), F.col("level"))
+    placed = points.withColumn("level", F.explode(F.array(*[F.lit(g) for g in levels])))
+    balls, cells = probes, ["level"]
+    for a in axes:
+        low = F.greatest(F.col(f"p{a}") - F.col("radius"), F.lit(-1.0))
+        high = F.least(F.col(f"p{a}") + F.col("radius"), F.lit(1.0))
+        first, last = F.floor(low / side), F.floor(high / side)
+        balls = balls.withColumn(f"cell{a}", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array(first))))
+        placed = placed.withColumn(f"cell{a}", F.floor(F.col(f"x{a}") / side))
+        cells.append(f"cell{a}")
+    distance = _squared(dimensions)
+    closer = (distance < F.col("own")) | ((distance == F.col("own")) & (F.col("row") < F.col("probe")))
+    return balls.join(placed, cells).where(closer).select(probes.columns).distinct()
+
+
 def _filled(df: DataFrame, column: str) -> Column:
     return F.coalesce(V.to_number(F.col(column), df.schema[column].dataType), F.lit(0.0))
 
@@ -207,10 +221,10 @@ def risk_report(
     numeric: Sequence[str],
     key: Sequence[str],
     quasi_identifiers: Sequence[str] | None = None,
-    probes: int = PROBES,
+    probes: int | None = None,
     distinct: str = "exact",
 ) -> DataFrame:
-    """One row with the three measures, their score and the overall category."""
+    """One row with the three measures, their score and the overall category; `probes` as in `linkage_attack`."""
     named = quasi_identifiers if quasi_identifiers is not None else QUASI_IDENTIFIERS
     qi = [c for c in named if c in columns]
     parts = [uniqueness_reduction(paired, columns, distinct)]
@@ -224,6 +238,7 @@ def risk_report(
         wide = wide.withColumn("anonymity_level", F.lit("UNKNOWN"))
     if not numeric:
         wide = wide.withColumn("success_rate", F.lit(0.0)).withColumn("link_risk", F.lit("LOW"))
+        wide = wide.withColumn("probes", F.lit(0).cast("bigint"))
     score = (
         F.when(F.col("link_risk") == "HIGH", 4).when(F.col("link_risk") == "MEDIUM", 2).otherwise(0)
         + F.when((F.col("k_risk") == "HIGH") & (F.col("rows") > 100), 2)
@@ -232,7 +247,7 @@ def risk_report(
     )
     overall = F.when(score >= 6, F.lit("CRITICAL")).when(score >= 3, F.lit("MODERATE")).otherwise(F.lit("LOW"))
     return wide.select(
-        "rows", "uniqueness_reduction", "success_rate", "link_risk", "k_estimate", "anonymity_level", "k_risk",
+        "rows", "uniqueness_reduction", "probes", "success_rate", "link_risk", "k_estimate", "anonymity_level", "k_risk",
         score.alias("risk_score"), overall.alias("overall_risk"), linkage_label(overall).alias("linkage_label"),
     )
 

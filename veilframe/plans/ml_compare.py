@@ -15,6 +15,7 @@ from veilframe.functions import values as V
 from veilframe.functions.rng import KeyedNoise
 from veilframe.operators.utility import NOISY
 from veilframe.plans.anonymize import AnonymizationPlan
+from veilframe.session import table_store
 
 TEST_SHARE = 0.2
 SEED = 42
@@ -62,6 +63,12 @@ def change_grade(difference: Column) -> Column:
     return F.when(size < 0.05, F.lit("Excellent")).when(size < 0.10, F.lit("Good")).otherwise(F.lit("Poor"))
 
 
+def split_rows(paired: DataFrame, split: KeyedNoise | None = None) -> DataFrame:
+    """Adds is_test: a fifth of the rows, by a draw on the row key."""
+    split = split or KeyedNoise("split", "__key")
+    return paired.withColumn("is_test", split.uniform("split") < TEST_SHARE)
+
+
 def compare_models(
     df: DataFrame,
     plan: AnonymizationPlan,
@@ -72,13 +79,16 @@ def compare_models(
     trees: int = TREES,
     iterations: int = ITERATIONS,
 ) -> DataFrame:
-    """(model, original_accuracy, anonymised_accuracy, change, grade).
+    """(model, train_rows, test_rows, classes, original_accuracy, anonymised_accuracy, change, grade).
 
     Both sides hold out the same rows, chosen by a draw on the row key. `skip` names columns
-    that are no features, such as identifiers.
+    that are no features, such as identifiers. The pair is written once, since every fit reads it
+    several times.
     """
-    split = split or KeyedNoise("split", "__key")
-    paired = plan.paired(df).withColumn("is_test", split.uniform("split") < TEST_SHARE)
+    paired = table_store(df.sparkSession)(split_rows(plan.paired(df), split), "paired")
+    sizes = paired.agg(
+        F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test"), F.count_distinct(target).alias("classes")
+    ).first()
     evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
     rows = []
     for model in models:
@@ -87,8 +97,11 @@ def compare_models(
             frame = _feature_frame(paired, plan, target, side, skip)
             fitted = _pipeline(frame, model, trees, iterations).fit(frame.where("NOT is_test"))
             accuracy.append(float(evaluator.evaluate(fitted.transform(frame.where("is_test")))))
-        rows.append((model, accuracy[0], accuracy[1]))
+        rows.append((model, sizes["train"], sizes["test"], sizes["classes"], accuracy[0], accuracy[1]))
     spark = df.sparkSession
-    found = spark.createDataFrame(rows, "model string, original_accuracy double, anonymised_accuracy double")
+    found = spark.createDataFrame(
+        rows,
+        "model string, train_rows bigint, test_rows bigint, classes bigint, original_accuracy double, anonymised_accuracy double",
+    )
     change = F.col("anonymised_accuracy") - F.col("original_accuracy")
     return found.withColumn("change", change).withColumn("grade", change_grade(change))

@@ -252,47 +252,66 @@ def outlier_preservation(spark, sf_dir):
     return rounded(R.outlier_preservation(paired_events(spark, sf_dir), "value"))
 
 
-def linkage_sql(source: str, columns: list[str], key: str) -> str:
+def linkage_sql(source: str, columns: list[str], key: str, probes: int | None = None) -> str:
     """The attack as it is defined: every probe against every original."""
     scales = ", ".join(
         f"case when max(abs({c})) > 0 then max(abs({c})) else 1e0 end as m{i}" for i, c in enumerate(columns)
     )
     xs = ", ".join(f"coalesce({c}, 0) / m{i} as x{i}" for i, c in enumerate(columns))
     ps = ", ".join(f"coalesce({c}__noisy, 0) / m{i} as p{i}" for i, c in enumerate(columns))
+    first = f" order by k limit {probes}" if probes else ""
     d = " + ".join(f"(o.x{i} - p.p{i}) * (o.x{i} - p.p{i})" for i in range(len(columns)))
     return f"""select probes, linked, linked * 1e2 / probes as success_rate, case when linked * 1e2 / probes > 40 then 'HIGH'
         when linked * 1e2 / probes > 15 then 'MEDIUM' else 'LOW' end as link_risk, {len(columns)} as columns_exploited from (
         with t as materialized ({source}), s as (select {scales} from t),
         o as materialized (select {key} as k, {xs}, {ps} from t, s),
-        p as materialized (select * from o order by k limit 500),
+        p as materialized (select * from o{first}),
         nearest as (select p.k as probe, arg_min(o.k, struct_pack(d := {d}, k := o.k)) as found from p, o group by p.k)
         select count(*) as probes, count(*) filter (probe = found) as linked from nearest)"""
 
 
 @query(
     "linkage_attack",
-    f"select * exclude (success_rate), {r('success_rate')} as success_rate from ({linkage_sql(CUSTOMER_SQL, CUSTOMER_NUMBERS, 'c_custkey')})",
+    f"select * exclude (success_rate), {r('success_rate')} as success_rate from ({linkage_sql(CUSTOMER_SQL, CUSTOMER_NUMBERS, 'c_custkey', 500)})",
 )
 def linkage_attack(spark, sf_dir):
     """Five hundred released customers against every original."""
-    return rounded(R.linkage_attack(paired_customers(spark, sf_dir), CUSTOMER_NUMBERS, ["c_custkey"]))
+    return rounded(R.linkage_attack(paired_customers(spark, sf_dir), CUSTOMER_NUMBERS, ["c_custkey"], probes=500))
 
 
 @query(
     "linkage_attack_events",
-    f"select * exclude (success_rate), {r('success_rate')} as success_rate from ({linkage_sql(EVENTS_SQL, ['value', 'user_id'], 'event_id')})",
+    f"select * exclude (success_rate), {r('success_rate')} as success_rate from ({linkage_sql(EVENTS_SQL, ['value', 'user_id'], 'event_id', 500)})",
 )
 def linkage_attack_events(spark, sf_dir):
+    return rounded(R.linkage_attack(paired_events(spark, sf_dir), ["value", "user_id"], ["event_id"], probes=500))
+
+
+@query(
+    "linkage_full_events",
+    f"select * exclude (success_rate), {r('success_rate')} as success_rate from ({linkage_sql(EVENTS_SQL, ['value', 'user_id'], 'event_id')})",
+)
+def linkage_full_events(spark, sf_dir):
+    """Every released event against every original."""
     return rounded(R.linkage_attack(paired_events(spark, sf_dir), ["value", "user_id"], ["event_id"]))
 
 
+@query(
+    "linkage_full_customers",
+    f"select * exclude (success_rate), {r('success_rate')} as success_rate from ({linkage_sql(CUSTOMER_SQL, CUSTOMER_NUMBERS, 'c_custkey')})",
+)
+def linkage_full_customers(spark, sf_dir):
+    """Every released customer against every original, in three columns."""
+    return rounded(R.linkage_attack(paired_customers(spark, sf_dir), CUSTOMER_NUMBERS, ["c_custkey"]))
+
+
 def risk_sql(source: str, columns: list[str], numbers: list[str], key: str, qi: list[str]) -> str:
     """`qi` names quasi-identifiers of the release; empty where there are none."""
     k = (
         k_sql(source, [c + "__noisy" for c in qi]) if qi else
         "select cast(0 as bigint) as k_estimate, 'UNKNOWN' as anonymity_level, 'UNKNOWN' as k_risk"
     )
-    return f"""select "rows", uniqueness_reduction, success_rate, link_risk, k_estimate, anonymity_level, k_risk, risk_score,
+    return f"""select "rows", uniqueness_reduction, probes, success_rate, link_risk, k_estimate, anonymity_level, k_risk, risk_score,
         overall_risk, case overall_risk when 'LOW' then 'Safe' when 'MODERATE' then 'Protected' else 'Exposed' end
         as linkage_label from (select *, case when risk_score >= 6 then 'CRITICAL' when risk_score >= 3 then 'MODERATE'
         else 'LOW' end as overall_risk from (select *, case link_risk when 'HIGH' then 4 when 'MEDIUM' then 2 else 0 end

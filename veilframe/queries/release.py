@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.plans import anonymize as A
-from veilframe.plans.ml_compare import compare_models
+from veilframe.plans.ml_compare import compare_models, split_rows
 from veilframe.queries.base import (
-    SECRET, boolean_rr_sql, categorical_rr_sql, hash_sql, laplace_sql, partial_mask_sql, query, r, rounded, table,
+    SECRET, boolean_rr_sql, categorical_rr_sql, hash_sql, keyed, laplace_sql, partial_mask_sql, query, r, rounded, table,
     u_sql,
 )
 from veilframe.queries.metrics import LINE_KEY_SQL, risk_sql, summary_sql
@@ -233,8 +233,35 @@ def audit_summary(spark, sf_dir):
 # --- models and streams -----------------------------------------------------------------
 
 
-@query("ml_compare")
+_SPLIT_SQL = f"select o_orderstatus, {u_sql('split', 'o_orderkey')} < 2e-1 as is_test from orders"
+
+
+@query("ml_split", f"select o_orderstatus, is_test, count(*) as n from ({_SPLIT_SQL}) group by 1, 2")
+def ml_split(spark, sf_dir):
+    """Orders of each state on either side of the split."""
+    df = table(spark, sf_dir, "orders").withColumn("__key", F.col("o_orderkey").cast("string"))
+    return split_rows(df, keyed("__key")).groupBy("o_orderstatus", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ml_compare",
+    f"""select model, train_rows, test_rows, classes, true as in_range, true as grade_fits from
+        (select count(*) filter (not is_test) as train_rows, count(*) filter (is_test) as test_rows,
+        count(distinct o_orderstatus) as classes from ({_SPLIT_SQL})), (values ('random_forest'), ('logistic_regression')) t(model)""",
+)
 def ml_compare(spark, sf_dir):
+    """What SQL can know of the models of an order's state: their rows and classes, and that accuracies and grade agree."""
+    found = _compared(spark, sf_dir)
+    accuracies = [F.col("original_accuracy"), F.col("anonymised_accuracy")]
+    size = F.abs(accuracies[1] - accuracies[0])
+    return found.select(
+        "model", "train_rows", "test_rows", "classes",
+        (accuracies[0].between(0, 1) & accuracies[1].between(0, 1)).alias("in_range"),
+        ((size < 0.05) == (F.col("grade") == "Excellent")).alias("grade_fits"),
+    )
+
+
+def _compared(spark, sf_dir):
     """Predict the state of an order from the original and from the released columns."""
     df = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("o_year"), "o_orderpriority"
@@ -243,7 +270,7 @@ def ml_compare(spark, sf_dir):
         df, ["o_orderkey"], secret=SECRET, release_id=RELEASE, global_epsilon=10.0, overrides={"o_orderkey": "id"},
         exclude=["o_orderstatus"],
     )
-    return compare_models(df, plan, "o_orderstatus", skip=["o_orderkey"])
+    return compare_models(df, plan, "o_orderstatus", skip=["o_orderkey"], split=keyed("__key"))
 
 
 @query("release_pair", "select count(*) as orders, cast(0 as bigint) as recovered from orders")

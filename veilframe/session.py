@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -35,3 +35,14 @@ def scratch_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="veilframe-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
+
+
+def table_store(spark: SparkSession):
+    """A function that writes a table below the shared folder and reads it again."""
+    folder = scratch_dir(spark)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return stored
