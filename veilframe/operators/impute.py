@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from veilframe.functions import values as V
 from veilframe.functions.noise import laplace_sample
 from veilframe.functions.rng import KeyedNoise, TaskNoise
-from veilframe.operators.cells import stack_rows
 from veilframe.operators.profile import NUMERIC_TYPES
 
 MEDIAN_BELOW = 10
@@ -36,70 +35,51 @@ def numeric_imputation(
     columns: Sequence[str],
     epsilon: float,
     noise: KeyedNoise | TaskNoise,
-    small: Sequence[str] | None = None,
+    exact_median: bool = False,
 ) -> DataFrame:
     """One row per column: method, missing cells and the value to put there.
 
-    Fewer than ten values give their exact median, more give the mean with Laplace noise of
-    scale max(range / n, 0.1) / epsilon. The true mean is not part of the result. `small`
-    names the columns known to have so few; by default every column is looked at for it.
+    Ten values and more give the mean with Laplace noise of scale max(range / n, 0.1) / epsilon
+    (`dp_mean`), fewer their median with noise of scale max(range, 0.1) / epsilon (`dp_median`).
+    `exact_median` fills in the median as it is (`median`): that is a cell, or the mean of two, of the
+    table, and no epsilon makes it private. True means are not part of the result.
     """
     if not epsilon > 0:
         raise ValueError(f"epsilon must be positive, got {epsilon}")
-    aggregates = []
     numbers = {c: V.to_number(F.col(c), df.schema[c].dataType) for c in columns}
-    draws = noise.dataset_level()
+    counts = {}
     for i, c in enumerate(columns):
         v = numbers[c]
         n = F.count(v)
-        scale = F.greatest((F.max(v) - F.min(v)) / n, F.lit(MIN_SENSITIVITY)) / F.lit(float(epsilon))
-        noisy = F.avg(v) + laplace_sample(draws.uniform(c, "impute"), scale)
-        aggregates += [
-            n.alias(f"n_{i}"),
-            (F.count(F.lit(1)) - n).alias(f"missing_{i}"),
-            F.when(n > 0, noisy).alias(f"mean_{i}"),
+        counts[i] = [
+            n.alias(f"n_{i}"), (F.count(F.lit(1)) - n).alias(f"missing_{i}"), F.avg(v).alias(f"centre_{i}"),
+            (F.max(v) - F.min(v)).alias(f"range_{i}"),
         ]
-    wide = df.agg(*aggregates)
-    fields = {f: {c: f"{f}_{i}" for i, c in enumerate(columns)} for f in ("n", "missing", "mean")}
-    stats = stack_rows(wide, columns, fields)
-    small = list(columns if small is None else small)
-    if small:
-        stats = stats.join(_small_medians(df, small, numbers), "column", "left")
-    else:
-        stats = stats.withColumn("median", F.lit(None).cast("double"))
-    n, missing = F.col("n"), F.col("missing")
-    method = (
-        F.when(missing == 0, F.lit("none")).when(n == 0, F.lit("zero_fallback"))
-        .when(n < MEDIAN_BELOW, F.lit("dp_median")).otherwise(F.lit("dp_mean"))
-    )
-    value = (
-        F.when(F.col("method") == "dp_mean", F.col("mean"))
-        .when(F.col("method") == "dp_median", F.col("median"))
-        .when(F.col("method") == "zero_fallback", F.lit(0.0))
-    )
-    return (
-        stats.withColumn("method", method)
-        .select(
-            "column",
-            "ord",
-            "method",
-            missing.alias("missing_count"),
-            value.alias("number"),
-            F.when(F.col("method") == "dp_mean", F.lit(float(epsilon))).otherwise(F.lit(0.0)).alias("epsilon_used"),
-        )
-    )
-
-
-def _small_medians(df: DataFrame, columns: Sequence[str], numbers: Mapping[str, Column]) -> DataFrame:
-    """Medians of the columns with fewer than ten values; others never reach the aggregate."""
-    wide = df.select([numbers[c].alias(c) for c in columns])
-    cells = wide.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
-    few = cells.groupBy("column").agg(F.count("value").alias("n")).where(F.col("n") < MEDIAN_BELOW)
-    return (
-        cells.join(few, "column", "left_semi")
-        .groupBy("column")
-        .agg(F.percentile("value", 0.5).alias("median"))
-    )
+    found = df.agg(*[a for several in counts.values() for a in several]).first()
+    few = [i for i in counts if 0 < found[f"n_{i}"] < MEDIAN_BELOW and found[f"missing_{i}"]]
+    # at most nine values of each of these columns are held by the aggregate
+    medians = df.agg(*[F.percentile(numbers[columns[i]], 0.5).alias(f"m_{i}") for i in few]).first() if few else {}
+    draws, rows = noise.dataset_level(), []
+    for i, c in enumerate(columns):
+        n, missing, width = found[f"n_{i}"], found[f"missing_{i}"], found[f"range_{i}"]
+        method, number, scale = "none", None, None
+        if missing and n == 0:
+            method, number = "zero_fallback", 0.0
+        elif missing and i in few:
+            method, number, scale = "dp_median", medians[f"m_{i}"], max(width, MIN_SENSITIVITY) / epsilon
+            if exact_median:
+                method, scale = "median", None
+        elif missing:
+            method, number, scale = "dp_mean", found[f"centre_{i}"], max(width / n, MIN_SENSITIVITY) / epsilon
+        value = F.lit(number).cast("double")
+        if scale is not None:
+            value = value + laplace_sample(draws.uniform(c, "impute"), scale)
+        rows.append(F.struct(
+            F.lit(c).alias("column"), F.lit(i).alias("ord"), F.lit(method).alias("method"),
+            F.lit(missing).cast("bigint").alias("missing_count"), value.alias("number"),
+            F.lit(0.0 if scale is None else float(epsilon)).alias("epsilon_used"),
+        ))
+    return df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
 def mode_imputation(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -191,22 +171,22 @@ def fit_imputation(
     columns: Sequence[str] | None = None,
     strategy: str = "typed",
     gaps: tuple[int, Mapping[str, int]] | None = None,
+    exact_median: bool = False,
 ) -> dict[str, Imputation]:
     """Imputation of every column, by its semantic type.
 
-    Each column may spend an equal share of `epsilon`; only a noisy mean spends it.
+    Each column may spend an equal share of `epsilon`; only a noisy mean or median spends it.
     `strategy="mode"` fills every column with its mode; `id` columns are never filled.
     Statistics are read only for the columns that have `gaps`, the result of `count_gaps`.
     """
     columns = list(columns or df.columns)
-    rows, missing = gaps or count_gaps(df, types, columns, strategy)
+    _, missing = gaps or count_gaps(df, types, columns, strategy)
     numeric, texts = (
         [c for c in kind if missing.get(c)] for kind in _by_kind(types, columns, strategy)
     )
     out = {c: Imputation(c, "none", 0) for c in columns}
     if numeric:
-        small = [c for c in numeric if rows - missing[c] < MEDIAN_BELOW]
-        for r in numeric_imputation(df, numeric, epsilon / len(columns), noise, small).collect():
+        for r in numeric_imputation(df, numeric, epsilon / len(columns), noise, exact_median).collect():
             out[r["column"]] = Imputation(
                 r["column"], r["method"], r["missing_count"], r["number"], None, r["epsilon_used"]
             )
