@@ -73,7 +73,8 @@ def numeric_imputation(
             method, number, scale = "dp_mean", found[f"centre_{i}"], max(width / n, MIN_SENSITIVITY) / epsilon
         value = F.lit(number).cast("double")
         if scale is not None:
-            value = value + laplace_sample(draws.uniform(c, "impute"), scale)
+            # the epsilon names the draw, so that fills of two budgets cannot be solved for the mean
+            value = value + laplace_sample(draws.uniform(c, f"impute/{float(epsilon)!r}"), scale)
         rows.append(F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("ord"), F.lit(method).alias("method"),
             F.lit(missing).cast("bigint").alias("missing_count"), value.alias("number"),

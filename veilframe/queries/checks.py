@@ -246,15 +246,15 @@ def quality_report(spark, sf_dir):
 # --- imputation -------------------------------------------------------------------------
 
 
-def _noisy_mean_sql(c: str, epsilon: str) -> str:
-    scale = f"greatest((max({c}) - min({c})) / count({c}), 1e-1) / {epsilon}"
-    return f"avg({c}) + {laplace_sql(u_sql(c, chr(39) + '*' + chr(39), 'impute'), scale)}"
+def _noisy_mean_sql(c: str, epsilon: float) -> str:
+    scale = f"greatest((max({c}) - min({c})) / count({c}), 1e-1) / {epsilon!r}e0"
+    return f"avg({c}) + {laplace_sql(u_sql(c, chr(39) + '*' + chr(39), f'impute/{epsilon!r}'), scale)}"
 
 
 @query(
     "impute_dp_mean",
     "select 'c_acctbal' as \"column\", 0 as ord, 'dp_mean' as method, count(*) - count(c_acctbal) as missing_count, "
-    + r(_noisy_mean_sql("c_acctbal", "5e-2"), 4)
+    + r(_noisy_mean_sql("c_acctbal", 0.05), 4)
     + " as number, 5e-2 as epsilon_used from (select case when c_custkey % 7 = 0 then null else c_acctbal end as "
     "c_acctbal from customer) union all select 'c_nationkey', 1, 'none', 0, null, 0e0",
 )
@@ -287,7 +287,7 @@ def _few_left(spark, sf_dir):
     "impute_dp_median",
     "with t as (select case when o_orderkey < 7 then o_totalprice end as few from orders) "
     "select 'few' as \"column\", 0 as ord, 'dp_median' as method, count(*) - count(few) as missing_count, "
-    + r("median(few) + " + laplace_sql(u_sql("few", "'*'", "impute"), "greatest(max(few) - min(few), 1e-1) / 5e-2"), 4)
+    + r("median(few) + " + laplace_sql(u_sql("few", "'*'", "impute/0.05"), "greatest(max(few) - min(few), 1e-1) / 5e-2"), 4)
     + " as number, 5e-2 as epsilon_used from t",
 )
 def impute_dp_median(spark, sf_dir):
@@ -321,7 +321,7 @@ def _first_mode(c: str) -> str:
 
 
 IMPUTED_SQL = (
-    f"select o_orderkey, coalesce(o_totalprice, (select {_noisy_mean_sql('o_totalprice', '(1e-1 / 5)')} "
+    f"select o_orderkey, coalesce(o_totalprice, (select {_noisy_mean_sql('o_totalprice', 0.1 / 5)} "
     f"from ({GAPS_SQL}))) as o_totalprice, "
     f"case when {_GAPS_MISSING['o_orderpriority']} then {_first_mode('o_orderpriority')} else o_orderpriority end as o_orderpriority, "
     f"case when {_GAPS_MISSING['o_orderstatus']} then {_first_mode('o_orderstatus')} else o_orderstatus end as o_orderstatus, "
