@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -211,6 +212,50 @@ def test_proximity(spark):
     assert got == {1: (["5"], []), 2: ([], ["5"]), 3: ([], []), 4: ([], [])}
 
 
+def plain_near(text, item, slop):
+    """An item is near by the shortest run of words, over all choices of places."""
+    own, words = positional_index.words((text or "").encode()), positional_index.words(item.encode())
+    at = defaultdict(list)
+    for i, w in enumerate(own):
+        at[w].append(i)
+    for k in range(max(1, len(words) - 12) if words else 0):
+        window = words[k : k + 13]
+        terms = sorted(dict.fromkeys(window), key=lambda t: len(at[t]))[:3]
+        spans = [max(c) - min(c) + 1 for c in itertools.product(*[at[t] for t in terms])]
+        if all(at[t] for t in window) and min(spans) <= len(window) + slop:
+            return True
+    return False
+
+
+def test_proximity_by_brute_force_under_any_partitioning(spark):
+    rng = random.Random(11)
+    items = {str(i): " ".join(rng.choices("abcdefghijklmnopqrs", k=n)) for i, n in enumerate([2, 3, 4, 5, 8, 13, 14, 16])}
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvw", k=rng.randrange(0, 90)))) for i in range(120)]
+    for i, item in enumerate(items.values()):  # one word replaced, one word put in
+        words = item.split()
+        rows += [(200 + i, " ".join([*words[:1], "new", *words[2:]])), (300 + i, " ".join([*words[:1], "new", *words[1:]]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id string, text string")
+    near = {i: {k for k, item in items.items() if plain_near(text, item, 2)} for i, text in rows}
+    assert sum(map(len, near.values())) > 50
+    for n in (1, 3, 40):
+        for r in positional_index.decontaminate(docs.repartition(n), bench, slop=2).collect():
+            assert set(r["near_items"]) == near[r["doc_id"]] - set(r["items"])
+
+
+def test_proximity_takes_the_shortest_run():
+    # places of the rarest term, and of others before and behind it
+    assert positional_index.least_span([np.array([100]), np.array([95, 106]), np.array([107])]) == 8
+    assert positional_index.least_span([np.array([5])]) == 1
+
+
+def test_query_of_near_items(spark):
+    made = entry.queries()["op6_near_items"](spark, SF)
+    both = made.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "contaminated").collect()
+    exact = entry.queries()["op6_positional_index"](spark, SF).drop("items_sha256").collect()
+    assert Counter(map(tuple, both)) == Counter(map(tuple, exact))
+    assert all(set(r["near_items"]).isdisjoint(r["items"]) for r in made.collect())
+
+
 # token counts
 
 

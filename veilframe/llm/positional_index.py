@@ -5,8 +5,8 @@ segment is one row that holds, for every term, the ascending places where it sta
 segment with a gap between two of them. `search` looks up phrases: of each window it takes the list of the rarest
 term in the segment, shifts it to the window's start, and intersects it with the shifted lists of the next rarer terms, until it is
 empty or all terms agree. No posting leaves its segment, so nothing is shuffled and no key can be hot.
-With `slop`, windows that do not match are also searched by proximity: the three rarest terms stand within
-the length of the window plus slop words of one document.
+With `slop`, windows that do not match are also searched by proximity: a document holds all terms of the window, and the
+three that are rarest in that document stand somewhere within the length of the window plus slop words.
 
 The test items are the query set. They are taken in blocks of about BLOCK_BYTES, each block is broadcast, and the stored
 index is read once per block. With one block the index holds the terms of the items only, otherwise all terms.
@@ -37,6 +37,9 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 #: A document is contaminated if the hit words are at least one in so many.
 SHARE = 20
+#: So many of the rarest terms of a window have to stand together for a near match, within the window's length and SLOP words.
+RAREST = 3
+SLOP = 5
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -130,28 +133,56 @@ def phrase(places: dict[bytes, np.ndarray], window: tuple[bytes, ...]) -> np.nda
     return start
 
 
-def near(seg: Segment, window: tuple[bytes, ...], span: int) -> np.ndarray:
-    """Documents in which the three rarest terms stand within that many words."""
-    lists = [seg.places.get(t) for t in set(window)]
-    if any(x is None for x in lists):
+def by_document(seg: Segment, term: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents that hold the term, and from where to where its places stand in each."""
+    docs, start = np.unique(np.searchsorted(seg.first, seg.places[term], "right") - 1, return_index=True)
+    return docs, start, np.append(start[1:], len(seg.places[term]))
+
+
+def least_span(lists: list[np.ndarray]) -> int:
+    """Length of the shortest run of words with a place of each list; every place is tried as its begin."""
+    best = np.iinfo(np.int32).max
+    for k, own in enumerate(lists):
+        high, ok = own, np.ones(len(own), bool)
+        for other in lists[:k] + lists[k + 1 :]:
+            at = np.searchsorted(other, own)
+            ok &= at < len(other)
+            high = np.maximum(high, other[np.minimum(at, len(other) - 1)])
+        best = min(best, int((high - own)[ok].min(initial=best - 1)) + 1)
+    return best
+
+
+def near(seg: Segment, window: tuple[bytes, ...], span: int, memo: dict | None = None) -> np.ndarray:
+    """Documents that hold all terms of the window, and the RAREST rarest of them within that many words.
+
+    Rarity and presence are those in the document, equally rare terms go by their place in the window, so the
+    other documents of the segment do not matter. memo keeps what by_document finds in the segment.
+    """
+    memo = {} if memo is None else memo
+    terms = list(dict.fromkeys(window))
+    if any(t not in seg.places for t in terms):
         return np.empty(0, np.int64)
-    lists.sort(key=len)
-    low = high = lists[0].astype(np.int64)
-    doc = np.searchsorted(seg.first, lists[0], "right") - 1
-    ok = np.ones(len(low), bool)
-    for other in lists[1:3]:
-        at = np.searchsorted(other, lists[0])
-        left, right = other[np.maximum(at - 1, 0)], other[np.minimum(at, len(other) - 1)]
-        pick = np.where(np.abs(left - lists[0]) <= np.abs(right - lists[0]), left, right)
-        low, high = np.minimum(low, pick), np.maximum(high, pick)
-        ok &= np.searchsorted(seg.first, pick, "right") - 1 == doc
-    return np.unique(doc[ok & (high - low < span)])
+    for t in terms:
+        if t not in memo:
+            memo[t] = by_document(seg, t)
+    held = [memo[t] for t in terms]
+    docs = min((h[0] for h in held), key=len)
+    for own, _, _ in held:
+        docs = docs[_there(own, docs)]
+        if not len(docs):
+            return docs
+    at = [np.searchsorted(own, docs) for own, _, _ in held]
+    start, end = (np.array([h[k][i] for h, i in zip(held, at)]) for k in (1, 2))
+    rarest = np.argsort(end - start, axis=0, kind="stable")[:RAREST].T.tolist()
+    ok = [least_span([seg.places[terms[k]][start[k, d] : end[k, d]] for k in some]) <= span for d, some in enumerate(rarest)]
+    return docs[np.array(ok)]
 
 
 def matches(seg: Segment, items: Items, slop: int | None = None) -> tuple[list[list], list[set], list[set]]:
     """Per document: merged spans of hit words as [from, to), items hit, items near."""
     n = len(seg.n_words)
     spans, hit, close = [[] for _ in range(n)], [set() for _ in range(n)], [set() for _ in range(n)]
+    memo: dict = {}
     for window, names in items.windows.items():
         start = phrase(seg.places, window)
         if len(start):
@@ -161,7 +192,7 @@ def matches(seg: Segment, items: Items, slop: int | None = None) -> tuple[list[l
             for d in set(docs.tolist()):
                 hit[d].update(names)
         if slop is not None:
-            for d in near(seg, window, len(window) + slop).tolist():
+            for d in near(seg, window, len(window) + slop, memo).tolist():
                 close[d].update(names)
     return [merged(s) for s in spans], hit, [c - h for c, h in zip(close, hit)]
 

@@ -55,6 +55,12 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_positional_index, with the ids of the items that are near and do not match exactly."""
+    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=positional_index.SLOP)
+    return found.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"), F.array_sort("near_items").alias("near_items"), "contaminated")
+
+
 def op7_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,7 +84,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_rules, op2_chat_rotation, op3_byte_bpe, op4_quality_gam, op5_toxicity_trees, op6_positional_index, op7_trie_tokens,
+        op1_line_rules, op2_chat_rotation, op3_byte_bpe, op4_quality_gam, op5_toxicity_trees, op6_positional_index, op6_near_items, op7_trie_tokens,
         op8_html_layout, op9_site_lines, op10_simhash_pivots,
     )
 }
