@@ -305,6 +305,18 @@ def test_layout(html, text):
     assert html_layout.extract(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<head><title>t</title><body>plain text<br>more text", "plain text\nmore text"),
+    ("<head><title>t</title>text<br>more", "text\nmore"),
+    ("<head><title>t</title><br>text<hr>more", "text\n\n---\n\nmore"),
+    ("<head><title>t</title> <meta charset=utf-8>\n<style>x</style><img src=a>text", "text"),
+    ("<head><title>t</title><input>text", "text"),
+    ("<html><head><title>t</title><script>a</script></head><body>text</body></html>", "text"),
+])
+def test_layout_of_an_open_head(html, text):
+    assert html_layout.extract(html) == text
+
+
 def test_layout_of_deep_and_odd_pages(spark, odd):
     assert html_layout.extract("<div>" * 20_000 + "deep").strip() == "deep"
     rows = html_layout.extract_pages(odd, "doc_id", "text").collect()

@@ -1,6 +1,6 @@
 """HTML extraction by layout: a tree with implied tags, visibility rules, and a rendering as plain text.
 
-* Tree: end tags that may be left out are implied (p before a block, li, dt, dd, option, rows and cells of tables), stray end tags are
+* Tree: end tags that may be left out are implied (head before text, body and any tag that may not stand in it, p before a block, li, dt, dd, option, rows and cells of tables), stray end tags are
   ignored, open elements end with the page. Elements deeper than DEEPEST become neighbours, as browsers do.
 * Visibility: head, script, style and the like, the attribute `hidden`, hidden inputs, and inline styles with display:none
   or visibility:hidden show nothing.
@@ -25,6 +25,9 @@ from veilframe.llm.common import per_text
 DEEPEST = 256
 
 UNSEEN = set("head script style template noscript title meta link iframe object svg math canvas audio video datalist select textarea".split())
+#: Tags that leave an open head open.
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
+BLANK = " \t\n\r\f"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -59,18 +62,25 @@ class Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
+            if tag == "body":
+                self.leave_head()
             return
+        if tag not in IN_HEAD:
+            self.leave_head()
         if tag in ENDS_PARAGRAPH:
             self.end({"p"}, {"td", "th", "table", "li", "blockquote", "div"})
         if tag in IMPLIED_END:
             self.end(*IMPLIED_END[tag])
-        if self.open[-1].tag == "head" and tag not in UNSEEN | VOID:
-            self.open.pop()
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
+    def leave_head(self) -> None:
+        """What may not stand in a head ends it."""
+        if len(self.open) > 1 and self.open[-1].tag == "head":
+            self.open.pop()
+
     def end(self, ended: set, border: set) -> None:
         """Close the outermost open element of these tags within the border, and all in it."""
         for k in range(len(self.open) - 1, 0, -1):
@@ -89,6 +99,8 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip(BLANK):
+            self.leave_head()
         self.open[-1].children.append(data)
 
 
