@@ -317,6 +317,29 @@ def test_layout_of_an_open_head(html, text):
     assert html_layout.extract(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><tbody><td>a<td>b</table>", "a  b"),
+    ("<table><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tbody>loose<tr><td>a</table>", "loose\na"),
+    ("<table><tbody><div>loose</div><tr><td>a</table>", "loose\na"),
+    ("<table><tbody><form><tr><td>a<td>b</form></table>", "a  b"),
+    ("<table><tr><form><td>a<td>b</form></table>end", "a  b\n\nend"),
+    ("<form><table><tbody><tr><td>a</form><tr><td>b</table>c</form>", "a\nb\n\nc"),
+    ("<table><colgroup><col><tr><td>a</table>", "a"),
+    ("<table><caption>name<td>a</table>", "name\na"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<tbody><tr><td>e<td>f</table>", "a  b\n   c\n   d\ne  f"),
+    ("<table><tr><td>a<td colspan=2 rowspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+    ("<textarea>one\ntwo</textarea>", "one\ntwo"),
+    ("<select><option>a<option>b</select>", "a\nb"),
+    ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
+    ("<svg><title>no</title><defs><text>no</text></defs><text>yes</text></svg>", "yes"),
+    ("<object data=x>instead</object>", "instead"),
+])
+def test_layout_shows_all_visible_text(html, text):
+    assert html_layout.extract(html) == text
+
+
 def test_layout_of_deep_and_odd_pages(spark, odd):
     assert html_layout.extract("<div>" * 20_000 + "deep").strip() == "deep"
     rows = html_layout.extract_pages(odd, "doc_id", "text").collect()

@@ -24,7 +24,12 @@ from veilframe.llm.common import per_text
 
 DEEPEST = 256
 
-UNSEEN = set("head script style template noscript title meta link iframe object svg math canvas audio video datalist select textarea".split())
+UNSEEN = set("head script style template noscript title meta link iframe canvas audio video datalist".split())
+#: Not shown inside svg and math.
+UNSEEN_IN = {"svg": set("defs symbol desc metadata clippath mask pattern marker".split()), "math": {"annotation", "annotation-xml"}}
+UNSEEN_FOREIGN = set().union(*UNSEEN_IN.values())
+SECTIONS = {"thead", "tbody", "tfoot", "colgroup"}
+AROUND_ROWS = SECTIONS | {"table"}
 #: Tags that leave an open head open.
 IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLANK = " \t\n\r\f"
@@ -37,8 +42,9 @@ SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr a
 #: A start tag ends these open elements, looking up to the given borders.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}), "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
 IMPLIED_END["thead"] = IMPLIED_END["tfoot"] = IMPLIED_END["tbody"]
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
@@ -71,9 +77,18 @@ class Builder(HTMLParser):
             self.end({"p"}, {"td", "th", "table", "li", "blockquote", "div"})
         if tag in IMPLIED_END:
             self.end(*IMPLIED_END[tag])
+        if tag in ("td", "th") and self.open[-1].tag in AROUND_ROWS:
+            self.put(Node("tr", {}))
+        if tag == "form" and self.open[-1].tag in AROUND_ROWS | {"tr"}:
+            return  # rows and cells do not stand in it
         node = Node(tag, dict(attrs))
+        if tag in UNSEEN_FOREIGN and any(tag in UNSEEN_IN.get(n.tag, ()) for n in self.open):
+            node.attrs["hidden"] = None
+        self.put(node)
+
+    def put(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if node.tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
     def leave_head(self) -> None:
@@ -95,7 +110,7 @@ class Builder(HTMLParser):
             if self.open[k].tag == tag:
                 del self.open[k:]
                 return
-            if tag not in BLOCKS and self.open[k].tag in ("td", "th", "li", "table"):
+            if (tag not in BLOCKS or tag == "form") and self.open[k].tag in ("td", "th", "li", "table"):
                 return
 
     def handle_data(self, data):
@@ -178,7 +193,7 @@ def _fill(node: Node, out: Lines, pre: bool) -> None:
             out.flush()
             out.newline()
         elif child.tag not in BLOCKS:
-            _fill(child, out, pre)
+            _fill(child, out, pre or child.tag == "textarea")
         else:
             spaced = child.tag in SPACED
             out.block(spaced)
@@ -227,34 +242,59 @@ def _list(node: Node, pre: bool) -> list[str]:
 
 
 def _rows(node: Node):
+    """Rows, and the part of the table that they stand in."""
     for child in node.children:
         if isinstance(child, str) or not visible(child):
             continue
         if child.tag == "tr":
-            yield child
-        elif child.tag in ("thead", "tbody", "tfoot"):
+            yield node, child
+        elif child.tag in SECTIONS:
             yield from _rows(child)
 
 
-def _table(node: Node, pre: bool) -> list[str]:
+def _loose(node: Node, pre: bool) -> list[str]:
+    """What stands in a table or a part of it outside of its rows."""
     out: list[str] = []
     for child in node.children:
         if isinstance(child, str):
             out += [x for x in (_spaces.sub(" ", child).strip(),) if x]
-        elif visible(child) and child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            out += render(child, pre)
-    rows = []
-    for row in _rows(node):
-        cells = []
+        elif visible(child) and child.tag in SECTIONS:
+            out += _loose(child, pre)
+        elif visible(child) and child.tag != "tr":
+            one = Node("div", {})
+            one.children.append(child)
+            out += render(one, pre)
+    return out
+
+
+def _span(cell: Node, name: str) -> int:
+    span = cell.attrs.get(name) or ""
+    return int(span) if re.fullmatch(r"[0-9]{1,5}", span) else 1
+
+
+def _table(node: Node, pre: bool) -> list[str]:
+    out = _loose(node, pre)
+    rows, part, taken = [], None, {}
+    for group, row in _rows(node):
+        if group is not part:
+            part, taken = group, {}  # rows that cells from above still take, by column
+        cells: list[list[str]] = []
+        below = {k: n - 1 for k, n in taken.items() if n > 1}
         for c in row.children:
             if isinstance(c, str):
-                if c.strip():
-                    cells.append([_spaces.sub(" ", c).strip()])
-            elif visible(c):
-                cells.append(render(c, pre))
-                span = c.attrs.get("colspan") or ""
-                if re.fullmatch(r"[0-9]{1,3}", span):
-                    cells += [[]] * (int(span) - 1)
+                if not c.strip():
+                    continue
+            elif not visible(c):
+                continue
+            while len(cells) in taken:
+                cells.append([])
+            wide, high = (1, 1) if isinstance(c, str) else (_span(c, "colspan"), _span(c, "rowspan"))
+            wide = wide if 0 < wide < 1000 else 1
+            if high != 1:
+                below.update({len(cells) + k: high - 1 if high else 65534 for k in range(wide)})
+            cells.append([_spaces.sub(" ", c).strip()] if isinstance(c, str) else render(c, pre))
+            cells += [[]] * (wide - 1)
+        taken = below
         rows.append(cells)
     widths: list[int] = []
     for cells in rows:
