@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check
+import corpus_pipeline
 from veilframe.llm import (
     boosting, bpe, chat, components, html_layout, line_rules, positional_index, quality_gam, queries, simhash, site_lines, toxicity, trie_tokens,
 )
@@ -363,6 +364,12 @@ def test_site_lines_equal_sql(spark, tmp_path):
     assert site_lines.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_the_pipeline_cleans_small_hosts(spark):
+    rows = [(i, f"menu\npage {i}", "small", 9) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert {r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()} == {f"page {i}" for i in range(3)}
+
+
 # near copies
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO, LEAST = 0.05, 5
+#: The least floor: a line of one page is no repetition.
+REPEATED = 2
 
 
 def _lines(text: Column) -> Column:
