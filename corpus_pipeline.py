@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that its source repeats; n_chars follows the text."""
-    made = site_lines.drop_boilerplate(docs, host="source", least=site_lines.REPEATED)
+    """Every document, without the lines that its source repeats on different texts; n_chars follows the text."""
+    made = site_lines.drop_boilerplate(docs, host="source", least=site_lines.REPEATED, once=True)
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

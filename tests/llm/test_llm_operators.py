@@ -364,10 +364,23 @@ def test_site_lines_equal_sql(spark, tmp_path):
     assert site_lines.drop_boilerplate(docs.limit(0)).count() == 0
 
 
-def test_the_pipeline_cleans_small_hosts(spark):
-    rows = [(i, f"menu\npage {i}", "small", 9) for i in range(3)]
+def test_site_lines_of_small_hosts_and_copies(spark, tmp_path):
+    rows = [(i, f"menu\npage {i}", "small") for i in range(3)] + [(10 + i, f"text {i}", "big") for i in range(30)]
+    rows += [(100 + i, "copied\nwhole", "big") for i in range(10)] + [(200 + i, None, None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = site_lines.drop_boilerplate(docs, least=site_lines.REPEATED, once=True, counts=("n_lines", "n_dropped"))
+    left = {r["doc_id"]: r["text"] for r in made.collect()}
+    assert left == {k: f"page {k}" if s == "small" else t for k, t, s in rows}
+    con = connect(tmp_path, documents=docs)
+    shape = made.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    assert check.compare(shape, con, queries.SQL["op9_site_lines_once"]) == []
+
+
+def test_the_pipeline_keeps_copied_texts_and_cleans_small_hosts(spark):
+    rows = [(i, f"menu\npage {i}", "small", 9) for i in range(3)] + [(10 + i, "copied\nwhole", "big", 9) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
-    assert {r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()} == {f"page {i}" for i in range(3)}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert left == {k: f"page {k}" if s == "small" else t for k, t, s, _ in rows}
 
 
 # near copies

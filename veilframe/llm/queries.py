@@ -76,6 +76,12 @@ def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_site_lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio decides, and equal texts of a source count once, as in the pipeline."""
+    made = site_lines.drop_boilerplate(table(spark, sf_dir, "documents"), least=site_lines.REPEATED, counts=("n_lines", "n_dropped"), once=True)
+    return made.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -85,7 +91,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_rules, op2_chat_rotation, op3_byte_bpe, op4_quality_gam, op5_toxicity_trees, op6_positional_index, op6_near_items, op7_trie_tokens,
-        op8_html_layout, op9_site_lines, op10_simhash_pivots,
+        op8_html_layout, op9_site_lines, op9_site_lines_once, op10_simhash_pivots,
     )
 }
 
@@ -179,4 +185,18 @@ kept AS (
 SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(kept.text) AS text_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
-SQL = {"op1_line_rules": _OP1, "op2_chat_rotation": _OP2, "op6_positional_index": _OP6, "op9_site_lines": _OP9}
+_OP9_ONCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+cut AS (SELECT r, source, text, string_split(text, chr(10)) AS ls FROM d),
+lines AS (SELECT r, source, text, nr, ls[nr] AS line, trim(ls[nr], {_EDGE}) AS bare FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS nr FROM cut)),
+totals AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS pages FROM d GROUP BY source),
+plates AS (
+    SELECT l.source, bare FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE bare <> '' GROUP BY l.source, bare
+    HAVING count(DISTINCT text) >= {site_lines.REPEATED} AND count(DISTINCT text) > {site_lines.RATIO}::DOUBLE * any_value(pages)),
+kept AS (
+    SELECT r, count(*) AS n_lines, count(p.bare) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (p.bare IS NULL), '') AS text
+    FROM lines l LEFT JOIN plates p ON l.source IS NOT DISTINCT FROM p.source AND l.bare = p.bare GROUP BY r)
+SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(kept.text) AS text_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op1_line_rules": _OP1, "op2_chat_rotation": _OP2, "op6_positional_index": _OP6, "op9_site_lines": _OP9, "op9_site_lines_once": _OP9_ONCE}

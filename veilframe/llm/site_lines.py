@@ -9,7 +9,8 @@ is one row per task. The boilerplate meets the line hashes in a join by host and
 together as an array, and meet the text once, by a hash of the page.
 
 Defined cases: a NULL host is a host of its own; NULL text has no lines and stays NULL; an empty text stays. Repeated rows are
-pages each. The decision depends on host and line only, so rows with equal keys are treated alike. A page may lose all
+pages each, unless `once` is asked for: then equal texts of a host are one page of it (NULL too), in the count of a line and of the host
+alike, so that many exact copies do not make boilerplate of their own lines; near copies still count each. The decision depends on host and line only, so rows with equal keys are treated alike. A page may lose all
 lines; its text is then empty. Other columns are kept as they are.
 """
 
@@ -27,32 +28,41 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _hash_of(value: Column) -> Column:
+    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(value, F.lit(1)).alias("b"))
+
+
 def _hash(line: Column) -> Column:
-    trimmed = F.trim(line, F.lit(" \t\r\x0b\x0c"))
-    return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(trimmed, F.lit(1)).alias("b"))
+    return _hash_of(F.trim(line, F.lit(" \t\r\x0b\x0c")))
 
 
 def _counted(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\x0b\x0c")) != ""
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, once: bool = False) -> DataFrame:
     """host, the hashes of a line, pages with it and pages of the host, for lines beyond the ratio."""
     slim = pages.select(F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
+    own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), _hash))
+    if once:
+        # copies meet by the hash of their text, and only the hashes of the lines travel
+        slim = slim.select("host", _hash_of(F.col("text")).alias("page"), own.alias("own")).dropDuplicates(["host", "page"])
+        own = F.col("own")
     totals = slim.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n_pages"))
-    lines = slim.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), _hash))).alias("line"))
+    lines = slim.select("host", F.explode(own).alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("n_pages")).select("host", "line", "n", "n_pages")
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, counts: tuple[str, str] | None = None
+    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, counts: tuple[str, str] | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """The rows of pages, all columns, with the boilerplate lines left out of the text.
 
-    counts: names of two more columns, the lines of a page and how many were dropped.
+    counts: names of two more columns, the lines of a page and how many were dropped. once: equal texts of a host count as one page.
     """
-    plates = boilerplate(pages, host, text, ratio, least).select(F.col("host").alias("p_host"), F.col("line").alias("p_line"))
+    plates = boilerplate(pages, host, text, ratio, least, once).select(F.col("host").alias("p_host"), F.col("line").alias("p_line"))
     own, words = F.col(f"`{host}`").cast("string"), F.col(f"`{text}`").cast("string")
     page = F.xxhash64(own, words)
     lines = pages.select(own.alias("l_host"), page.alias("l_page"), F.explode(F.array_distinct(F.transform(F.filter(_lines(words), _counted), _hash))).alias("l_line"))
