@@ -138,6 +138,22 @@ def test_bpe_of_long_words_and_random_text(library):
     assert made.encode(some) == [" ".join(map(str, library.encode_ordinary(t))).encode() for t in some]
 
 
+@pytest.mark.parametrize("letters", ["ACGT", "abcdefghijklmnopqrstuvwxyz", "aéß日本", "a"])
+def test_bpe_of_very_long_mixed_words(library, letters):
+    rng = random.Random(3)
+    made = bpe.Codec(PATH, PATTERN)
+    word = "".join(rng.choice(letters) for _ in range(100_000))
+    assert made.encode([word, word[:1000]]) == [" ".join(map(str, library.encode_ordinary(t))).encode() for t in (word, word[:1000])]
+
+
+def test_bpe_contracts_equally_with_and_without_sql(library):
+    rng = random.Random(4)
+    made = bpe.Codec(PATH, PATTERN)
+    for n in (1, 2, 50, 600):
+        word = "".join(rng.choice("abcdeé") for _ in range(n))
+        assert made.contracted(word.encode()) == library.encode_ordinary(word)
+
+
 # models
 
 

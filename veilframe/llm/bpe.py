@@ -5,7 +5,8 @@ rows of an in-process DuckDB (in memory, one thread, no server). In each round o
 token-position rows of a word meet the merge table, the leftmost pair of least rank is contracted, and words
 without a mergeable pair are finished. Words beyond LONG bytes go through a second recursive query that holds rows
 instead of lists and contracts all occurrences of the least pair in one round, where no pair made by it can have
-a lower rank; the result is the same. Decoding joins (document, position, id) rows to the vocabulary and puts the bytes
+a lower rank; the result is the same. Both keep every round of a word, so a word whose square is beyond ROUND_CELLS
+is contracted in Python instead, pair by pair from a heap, in memory that follows its length. Decoding joins (document, position, id) rows to the vocabulary and puts the bytes
 together by an ordered aggregate.
 
 Defined cases: NULL is the empty text, which has no ids. Repeated rows and keys are encoded each for themselves. Other columns
@@ -17,7 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import duckdb
 import numpy as np
@@ -112,8 +114,11 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
         raw = [w.encode() for w in words]
+        for w, data in zip(words, raw):
+            if len(data) ** 2 > ROUND_CELLS:
+                self.words[w] = b" ".join(b"%d" % t for t in self.contracted(data))
         for query, some in (
-            (SHORT_WORDS, [i for i, w in enumerate(raw) if len(w) <= LONG]), (LONG_WORDS, [i for i, w in enumerate(raw) if len(w) > LONG]),
+            (SHORT_WORDS, [i for i, w in enumerate(raw) if len(w) <= LONG]), (LONG_WORDS, [i for i, w in enumerate(raw) if len(w) > LONG and len(w) ** 2 <= ROUND_CELLS]),
         ):
             # the recursion keeps what a word was in each round
             upto = np.cumsum([len(raw[i]) ** 2 for i in some])
@@ -130,6 +135,32 @@ class Codec:
                 for w, ids in zip(out["word"].to_pylist(), out["ids"].to_pylist()):
                     self.words[words[part[w]]] = ids.encode()
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        made = self.con.sql("SELECT pair, merged FROM merges").to_arrow_table()
+        return dict(zip(made["pair"].to_pylist(), made["merged"].to_pylist()))
+
+    def contracted(self, data: bytes) -> list[int]:
+        """The ids of a word: the leftmost pair of least rank is contracted until none is left."""
+        pairs, n = self.pairs, len(data)
+        toks = self.single[np.frombuffer(data, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # places of the neighbours
+        merged = lambda i: pairs.get(toks[i] << 20 | toks[after[i]]) if after[i] < n else None
+        heap = [(r, i) for i in range(n) if (r := merged(i)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            if toks[i] < 0 or merged(i) != rank:
+                continue  # one of the pair has been contracted since
+            gone = after[i]
+            toks[i], toks[gone], after[i] = rank, -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := merged(k)) is not None:
+                    heappush(heap, (r, k))
+        return [t for t in toks if t >= 0]
+
     def parts(self, text: str) -> list[str]:
         """The text cut where two matches of the pattern meet in any case: before a space and around a line break,
         if no two characters of white space stand in a row; otherwise at each match."""
