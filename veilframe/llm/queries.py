@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, chat, html_layout, line_rules, positional_index, quality_gam, simhash, site_lines, toxicity, trie_tokens
+from veilframe.llm import (
+    bpe, chat, hard_negatives, heap_kmeans, hidden_markov, html_layout, line_rules, positional_index, quality_gam, simhash, site_lines, toxicity, trie_tokens,
+)
 
 #: Words as the contract has them: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,11 +89,35 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op11_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = heap_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    own = found.rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    # one row per cluster
+    digests = spark.createDataFrame([(k, heap_kmeans.digest(c)) for k, c in enumerate(found.centroids)], "cluster int, digest string")
+    totals = own.join(digests, "cluster").withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy(F.lit(1))))
+    return found.rows.join(F.broadcast(totals), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("digest", 256).alias("centroid_sha256")
+    )
+
+
+def op12_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = hidden_markov.count_words(docs)
+    encoded = hidden_markov.encode(docs, known)
+    return hidden_markov.score(encoded, known, hidden_markov.fit(encoded, known)[0])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_rules, op2_chat_rotation, op3_byte_bpe, op4_quality_gam, op5_toxicity_trees, op6_positional_index, op6_near_items, op7_trie_tokens,
         op8_html_layout, op9_site_lines, op9_site_lines_once, op10_simhash_pivots,
+        op11_heap_kmeans, op12_tree_negatives, op13_hidden_markov,
     )
 }
 
@@ -199,4 +225,60 @@ kept AS (
 SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(kept.text) AS text_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
-SQL = {"op1_line_rules": _OP1, "op2_chat_rotation": _OP2, "op6_positional_index": _OP6, "op9_site_lines": _OP9, "op9_site_lines_once": _OP9_ONCE}
+
+
+def _assigned(nr: int) -> str:
+    """Each vector with its nearest centroid of table c{nr}."""
+    far = "list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    return (
+        f"a{nr} AS MATERIALIZED (SELECT r, vec_id, v, arg_min(k, d * 16 + k) AS cluster, min(d) AS distance "
+        f"FROM (SELECT r, vec_id, v, k, {far} AS d FROM kept, c{nr}) GROUP BY r, vec_id, v)"
+    )
+
+
+def _moved(nr: int) -> str:
+    """The centroids after the assignment a{nr}; those of empty clusters stay."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    return f"""
+sums{nr} AS (SELECT cluster, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS pos FROM a{nr}) GROUP BY cluster, pos),
+c{nr + 1} AS MATERIALIZED (
+    SELECT k, coalesce(own, w) AS w FROM c{nr} LEFT JOIN (SELECT cluster, list(({floor})::BIGINT ORDER BY pos) AS own FROM sums{nr} GROUP BY cluster) ON k = cluster)"""
+
+
+_OP11 = f"""
+WITH fine AS (
+    SELECT vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM fine),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS k, v AS w
+    FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT 16)),
+{_assigned(0)},{_moved(0)},
+{_assigned(1)},{_moved(1)},
+{_assigned(2)},{_moved(2)},
+{_assigned(3)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+    sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON k = cluster
+"""
+
+_OP12 = """
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+anchors AS (SELECT row_number() OVER () AS a, * FROM (SELECT DISTINCT vec_id AS anchor_id, label AS own, v AS av FROM kept WHERE vec_id % 50 = 0)),
+scored AS MATERIALIZED (
+    SELECT a, anchor_id, r, vec_id, label = own AS same, list_dot_product(av, v)::BIGINT AS score
+    FROM anchors JOIN kept ON vec_id IS DISTINCT FROM anchor_id),
+positives AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) AS p FROM scored WHERE same) WHERE p <= 5),
+fit AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+    FROM positives p JOIN scored s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM fit WHERE rank <= 3
+"""
+
+SQL = {"op11_heap_kmeans": _OP11, "op12_tree_negatives": _OP12, "op1_line_rules": _OP1, "op2_chat_rotation": _OP2, "op6_positional_index": _OP6, "op9_site_lines": _OP9, "op9_site_lines_once": _OP9_ONCE}
