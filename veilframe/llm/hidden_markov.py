@@ -11,7 +11,7 @@ that it met; Spark sums them over the partitions, and the driver gets the sums,
 model of them, which is broadcast. Emissions are smoothed towards the shares of the symbols, so that no state excludes a word.
 
 Scoring. The scaled forward recursion gives the exact likelihood of the sequence of symbols. The counts of rare words come by a join of the
-distinct rare words of each document with the table of counts; being rare, none of them is a hot key.
+rare words of the documents with the table of counts; being rare, none of them is a hot key.
 
 Tokens: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, and one end after the last word. base_score is log10 of add-one smoothed word shares.
 
@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -38,19 +39,23 @@ from veilframe.llm.common import ASCII_LOWER, pieces, text_bytes, text_columns,
 
 #: A word is a symbol if at least one in so many training tokens is that word, and so many tokens at least.
 SHARE, OFTEN = 200_000, 5
-STATES, ROUNDS = 8, 5
+STATES, ROUNDS = 8, 4
 #: Before the first round: share of the transitions into the same state, and how far emissions are apart.
 STAY, APART = 0.9, 2.0
 #: Emissions get so many tokens spread by the shares of the symbols, transitions and first states so many each.
 PRIOR, LEAST = 200.0, 1.0
 #: Bytes of text, and of symbols, that a task takes at once.
 PIECE, SEQUENCES = 8 << 20, 2 << 20
+#: Bytes of symbols that are sorted by length at once.
+BUFFER = 32 << 20
+#: Distinct words that a task counts before it passes them on.
+WORDS = 400_000
 #: Tokens whose probabilities are held at once.
 HELD = 1 << 19
 #: Classes of rare words; end is the symbol before them.
 CLASSES = ("digit", "foreign", "short", "long", "mixed")
 
-_DIGITS, _LETTERS = frozenset(b"0123456789"), bytes(range(97, 123))
+_DIGITS = b"0123456789"
 
 
 def held_out(key: str) -> Column:
@@ -64,13 +69,11 @@ def words(text: bytes) -> list[bytes]:
 
 def kind(word: bytes) -> int:
     """The class of a rare word."""
-    if not _DIGITS.isdisjoint(word):
+    if word.isalpha():  # letters of ASCII only
+        return 2 if len(word) < 6 else 3
+    if len(word.translate(None, _DIGITS)) < len(word):
         return 0
-    if not word.isascii():
-        return 1
-    if word.translate(None, _LETTERS):
-        return 4
-    return 2 if len(word) < 6 else 3
+    return 4 if word.isascii() else 1
 
 
 class Vocabulary(NamedTuple):
@@ -95,12 +98,18 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     train = docs.where(~held_out(key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
         for piece in pieces(batches, limit=PIECE):
-            n: Counter = Counter()
             for t in text_bytes(piece):
                 n.update(words(t))
-            got = list(n)
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(list(map(kind, got)), pa.int32()), pa.array(list(n.values()), pa.int64())], names)
+            if len(n) > WORDS:
+                yield counted(n)
+                n = Counter()
+        yield counted(n)
+
+    def counted(n: Counter) -> pa.RecordBatch:
+        got = list(n)
+        return pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(list(map(kind, got)), pa.int32()), pa.array(list(n.values()), pa.int64())], names)
 
     names = ["word", "kind", "c"]
     parts = text_columns(train, key, text).mapInArrow(run, "word binary, kind int, c long")
@@ -114,39 +123,43 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     return Vocabulary(counts, symbols, tokens, distinct + (ends > 0), ends, [rare.get(k, (0, 0)) for k in range(len(CLASSES))])
 
 
+class Met(dict):
+    """Symbols of frequent words, and of the rare ones met so far, negative so that they are told apart."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        super().__init__(numbers)
+        self.first = len(numbers) + 1
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = symbol = -(self.first + kind(word))
+        return symbol
+
+
 def encode(docs: DataFrame, known: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: row, key, held_out, symbols, and its distinct rare words with their number; a written table."""
+    """One row per document: row, key, held_out, symbols, and its rare words; a written table."""
     numbers = {w: i for i, w in enumerate(known.symbols)}
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
     slim = docs.select(F.col(f"`{key}`").alias("key"), held_out(key).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("key", slim.schema["key"].dataType), T.StructField("held_out", T.BooleanType()),
-        T.StructField("symbols", T.BinaryType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("rare_n", T.ArrayType(T.IntegerType())),
+        T.StructField("symbols", T.BinaryType()), T.StructField("rare", T.ArrayType(T.BinaryType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, row = shared.value, TaskContext.get().partitionId() << 33
-        first, end = len(numbers) + 1, len(numbers).to_bytes(4, "little")
-        # rare words met in a piece: their symbol, negative so that they are told from frequent ones
+        end = len(numbers).to_bytes(4, "little")
         for piece in pieces(batches, limit=PIECE):
-            symbols, rare, rare_n = [], [], []
-            met = dict(numbers)
+            symbols, rare = [], []
+            met = Met(numbers)
             for t in text_bytes(piece):
                 own = words(t)
-                got = list(map(met.get, own))
-                if None in got:
-                    for w in {w for w, s in zip(own, got) if s is None}:
-                        met[w] = -(first + kind(w))
-                    got = list(map(met.get, own))
-                at = np.array(got, np.int32)
-                n = Counter(own[i] for i in np.flatnonzero(at < 0).tolist())
-                rare.append(list(n))
-                rare_n.append(list(n.values()))
-                symbols.append(np.abs(at).tobytes() + end)
+                got = np.fromiter(map(met.__getitem__, own), np.int32, len(own))
+                rare.append([own[i] for i in np.flatnonzero(got < 0).tolist()])
+                symbols.append(np.abs(got).tobytes() + end)
             m = len(symbols)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + m)), piece.column("key"), piece.column("held_out"), pa.array(symbols, pa.binary()),
-                pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int32())),
+                pa.array(rare, pa.list_(pa.binary())),
             ], schema.names)
             row += m
 
@@ -191,28 +204,31 @@ class Batch:
             cuts.append(max(cuts[-1] + 1, int(np.searchsorted(self.at, self.at[cuts[-1]] + tokens, "right")) - 1))
         return list(zip(cuts, cuts[1:]))
 
-    def forward(self, model: Model, times: tuple[int, int], last: np.ndarray | None, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-        """Scales of a range of times, the scaled forward probabilities if they are to be kept, and the last of them."""
-        ends = self.at[times[0] : times[1] + 1].tolist()
-        first, n = ends[0], ends[-1] - ends[0]
-        scale = np.empty(n)
-        alpha = np.empty((n, len(model.first))) if keep else None
+    def forward(self, model: Model, times: tuple[int, int], last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Scales of a range of times, and its scaled forward probabilities."""
+        ends = self.at[times[0] : times[1] + 1]
+        alpha = model.emit[self.symbols[ends[0] : ends[-1]]]
+        ends = (ends - ends[0]).tolist()
+        scale, one = np.empty(ends[-1]), np.ones(len(model.first))
         for a, b in zip(ends, ends[1:]):
-            now = model.emit[self.symbols[a:b]]
+            now = alpha[a:b]
             now *= model.first if last is None else last[: b - a] @ model.step
-            c = now.sum(1)
+            c = now @ one
             now /= c[:, None]
-            scale[a - first : b - first] = c
-            if keep:
-                alpha[a - first : b - first] = now
+            scale[a:b] = c
             last = now
-        return scale, alpha, last
+        return scale, alpha
+
+    def final(self, alpha: np.ndarray, times: tuple[int, int]) -> np.ndarray:
+        """The probabilities of the last time of a range."""
+        return alpha[len(alpha) - self.there[times[1] - 1] :]
 
     def likelihood(self, model: Model) -> np.ndarray:
         """log10 likelihood of each sequence."""
         total, last = np.zeros(self.there[0]), None
         for times in self.ranges(HELD):
-            scale, _, last = self.forward(model, times, last, False)
+            scale, alpha = self.forward(model, times, last)
+            last = self.final(alpha, times).copy()
             logs, first = np.log10(scale), self.at[times[0]]
             ends = self.at[times[0] : times[1] + 1] - first
             for a, b in zip(ends, ends[1:]):
@@ -226,30 +242,53 @@ class Batch:
 
         Only the probabilities of one range of times are held; those of a very long sequence are computed once more from where each range begins.
         """
-        ranges, begins, last = self.ranges(held), [None], None
+        ranges, begins = self.ranges(held), [None]
         for times in ranges[:-1]:
-            last = self.forward(model, times, last, False)[2]
-            begins.append(last)
+            begins.append(self.final(self.forward(model, times, begins[-1])[1], times).copy())
         states = len(model.first)
         pairs, emitted, logs = np.zeros((states, states)), np.zeros(model.emit.shape), 0.0
-        follow, back = None, model.step.T.copy()
+        follow, back = np.empty((0, states)), model.step.T.copy()
         for times, begin in zip(ranges[::-1], begins[::-1]):
-            scale, alpha, _ = self.forward(model, times, begin, True)
+            scale, alpha = self.forward(model, times, begin)
+            logs += float(np.log10(scale).sum())
+            there = self.there[times[0] : times[1]]
             ends = (self.at[times[0] : times[1] + 1] - self.at[times[0]]).tolist()
             symbols = self.symbols[self.at[times[0]] : self.at[times[1]]]
-            # ahead: the own emission over its scale, times what follows
-            ahead, gamma = model.emit[symbols] / scale[:, None], alpha.copy()
-            for a, b in list(zip(ends, ends[1:]))[::-1]:
-                if follow is not None:
-                    n = len(follow)  # sequences that go on
-                    pairs += alpha[a : a + n].T @ follow
-                    later = follow @ back
-                    gamma[a : a + n] *= later
-                    ahead[a : a + n] *= later
+            # what comes after each place, and with the own emission over its scale
+            beta, ahead = np.ones_like(alpha), model.emit[symbols]
+            ahead /= scale[:, None]
+            pairs += self.final(alpha, times)[: len(follow)].T @ follow
+            for a, b in zip(ends[-2::-1], ends[:0:-1]):
+                if n := len(follow):
+                    np.matmul(follow, back, out=beta[a : a + n])
                 follow = ahead[a:b]
-            emitted += np.stack([np.bincount(symbols, gamma[:, s], len(model.emit)) for s in range(states)], 1)
-            logs += float(np.log10(scale).sum())
-        return gamma[: self.there[0]].sum(0), pairs * model.step, emitted, logs
+                follow *= beta[a:b]
+            # the same sequence one step earlier
+            before = np.arange(there[0], len(alpha)) - np.repeat(there[:-1], there[1:])
+            pairs += alpha[before].T @ ahead[there[0] :]
+            alpha *= beta
+            emitted += np.stack([np.bincount(symbols, alpha[:, s], len(model.emit)) for s in range(states)], 1)
+            follow = follow.copy()
+        return alpha[: self.there[0]].sum(0), pairs * model.step, emitted, logs
+
+
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in pieces of about SEQUENCES bytes of symbols; of BUFFER bytes at a time the longest come together, as a piece takes as many steps as its longest row."""
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        order = np.argsort(-pc.binary_length(rows["symbols"]).to_numpy(), kind="stable")
+        yield from pieces(rows.take(order).combine_chunks().to_batches(), "symbols", SEQUENCES)
+
+    held, size = [], 0
+    for piece in pieces(batches, "symbols", SEQUENCES):
+        held.append(piece)
+        size += piece.column("symbols").nbytes
+        if size >= BUFFER:
+            yield from cut(held)
+            held, size = [], 0
+    if held:
+        yield from cut(held)
 
 
 def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -264,7 +303,7 @@ def expected_counts(encoded: DataFrame, model: Model) -> tuple[Model, float, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         first, pairs, emitted, logs, n = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), 0.0, 0
-        for piece in pieces(batches, "symbols", SEQUENCES):
+        for piece in by_length(batches):
             f, p, e, part = (batch := Batch(_sequences(piece))).expected(model)
             first, pairs, emitted, logs, n = first + f, pairs + p, emitted + e, logs + part, n + len(batch.symbols)
         if n:
@@ -317,7 +356,7 @@ def score(encoded: DataFrame, known: Vocabulary, model: Model, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, base, over, there = shared.value
-        for piece in pieces(batches, "symbols", SEQUENCES):
+        for piece in by_length(batches):
             seqs = _sequences(piece)
             logs = Batch(seqs).likelihood(model)
             yield pa.RecordBatch.from_arrays([
@@ -331,11 +370,11 @@ def score(encoded: DataFrame, known: Vocabulary, model: Model, key: str = "doc_i
         T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("logs", T.DoubleType()),
     ])
     parts = encoded.select("row", "key", "held_out", "symbols").mapInArrow(run, schema)
-    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("w"), F.col("r.rare_n").alias("m"))
+    rare = encoded.select("row", F.explode("rare").alias("w"))
     seen = F.coalesce("c", F.lit(0))
-    met = rare.join(known.counts, F.col("w") == F.col("word"), "left").groupBy(F.col("row").alias("r_row")).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known_rare"), F.sum(F.col("m") * F.log10(seen + 1)).alias("up")
-    )
+    # words are distinct in the counts, so every partition of them holds its even share and can be hashed
+    met = rare.join(known.counts.select("word", "c").hint("shuffle_hash"), F.col("w") == F.col("word"), "left")
+    met = met.groupBy(F.col("row").alias("r_row")).agg(F.count_if(F.col("c") > 0).alias("known_rare"), F.sum(F.log10(seen + 1)).alias("up"))
     joined = parts.join(met, F.col("row") == F.col("r_row"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
