@@ -210,23 +210,26 @@ def test_index_equals_sql_on_odd_texts(spark, odd, tmp_path, monkeypatch):
     bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*items, items[1]])] + [(1, "word", 1)], "item_id long, text string, n_hit int")
     con = connect(tmp_path, documents=odd, benchmark=bench)
     shape = lambda found: found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), positional_index.sha_of_items().alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), positional_index.sha_of_items().alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("bigint").alias("n_near"), positional_index.sha_of_items("near_items").alias("near_sha256"),
     )
-    assert check.compare(shape(positional_index.decontaminate(odd, bench)), con, queries.SQL["op6_positional_index"]) == []
+    judged = lambda: positional_index.decontaminate(odd, bench, slop=positional_index.SLOP)
+    assert check.compare(shape(judged()), con, queries.SQL["op6_positional_index"]) == []
     clean = positional_index.keep_clean(odd, bench)
     assert clean.columns == odd.columns
     assert clean.count() == odd.count() - positional_index.decontaminate(odd, bench).where("contaminated").count()
-    monkeypatch.setattr(positional_index, "BLOCK_BYTES", 20)  # several blocks, all terms in the index
-    assert check.compare(shape(positional_index.decontaminate(odd, bench)), con, queries.SQL["op6_positional_index"]) == []
+    monkeypatch.setattr(positional_index, "BLOCK_BYTES", 20)  # several blocks
+    assert len(list(positional_index.blocks(bench))) > 2
+    assert check.compare(shape(judged()), con, queries.SQL["op6_positional_index"]) == []
     assert positional_index.decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
 def test_proximity(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    docs = spark.createDataFrame([(1, item), (2, item.replace("five", "five and a half")), (3, item.replace(" ", " x " * 9)), (4, "one two")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, item), (2, item.replace("five", "five and a half")), (3, item.replace(" ", " x " * 9)), (4, "one two"), (5, item.replace("five", "half"))], "doc_id int, text string")
     bench = spark.createDataFrame([(5, item)], "item_id int, text string")
     got = {r["doc_id"]: (r["items"], r["near_items"]) for r in positional_index.decontaminate(docs, bench, slop=3).collect()}
-    assert got == {1: (["5"], []), 2: ([], ["5"]), 3: ([], []), 4: ([], [])}
+    assert got == {1: (["5"], []), 2: ([], ["5"]), 3: ([], []), 4: ([], []), 5: ([], ["5"])}
 
 
 def plain_near(text, item, slop):
@@ -237,9 +240,11 @@ def plain_near(text, item, slop):
         at[w].append(i)
     for k in range(max(1, len(words) - 12) if words else 0):
         window = words[k : k + 13]
-        terms = sorted(dict.fromkeys(window), key=lambda t: len(at[t]))[:3]
-        spans = [max(c) - min(c) + 1 for c in itertools.product(*[at[t] for t in terms])]
-        if all(at[t] for t in window) and min(spans) <= len(window) + slop:
+        distinct = list(dict.fromkeys(window))
+        there = [t for t in distinct if at[t]]
+        terms = sorted(there, key=lambda t: len(at[t]))[:3]
+        spans = [max(c) - min(c) + 1 for c in itertools.product(*[at[t] for t in terms])] if terms else []
+        if len(there) >= len(distinct) - len(distinct) // 8 and spans and min(spans) <= len(window) + slop:
             return True
     return False
 
@@ -265,14 +270,6 @@ def test_proximity_takes_the_shortest_run():
     assert positional_index.least_span([np.array([5])]) == 1
 
 
-def test_query_of_near_items(spark):
-    made = entry.queries()["op6_near_items"](spark, SF)
-    both = made.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "contaminated").collect()
-    exact = entry.queries()["op6_positional_index"](spark, SF).drop("items_sha256").collect()
-    assert Counter(map(tuple, both)) == Counter(map(tuple, exact))
-    assert all(set(r["near_items"]).isdisjoint(r["items"]) for r in made.collect())
-
-
 # token counts
 
 
@@ -384,12 +381,12 @@ def test_site_lines_of_small_hosts_and_copies(spark, tmp_path):
     rows = [(i, f"menu\npage {i}", "small") for i in range(3)] + [(10 + i, f"text {i}", "big") for i in range(30)]
     rows += [(100 + i, "copied\nwhole", "big") for i in range(10)] + [(200 + i, None, None) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    made = site_lines.drop_boilerplate(docs, least=site_lines.REPEATED, once=True, counts=("n_lines", "n_dropped"))
+    made = site_lines.drop_boilerplate(docs, counts=("n_lines", "n_dropped"))
     left = {r["doc_id"]: r["text"] for r in made.collect()}
     assert left == {k: f"page {k}" if s == "small" else t for k, t, s in rows}
     con = connect(tmp_path, documents=docs)
     shape = made.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
-    assert check.compare(shape, con, queries.SQL["op9_site_lines_once"]) == []
+    assert check.compare(shape, con, queries.SQL["op9_site_lines"]) == []
 
 
 def test_the_pipeline_keeps_copied_texts_and_cleans_small_hosts(spark):

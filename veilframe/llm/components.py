@@ -13,15 +13,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large and small stars in turn (Kiveris et al., 2014): each node ties its larger neighbours to the smallest node it knows,
     then its smaller ones, until nothing changes; the number of rounds grows with the logarithm of the longest chain.
-    A node with very many links is one key of a join only, which Spark splits when it is skewed.
+    A node with very many links is one key of a join. The least neighbours are written before each join, so that both its sides are plain
+    scans below their shuffles: only then does Spark split a skewed key. Their aggregation is combined before its shuffle.
     """
     now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         tied = large.join(least, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         small = written(small.where("u <> v").distinct(), "links")

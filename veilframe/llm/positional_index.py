@@ -1,15 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-`build` stores the postings of the training tokens: the index is cut by documents into segments of some megabytes of text, and a
+`build` stores the postings of all tokens: the index is cut by documents into segments of some megabytes of text, and a
 segment is one row that holds, for every term, the ascending places where it stands. Places run through the documents of a
-segment with a gap between two of them. `search` looks up phrases: of each window it takes the list of the rarest
-term in the segment, shifts it to the window's start, and intersects it with the shifted lists of the next rarer terms, until it is
-empty or all terms agree. No posting leaves its segment, so nothing is shuffled and no key can be hot.
-With `slop`, windows that do not match are also searched by proximity: a document holds all terms of the window, and the
-three that are rarest in that document stand somewhere within the length of the window plus slop words.
+segment with a gap between two of them. `search` looks up phrases: windows with a term that the segment has nowhere are left out at
+once; of each other window it takes the list of the rarest term in the segment, shifts it to the window's start, and intersects it with
+the shifted lists of the next rarer terms, until it is empty or all terms agree. No posting leaves its segment, so nothing is
+shuffled and no key can be hot. With `slop`, windows that do not match are also searched by proximity: a document holds the terms of
+the window, of eight or more distinct ones all but one in eight, and the three of them that are rarest in that document stand
+somewhere within the length of the window plus slop words.
 
-The test items are the query set. They are taken in blocks of about BLOCK_BYTES, each block is broadcast, and the stored
-index is read once per block. With one block the index holds the terms of the items only, otherwise all terms.
+The test items are the query set, and the index does not depend on it. Items are taken in blocks of about BLOCK_BYTES: one block at a
+time is on the driver, is broadcast, meets the stored index, and is released when its finds are written.
 
 Words: A-Z in lower case, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A window is 13 words in a row of an item, a shorter item is one window.
 
@@ -21,25 +22,28 @@ judged each. An empty test table leaves all documents clean. Other columns are n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count, repeat
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.common import keep_rows, pieces, text_bytes, text_columns, written
+from veilframe.llm.common import pieces, text_bytes, text_columns, written
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: A document is contaminated if the hit words are at least one in so many.
 SHARE = 20
 #: So many of the rarest terms of a window have to stand together for a near match, within the window's length and SLOP words.
 RAREST = 3
 SLOP = 5
+#: Of so many distinct terms of a window one may be missing in a near match.
+SPARE = 8
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -49,64 +53,68 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Items(NamedTuple):
-    """Windows of a block of items: the terms of each distinct window, and the items it stands in."""
+    """Windows of a block of items, as numbers of their terms; shorter windows end with -1. The items of window k are owners[upto[k]:upto[k + 1]]."""
 
-    windows: dict[tuple[bytes, ...], list[int]]
     names: list[str]
+    terms: list[bytes]
+    windows: np.ndarray
+    sizes: np.ndarray
+    upto: np.ndarray
+    owners: np.ndarray
 
-    def terms(self) -> dict[bytes, int]:
-        numbers: dict[bytes, int] = {}
-        for w in self.windows:
-            for t in w:
-                numbers.setdefault(t, len(numbers))
-        return numbers
+    def of(self, window: int) -> list[int]:
+        return self.owners[self.upto[window] : self.upto[window + 1]].tolist()
 
 
 def windows(rows: list[tuple[str, bytes]], width: int = WINDOW) -> Items:
     """The windows of items, given as name and text."""
     names = sorted({name for name, _ in rows})
     number = {name: i for i, name in enumerate(names)}
-    found: dict[tuple[bytes, ...], list[int]] = {}
+    terms: dict[bytes, int] = {}
+    made, owner = [np.empty((0, width), np.int32)], [np.empty(0, np.int64)]
     for name, text in rows:
-        own = words(text)
-        for k in range(max(1, len(own) - width + 1) if own else 0):
-            where = found.setdefault(tuple(own[k : k + width]), [])
-            if not where or where[-1] != number[name]:
-                where.append(number[name])
-    return Items(found, names)
+        own = np.array([terms.setdefault(w, len(terms)) for w in words(text)], np.int32)
+        if len(own):
+            padded = np.concatenate([own, np.full(max(0, width - len(own)), -1, np.int32)])
+            made.append(np.lib.stride_tricks.sliding_window_view(padded, width))
+            owner.append(np.full(len(made[-1]), number[name]))
+    distinct, which = np.unique(np.concatenate(made), axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([which.ravel(), np.concatenate(owner)], 1), axis=0)
+    upto = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+    return Items(names, list(terms), distinct, (distinct >= 0).sum(1), upto, pairs[:, 1])
 
 
 class Segment(NamedTuple):
-    """Postings of some documents: first place and number of words of each, and the places of every term."""
+    """Postings of some documents: first place and number of words of each, and the places of the terms that are looked for, by their number."""
 
     first: np.ndarray
     n_words: np.ndarray
-    places: dict[bytes, np.ndarray]
+    places: dict[int, np.ndarray]
 
 
-def segment(texts: list[bytes], terms: dict[bytes, int] | None) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Words per text, terms that occur, postings of each, and all places, term after term. Without terms all are taken."""
-    numbers = {} if terms is None else terms
+def segment(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Words per text, terms that occur, postings of each, and all places, term after term."""
+    numbers: dict[bytes, int] = {}
     ids, sizes, fresh = [], [], count()
     for text in texts:
         own = words(text)
         sizes.append(len(own))
-        # without a list of terms a word gets the number of its first place
-        found = map(numbers.setdefault, own, fresh) if terms is None else map(numbers.get, own, repeat(-1))
-        ids.append(np.fromiter(found, np.int64, len(own)))
+        # a term gets the number of its first place
+        ids.append(np.fromiter(map(numbers.setdefault, own, fresh), np.int64, len(own)))
     n_words = np.array(sizes, np.int64)
     every = np.concatenate(ids) if ids else np.empty(0, np.int64)
     place = np.arange(len(every)) + np.repeat(np.arange(len(sizes)), n_words)
-    kept = every >= 0
-    kind, term = np.unique(every[kept], return_inverse=True)
-    order = np.argsort(term.astype(np.uint16) if len(kind) < 65536 else term, kind="stable")
-    by_number = {v: k for k, v in numbers.items()} if len(kind) else {}
-    return n_words, [by_number[k] for k in kind.tolist()], np.bincount(term, minlength=len(kind)), place[kept][order].astype(np.int32)
+    _, term = np.unique(every, return_inverse=True)
+    order = np.argsort(term.astype(np.uint16) if len(numbers) < 65536 else term, kind="stable")
+    return n_words, sorted(numbers, key=numbers.get), np.bincount(term, minlength=len(numbers)), place[order].astype(np.int32)
 
 
-def opened(n_words: np.ndarray, terms: list[bytes], counts: np.ndarray, places: np.ndarray) -> Segment:
+def opened(n_words: np.ndarray, terms: pa.Array, counts: np.ndarray, places: np.ndarray, wanted: list[bytes]) -> Segment:
+    """The postings of the wanted terms."""
     first = np.cumsum(n_words) - n_words + np.arange(len(n_words))
-    return Segment(first, n_words, dict(zip(terms, np.split(places, np.cumsum(counts)[:-1]))))
+    ends = np.cumsum(counts)
+    at = pc.index_in(pa.array(wanted, pa.binary()), value_set=terms).to_pylist()
+    return Segment(first, n_words, {t: places[ends[k] - counts[k] : ends[k]] for t, k in enumerate(at) if k is not None})
 
 
 def _there(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -115,15 +123,9 @@ def _there(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return places[at] == wanted
 
 
-def phrase(places: dict[bytes, np.ndarray], window: tuple[bytes, ...]) -> np.ndarray:
-    """Places where the window begins."""
-    lists = []
-    for k, term in enumerate(window):
-        got = places.get(term)
-        if got is None:
-            return np.empty(0, np.int32)
-        lists.append((len(got), k, got))
-    lists.sort(key=lambda x: x[:2])
+def phrase(places: dict[int, np.ndarray], window: list[int]) -> np.ndarray:
+    """Places where the window begins; all its terms are there."""
+    lists = sorted(((len(places[term]), k, places[term]) for k, term in enumerate(window)), key=lambda x: x[:2])
     _, k, got = lists[0]
     start = got - k
     for _, k, got in lists[1:]:
@@ -133,7 +135,7 @@ def phrase(places: dict[bytes, np.ndarray], window: tuple[bytes, ...]) -> np.nda
     return start
 
 
-def by_document(seg: Segment, term: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_document(seg: Segment, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents that hold the term, and from where to where its places stand in each."""
     docs, start = np.unique(np.searchsorted(seg.first, seg.places[term], "right") - 1, return_index=True)
     return docs, start, np.append(start[1:], len(seg.places[term]))
@@ -152,29 +154,36 @@ def least_span(lists: list[np.ndarray]) -> int:
     return best
 
 
-def near(seg: Segment, window: tuple[bytes, ...], span: int, memo: dict | None = None) -> np.ndarray:
-    """Documents that hold all terms of the window, and the RAREST rarest of them within that many words.
+def near(seg: Segment, window: list[int], span: int, memo: dict[int, tuple]) -> np.ndarray:
+    """Documents that hold the terms of the window, but for one in SPARE, and the RAREST rarest of them within that many words.
 
     Rarity and presence are those in the document, equally rare terms go by their place in the window, so the
     other documents of the segment do not matter. memo keeps what by_document finds in the segment.
     """
-    memo = {} if memo is None else memo
     terms = list(dict.fromkeys(window))
-    if any(t not in seg.places for t in terms):
-        return np.empty(0, np.int64)
+    spare = len(terms) // SPARE
+    none = np.empty(0, np.int64)
     for t in terms:
         if t not in memo:
-            memo[t] = by_document(seg, t)
+            memo[t] = by_document(seg, t) if t in seg.places else (none, none, none)
     held = [memo[t] for t in terms]
-    docs = min((h[0] for h in held), key=len)
-    for own, _, _ in held:
-        docs = docs[_there(own, docs)]
-        if not len(docs):
-            return docs
-    at = [np.searchsorted(own, docs) for own, _, _ in held]
-    start, end = (np.array([h[k][i] for h, i in zip(held, at)]) for k in (1, 2))
+    # a document that misses so few terms holds one of the rarest spare + 1
+    docs = np.unique(np.concatenate(sorted((h[0] for h in held), key=len)[: spare + 1]))
+    if not len(docs):
+        return docs
+    there = np.stack([_there(own, docs) if len(own) else np.zeros(len(docs), bool) for own, _, _ in held])
+    enough = there.sum(0) >= len(terms) - spare
+    docs, there = docs[enough], there[:, enough]
+    if not len(docs):
+        return docs
+    start, end = np.zeros(there.shape, np.int64), np.full(there.shape, np.iinfo(np.int32).max)
+    for k, (own, a, b) in enumerate(held):
+        at = np.searchsorted(own, docs[there[k]])
+        start[k, there[k]], end[k, there[k]] = a[at], b[at]
     rarest = np.argsort(end - start, axis=0, kind="stable")[:RAREST].T.tolist()
-    ok = [least_span([seg.places[terms[k]][start[k, d] : end[k, d]] for k in some]) <= span for d, some in enumerate(rarest)]
+    ok = [
+        least_span([seg.places[terms[k]][start[k, d] : end[k, d]] for k in some if there[k, d]]) <= span for d, some in enumerate(rarest)
+    ]
     return docs[np.array(ok)]
 
 
@@ -182,18 +191,23 @@ def matches(seg: Segment, items: Items, slop: int | None = None) -> tuple[list[l
     """Per document: merged spans of hit words as [from, to), items hit, items near."""
     n = len(seg.n_words)
     spans, hit, close = [[] for _ in range(n)], [set() for _ in range(n)], [set() for _ in range(n)]
-    memo: dict = {}
-    for window, names in items.windows.items():
-        start = phrase(seg.places, window)
+    there = np.zeros(len(items.terms) + 1, bool)
+    there[list(seg.places)] = True
+    there[-1] = True  # behind the end of short windows
+    absent = (~there[items.windows]).sum(1)
+    memo: dict[int, tuple] = {}
+    for w in np.flatnonzero(absent <= (items.windows.shape[1] // SPARE if slop is not None else 0)).tolist():
+        window = items.windows[w, : items.sizes[w]].tolist()
+        start = phrase(seg.places, window) if not absent[w] else ()
         if len(start):
             docs = np.searchsorted(seg.first, start, "right") - 1
             for d, s in zip(docs.tolist(), (start - seg.first[docs]).tolist()):
                 spans[d].append((s, s + len(window)))
             for d in set(docs.tolist()):
-                hit[d].update(names)
+                hit[d].update(items.of(w))
         if slop is not None:
             for d in near(seg, window, len(window) + slop, memo).tolist():
-                close[d].update(names)
+                close[d].update(items.of(w))
     return [merged(s) for s in spans], hit, [c - h for c, h in zip(close, hit)]
 
 
@@ -207,22 +221,22 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def blocks(bench: DataFrame, item: str = "item_id", text: str = "text", width: int = WINDOW) -> list[Items]:
-    """The query set in blocks of about BLOCK_BYTES."""
+def blocks(bench: DataFrame, item: str = "item_id", text: str = "text", width: int = WINDOW) -> Iterator[Items]:
+    """The query set in blocks of about BLOCK_BYTES, one at a time; at least one."""
     rows = bench.select(
         F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("name"), F.col(f"`{text}`").cast("string").cast("binary").alias("text")
     ).where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = total // BLOCK_BYTES + 1
     part = F.pmod(F.xxhash64("name", "text"), F.lit(n))
-    return [windows([(r["name"], bytes(r["text"])) for r in rows.where(part == k).collect()], width) for k in range(n)]
+    for k in range(n):
+        yield windows([(r["name"], bytes(r["text"])) for r in rows.where(part == k).toLocalIterator()], width)
 
 
-def build(docs: DataFrame, terms: dict[bytes, int] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The index, stored in the shared folder: one row per segment."""
     slim = text_columns(docs, key, text)
     kind = slim.schema["key"].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
     schema = T.StructType([
         T.StructField("segment", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("n_words", T.BinaryType()),
         T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("counts", T.BinaryType()), T.StructField("steps", T.BinaryType()),
@@ -231,7 +245,7 @@ def build(docs: DataFrame, terms: dict[bytes, int] | None = None, key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, piece in enumerate(pieces(batches)):
-            n_words, found, counts, places = segment(text_bytes(piece), shared.value)
+            n_words, found, counts, places = segment(text_bytes(piece))
             steps = np.diff(places, prepend=np.int32(0))  # small numbers; falls where a new term begins
             yield pa.RecordBatch.from_arrays([
                 pa.array([task << 32 | k], pa.int64()), pa.array([piece.column("key").to_pylist()], pa.list_(piece.column("key").type)),
@@ -242,9 +256,8 @@ def build(docs: DataFrame, terms: dict[bytes, int] | None = None, key: str = "do
     return written(slim.mapInArrow(run, schema), "index")
 
 
-def search(index: DataFrame, items: Items, key: str = "doc_id", slop: int | None = None) -> DataFrame:
+def search(index: DataFrame, items: Broadcast[Items], key: str = "doc_id", slop: int | None = None) -> DataFrame:
     """One row per document: segment and row in it, key, n_words, hit spans, items with a window in it, items near."""
-    shared = index.sparkSession.sparkContext.broadcast(items)
     kind = index.schema["keys"].dataType.elementType
     names = T.ArrayType(T.StringType())
     schema = T.StructType([
@@ -253,15 +266,15 @@ def search(index: DataFrame, items: Items, key: str = "doc_id", slop: int | None
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        own = items.value
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
                 ints = lambda c: np.frombuffer(row.column(c)[0].as_py(), np.int32)
-                seg = opened(ints("n_words"), row.column("terms")[0].as_py(), ints("counts"), np.cumsum(ints("steps"), dtype=np.int32))
-                spans, hit, close = matches(seg, items, slop)
+                seg = opened(ints("n_words"), row.column("terms").flatten(), ints("counts"), np.cumsum(ints("steps"), dtype=np.int32), own.terms)
+                spans, hit, close = matches(seg, own, slop)
                 n = len(spans)
-                named = lambda sets: pa.array([sorted(items.names[i] for i in s) for s in sets], pa.list_(pa.string()))
+                named = lambda sets: pa.array([sorted(own.names[i] for i in s) for s in sets], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row.column("segment")[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), row.column("keys").flatten(),
                     pa.array(seg.n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), named(hit), named(close),
@@ -272,9 +285,12 @@ def search(index: DataFrame, items: Items, key: str = "doc_id", slop: int | None
 
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
     """key, n_words, spans, n_hit, items, near_items and contaminated of every row of docs."""
-    parts = blocks(bench, item, item_text)
-    index = build(docs, parts[0].terms() if len(parts) == 1 else None, key, text)
-    found = [search(index, p, key, slop) for p in parts]
+    index = build(docs, key, text)
+    found = []
+    for items in blocks(bench, item, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        found.append(written(search(index, shared, key, slop), "found"))
+        shared.destroy()
     rows = found[0]
     if len(found) > 1:
         for f in found[1:]:
@@ -296,23 +312,22 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     return rows.select(key, "n_words", "spans", "n_hit", "items", "near_items", ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; segments are searched where they are made and not stored."""
-    parts = blocks(bench, item, item_text)
-    shared = docs.sparkSession.sparkContext.broadcast([(p, p.terms()) for p in parts])
-
-    def clean(texts: list[bytes]) -> np.ndarray:
-        spans: list[list] = [[] for _ in texts]
-        n_words = np.zeros(len(texts), np.int64)
-        for items, terms in shared.value:
-            seg = opened(*segment(texts, terms))
-            n_words = seg.n_words
-            for own, more in zip(spans, matches(seg, items)[0]):
-                own.extend(more)
-        hit = np.array([sum(b - a for a, b in merged(s)) for s in spans], np.int64)
-        return (hit == 0) | (SHARE * hit < n_words)
+def keep_clean(
+    docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated.
 
-    return keep_rows(docs, text, clean)
+    Rows are told apart by two hashes of key and text; the contaminated ones are written, and whether they are broadcast depends on their size.
+    """
+    k, t = F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string")
+    own = F.struct(F.xxhash64(k, F.lit("|"), t).alias("a"), F.xxhash64(t, F.lit("|"), k, F.lit(1)).alias("b"))
+    marked = docs.select(own.alias("key"), t.alias("text"))
+    gone = decontaminate(marked, bench, "key", "text", item, item_text).where("contaminated").select("key.*").distinct()
+    gone = written(gone, "contaminated").select(F.col("a").alias("gone_a"), F.col("b").alias("gone_b"))
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), own.alias("own"))
+    left = packed.join(gone, (F.col("own.a") == F.col("gone_a")) & (F.col("own.b") == F.col("gone_b")), "left_anti")
+    return left.select(*[F.col("r")[c].alias(c) for c in names])
 
 
 def sha_of_items(items: str = "items"):

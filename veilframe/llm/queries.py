@@ -51,18 +51,13 @@ def op5_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=positional_index.SLOP)
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), positional_index.sha_of_items().alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), positional_index.sha_of_items().alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("bigint").alias("n_near"), positional_index.sha_of_items("near_items").alias("near_sha256"),
     )
 
 
-def op6_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_positional_index, with the ids of the items that are near and do not match exactly."""
-    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=positional_index.SLOP)
-    return found.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"), F.array_sort("near_items").alias("near_items"), "contaminated")
-
-
 def op7_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,12 +73,6 @@ def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
-def op9_site_lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratio decides, and equal texts of a source count once, as in the pipeline."""
-    made = site_lines.drop_boilerplate(table(spark, sf_dir, "documents"), least=site_lines.REPEATED, counts=("n_lines", "n_dropped"), once=True)
-    return made.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
-
-
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -115,8 +104,8 @@ def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_rules, op2_chat_rotation, op3_byte_bpe, op4_quality_gam, op5_toxicity_trees, op6_positional_index, op6_near_items, op7_trie_tokens,
-        op8_html_layout, op9_site_lines, op9_site_lines_once, op10_simhash_pivots,
+        op1_line_rules, op2_chat_rotation, op3_byte_bpe, op4_quality_gam, op5_toxicity_trees, op6_positional_index, op7_trie_tokens,
+        op8_html_layout, op9_site_lines, op10_simhash_pivots,
         op11_heap_kmeans, op12_tree_negatives, op13_hidden_markov,
     )
 }
@@ -190,29 +179,40 @@ grams AS (
     FROM (SELECT r, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM d, (SELECT DISTINCT width FROM windows))),
 found AS (SELECT r, i, width, item_id FROM grams JOIN windows USING (width, gram)),
 hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + width)) AS p FROM (SELECT DISTINCT r, i, width FROM found)) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found) GROUP BY r),
+-- near: distinct terms of each window, how often a document has them, documents that have all but one in {positional_index.SPARE}
+wins AS MATERIALIZED (SELECT row_number() OVER () AS w, width, gram, string_split(gram, ' ') AS ws FROM (SELECT DISTINCT width, gram FROM windows)),
+terms AS MATERIALIZED (
+    SELECT w, width, term, min(place) AS place, count(*) OVER (PARTITION BY w) AS n_terms
+    FROM (SELECT w, width, unnest(ws) AS term, unnest(range(len(ws))) AS place FROM wins) GROUP BY w, width, term),
+spots AS MATERIALIZED (
+    SELECT r, term, list(p) AS ps, count(*) AS n FROM (SELECT r, unnest(ws) AS term, unnest(range(len(ws))) AS p FROM d)
+    WHERE term IN (SELECT term FROM terms) GROUP BY r, term),
+near_pairs AS (
+    SELECT r, w FROM spots JOIN terms USING (term) GROUP BY r, w HAVING count(*) >= any_value(n_terms) - any_value(n_terms) // {positional_index.SPARE}),
+rare AS (
+    SELECT r, w, width, term, ps FROM (
+        SELECT r, w, width, term, ps, row_number() OVER (PARTITION BY r, w ORDER BY n, place) AS nr
+        FROM near_pairs JOIN terms USING (w) JOIN spots USING (r, term)) WHERE nr <= {positional_index.RAREST}),
+rare_at AS (SELECT r, w, width, term, unnest(ps) AS p FROM rare),
+ahead AS (
+    SELECT s.r, s.w, s.width, s.p, e.term, min(e.p) AS q FROM (SELECT DISTINCT r, w, width, p FROM rare_at) s
+    JOIN rare_at e ON e.r = s.r AND e.w = s.w AND e.p >= s.p GROUP BY s.r, s.w, s.width, s.p, e.term),
+runs AS (SELECT r, w, width, p, max(q) - p + 1 AS span, count(*) AS n FROM ahead GROUP BY r, w, width, p),
+close AS (
+    SELECT DISTINCT runs.r, runs.w FROM runs JOIN (SELECT r, w, count(*) AS n FROM rare GROUP BY r, w) USING (r, w, n) WHERE span <= width + {positional_index.SLOP}),
+near_items AS (
+    SELECT r, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_ids
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM close JOIN wins USING (w) JOIN windows USING (width, gram)
+          EXCEPT SELECT DISTINCT r, item_id::VARCHAR FROM found) GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r) LEFT JOIN near_items USING (r)
 """
 
 _EDGE = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 _OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
-cut AS (SELECT r, source, string_split(text, chr(10)) AS ls FROM d),
-lines AS (SELECT r, source, nr, ls[nr] AS line, trim(ls[nr], {_EDGE}) AS bare FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS nr FROM cut)),
-totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
-plates AS (
-    SELECT l.source, bare FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE bare <> '' GROUP BY l.source, bare
-    HAVING count(DISTINCT r) >= {site_lines.LEAST} AND count(DISTINCT r) > {site_lines.RATIO}::DOUBLE * any_value(pages)),
-kept AS (
-    SELECT r, count(*) AS n_lines, count(p.bare) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (p.bare IS NULL), '') AS text
-    FROM lines l LEFT JOIN plates p ON l.source IS NOT DISTINCT FROM p.source AND l.bare = p.bare GROUP BY r)
-SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(kept.text) AS text_sha256 FROM d LEFT JOIN kept USING (r)
-"""
-
-_OP9_ONCE = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
 cut AS (SELECT r, source, text, string_split(text, chr(10)) AS ls FROM d),
 lines AS (SELECT r, source, text, nr, ls[nr] AS line, trim(ls[nr], {_EDGE}) AS bare FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS nr FROM cut)),
 totals AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS pages FROM d GROUP BY source),
@@ -281,4 +281,4 @@ fit AS (
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM fit WHERE rank <= 3
 """
 
-SQL = {"op11_heap_kmeans": _OP11, "op12_tree_negatives": _OP12, "op1_line_rules": _OP1, "op2_chat_rotation": _OP2, "op6_positional_index": _OP6, "op9_site_lines": _OP9, "op9_site_lines_once": _OP9_ONCE}
+SQL = {"op11_heap_kmeans": _OP11, "op12_tree_negatives": _OP12, "op1_line_rules": _OP1, "op2_chat_rotation": _OP2, "op6_positional_index": _OP6, "op9_site_lines": _OP9}

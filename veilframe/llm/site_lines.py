@@ -1,16 +1,16 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
-Pages are grouped by host. A line is boilerplate of a host if the share of the host's pages that contain it exceeds `ratio` and at
-least `least` pages contain it; its occurrences are dropped on all pages of that host. Lines are compared without white space
-at their ends; lines without any text are kept.
+Pages are grouped by host. A line is boilerplate of a host if the share of the host's pages that contain it exceeds `ratio`; its occurrences
+are dropped on all pages of that host. A line of one page is no repetition, so two pages are the least (`least`). Lines are compared without
+white space at their ends; lines without any text are kept.
 
 Lines travel as two 64-bit hashes. Counts are combined before each shuffle, so that a line on a third of all pages
 is one row per task. The boilerplate meets the line hashes in a join by host and line; the lines of one page that are dropped come
 together as an array, and meet the text once, by a hash of the page.
 
 Defined cases: a NULL host is a host of its own; NULL text has no lines and stays NULL; an empty text stays. Repeated rows are
-pages each, unless `once` is asked for: then equal texts of a host are one page of it (NULL too), in the count of a line and of the host
-alike, so that many exact copies do not make boilerplate of their own lines; near copies still count each. The decision depends on host and line only, so rows with equal keys are treated alike. A page may lose all
+one page of their host (NULL texts too), in the count of a line and of the host alike, so that many exact copies do not make boilerplate of
+their own lines; near copies still count each. With `once=False` every row is a page. The decision depends on host and line only, so rows with equal keys are treated alike. A page may lose all
 lines; its text is then empty. Other columns are kept as they are.
 """
 
@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATIO, LEAST = 0.05, 5
-#: The least floor: a line of one page is no repetition.
+RATIO = 0.05
+#: A line of one page is no repetition.
 REPEATED = 2
 
 
@@ -40,7 +40,7 @@ def _counted(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\x0b\x0c")) != ""
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, once: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = REPEATED, once: bool = True) -> DataFrame:
     """host, the hashes of a line, pages with it and pages of the host, for lines beyond the ratio."""
     slim = pages.select(F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), _hash))
@@ -55,8 +55,8 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, counts: tuple[str, str] | None = None,
-    once: bool = False,
+    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = REPEATED, counts: tuple[str, str] | None = None,
+    once: bool = True,
 ) -> DataFrame:
     """The rows of pages, all columns, with the boilerplate lines left out of the text.
 
