@@ -60,7 +60,28 @@ _QUOTED = "concat('say \"', lang, '\", ', replace(text, 'e', '\"'))"
 def csv_quoted(spark, sf_dir):
     path = scratch_dir(spark) + "/quoted"
     S.write_delimited(table(spark, sf_dir, "documents").select("doc_id", F.expr(_QUOTED).alias("cell")), path)
-    return S.read_delimited(spark, path, ",", line_breaks=True).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return S.read_delimited(spark, path, ",").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+@query("csv_multiline", "select doc_id, text, lang, source, n_chars from documents")
+def csv_multiline(spark, sf_dir):
+    """Whole documents as cells, read in parallel by the default of the reader."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = scratch_dir(spark) + "/multiline"
+    S.write_delimited(df, path)
+    text = S.read_delimited(spark, path, ",")
+    return text.select([F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+
+
+@query("file_position", "select o_orderkey, o_comment, row_number() over (order by o_orderkey) - 1 as position from "
+    "(select o_orderkey, concat(o_orderpriority, case when o_orderkey % 5 = 0 then chr(10) else ' ' end, o_orderstatus) as o_comment from orders)")
+def file_position(spark, sf_dir):
+    """Orders in the order of their key, as several text files: the position is the rank of the key."""
+    comment = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, "\n").otherwise(" "), "o_orderstatus")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", comment.alias("o_comment"))
+    path = scratch_dir(spark) + "/ordered"
+    S.write_delimited(df.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return S.read_delimited(spark, path, ",", position="position").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 
 _RAGGED = (
@@ -86,6 +107,20 @@ def structure_check(spark, sf_dir):
     return S.structure_issues(spark, path, CUSTOMER_COLUMNS, ";")
 
 
+@query(
+    "csv_ragged",
+    "select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, "
+    "case when c_custkey % 50 <> 1 then cast(c_acctbal as varchar) end as c_acctbal, case when c_custkey % 50 <> 1 then c_mktsegment end as c_mktsegment, "
+    f"case when c_custkey % 50 in (1, 2) then {_RAGGED} end as reject from customer where c_custkey % 50 <> 3",
+)
+def csv_ragged(spark, sf_dir):
+    """Short and long records are read as far as they go, and kept whole beside it; blank lines are none."""
+    path = scratch_dir(spark) + "/surplus"
+    lines = table(spark, sf_dir, "customer").select(F.expr(_RAGGED).alias(";".join(CUSTOMER_COLUMNS)))
+    lines.write.csv(path, header=True, sep="\x01", quote="", emptyValue="")
+    return S.read_delimited(spark, path, ";", reject="reject")
+
+
 # --- quality ----------------------------------------------------------------------------
 
 _GAPS = {

@@ -7,22 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.sources import records
+
 DELIMITERS = [",", ";", "\t", "|"]
 
 
 def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, max_rows: int | None = None, encoding: str = "UTF-8",
-    line_breaks: bool = False, sample_lines: int | None = None,
+    line_breaks: bool = True, sample_lines: int | None = None, reject: str | None = None, position: str | None = None,
 ) -> DataFrame:
-    """Text with a header line, every cell a string; a quote within quotes is doubled.
+    """Text with a header in each file, every cell a string; a quote within quotes is doubled.
 
-    The delimiter is detected if not given, from all lines or the first `sample_lines`. `line_breaks`
-    reads cells that hold line breaks; a file is then one task, whatever its size.
+    The delimiter is detected if not given, from all lines or the first `sample_lines`. Cells may hold line breaks, and files are
+    still read in parallel (`sources/records.py`). `reject` names a column with the whole record where it has fewer or more fields than the header.
+    `position` names a column with the number of the record, from 0, through all files in the order of their paths: a key for tables
+    without one, which holds as long as the files are not rewritten. `line_breaks=False` takes every line as a record, by Spark's own
+    reader; so does another encoding than UTF-8, which has one task per file if cells may hold line breaks.
     """
     sep = sep or detect_delimiter(spark, path, sample_lines=sample_lines)
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, escape='"', multiLine=line_breaks)
+    own = encoding.upper() in ("UTF-8", "UTF8") and line_breaks
+    if not own and (reject or position):
+        raise ValueError("rejects and positions need UTF-8 and records with line breaks")
+    # the header of one file; nothing behind it is read
+    read = {"header": True, "sep": sep, "encoding": encoding, "inferSchema": False, "escape": '"'}
+    df = spark.read.csv(path, multiLine=line_breaks, **read)
     if not df.columns:
         raise ValueError(f"{path} has no header")
+    if own:
+        names = df.columns
+        rows = records.records(spark, path, sep).where("nr > 0")
+        if position:
+            rows = rows.join(F.broadcast(records.file_offsets(spark, path, sep)), "file").withColumn("nr", F.col("first") + F.col("nr") - 1)
+        rows = rows.select("nr", records.parsed(F.col("record"), len(names), sep).alias("r"))
+        out = [F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]
+        df = rows.select(*out, *([F.col("r.reject").alias(reject)] if reject else []), *([F.col("nr").alias(position)] if position else []))
     return df if max_rows is None else df.limit(max_rows)
 
 
@@ -104,13 +122,11 @@ def detect_delimiter(
 
 
 def structure_issues(spark: SparkSession, path: str, columns: Sequence[str], sep: str) -> DataFrame:
-    """One row per broken rule of a ragged line: (severity, check, row_key, found).
+    """One row per broken rule of a ragged record: (severity, check, row_key, found).
 
-    `row_key` is the raw line. The reader itself would fill a short line and cut a long one,
-    so the lines are counted as text; blank lines and headers are skipped, as it skips them.
+    `row_key` is the raw record, with the line breaks of its quoted cells. Blank lines and the header of each file are no records.
     """
-    header = F.replace("value", F.lit('"'), F.lit("")) == sep.join(columns)
-    rows = spark.read.text(path).where((F.trim("value") != "") & ~header)
+    rows = records.records(spark, path, sep).where("nr > 0").withColumnRenamed("record", "value")
     found, expected = _fields(F.col("value"), sep), len(columns)
     rules = [
         (found != expected, "error", "column_count"),
