@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import discrete as D
+from veilframe.functions import exact as E
 from veilframe.functions import noise as N
 from veilframe.functions import values as V
+from veilframe.functions.rng import KeyedNoise, TaskNoise
 
 # What a mechanism assumes where the policy is silent.
 DEFAULT_EPSILON = {
@@ -28,7 +30,7 @@ TYPE_METHODS = {
     "boolean": "randomized_response",
 }
 NUMERIC_METHODS = [
-    "laplace", "bounded_laplace", "discrete_laplace", "scaled_laplace", "gaussian", "bounded_gaussian",
+    "laplace", "bounded_laplace", "discrete_laplace", "scaled_laplace", "gaussian", "bounded_gaussian", "exact_laplace", "exact_gaussian",
 ]
 DEFAULT_DELTA = 1e-5
 
@@ -61,6 +63,11 @@ class Mechanism:
             return 2
         return 0 if self.method in ("mask", "none") else 1
 
+    @property
+    def exact(self) -> bool:
+        """Whether its noise is a whole number of steps, drawn from keyed bits."""
+        return self.method.startswith("exact_")
+
     @property
     def private(self) -> bool:
         """Whether it spends epsilon."""
@@ -101,6 +108,8 @@ def choose(
         return Mechanism(column, semantic_type, method, eps, formal=True)
     if method not in NUMERIC_METHODS:
         raise ValueError(f"column {column}: a {semantic_type} column cannot use {method}")
+    if method.startswith("exact_") and sensitivity is None and semantic_type in DEFAULT_SENSITIVITY:
+        num_range = None  # the step of the grid may not depend on the data
 
     lower, upper = minimum, maximum
     bounded = method.startswith("bounded_")
@@ -126,8 +135,21 @@ def choose(
     return Mechanism(column, semantic_type, method, eps, sens, lower, upper, delta, formal=formal)
 
 
+def draw(m: Mechanism, noise: KeyedNoise | TaskNoise, name: str, stream: int, dtype: T.DataType) -> Column:
+    """One of the `m.streams` draws of a row: a uniform, or the noise itself in steps of the grid."""
+    if not m.exact:
+        return noise.uniform(name, stream)
+    if not isinstance(noise, KeyedNoise):
+        raise ValueError(f"column {m.column}: {m.method} needs keyed noise, so a secret")
+    integral = isinstance(dtype, T.IntegralType)
+    if m.method == "exact_laplace":
+        step = E.step_of(m.sensitivity, m.epsilon, integral)
+        return E.laplace_units(noise, name, m.epsilon, E.units_of(m.sensitivity, step, integral))
+    return E.gaussian_units(noise.bits(name, stream)[0], E.gaussian_grid(m.sensitivity, m.epsilon, m.delta, integral)[1])
+
+
 def apply(m: Mechanism, value: Column, dtype: T.DataType, draws: Sequence[Column]) -> Column:
-    """The released column. `draws` are as many uniforms as `m.streams`."""
+    """The released column. `draws` are as many draws as `m.streams`."""
     if m.method == "none":
         return value
     if m.method == "mask":
@@ -141,7 +163,11 @@ def apply(m: Mechanism, value: Column, dtype: T.DataType, draws: Sequence[Column
         number = value if integral else V.to_number(value, dtype)
         return N.discrete_laplace(number, draws[0], m.sensitivity, m.epsilon, integral, m.lower, m.upper)
     number = V.to_number(value, dtype)
-    if m.method.endswith("gaussian"):
+    if m.exact:
+        integral = isinstance(dtype, T.IntegralType)
+        step = E.step_of(m.sensitivity, m.epsilon, integral) if m.method == "exact_laplace" else E.gaussian_grid(m.sensitivity, m.epsilon, m.delta, integral)[0]
+        noisy = E.on_grid(value if integral else number, draws[0], step, integral).cast("double")
+    elif m.method.endswith("gaussian"):
         noisy = N.gaussian(number, draws[0], draws[1], m.sensitivity, m.epsilon, m.delta)
     elif m.method in NUMERIC_METHODS:
         noisy = N.laplace(number, draws[0], m.sensitivity, m.epsilon)

@@ -54,6 +54,12 @@ class KeyedNoise:
         cell = F.conv(F.substring(digest, 1 + half * _HEX_DIGITS, _HEX_DIGITS), 16, 10).cast("double")
         return (cell + F.lit(0.5)) / F.lit(_CELLS)
 
+    def bits(self, column: str, stream: int) -> tuple[Column, Column]:
+        """Two independent whole numbers of 60 bits for this row and column, from one digest."""
+        text = F.concat(F.lit(f"{self.secret}|{column}|e{stream}|"), self.key.cast("string"))
+        digest = F.md5(text) if self.digest == "md5" else F.sha2(text, 256)
+        return tuple(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("bigint") for k in (0, 1))
+
     def dataset_level(self) -> "KeyedNoise":
         """Draws for values that belong to the whole table, such as an imputed mean."""
         return KeyedNoise(self.secret, F.lit("*"), self.digest)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 METHODS = [
     "laplace", "bounded_laplace", "discrete_laplace", "scaled_laplace",
-    "gaussian", "bounded_gaussian", "randomized_response",
+    "gaussian", "bounded_gaussian", "randomized_response", "exact_laplace", "exact_gaussian",
 ]
 # Methods that the released policy format knows.
 BASIC_METHODS = ["laplace", "bounded_laplace", "discrete_laplace", "randomized_response"]

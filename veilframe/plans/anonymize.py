@@ -110,7 +110,8 @@ class AnonymizationPlan:
         if isinstance(noise, KeyedNoise):
             noise = KeyedNoise(noise.secret, KEY, noise.digest)
         draws = [
-            noise.uniform(f"{self.release_id}/{p.column}", s).alias(_draw(p.ord, s)) for p in self.columns for s in range(p.streams)
+            M.draw(p.mechanism, noise, f"{self.release_id}/{p.column}", s, _filled_type(df, p)).alias(_draw(p.ord, s))
+            for p in self.columns for s in range(p.streams)
         ]
         return df.select("*", key.alias(KEY)).select("*", *draws)
 
@@ -118,8 +119,7 @@ class AnonymizationPlan:
         dtype = df.schema[p.column].dataType
         if p.released == "raw":
             return F.col(p.column)
-        value = imputed(df, p.column, p.imputation)
-        filled = T.DoubleType() if p.imputation.number is not None else dtype
+        value, filled = imputed(df, p.column, p.imputation), _filled_type(df, p)
         if p.released == "kept":
             return value
         if p.released == "null":
@@ -156,6 +156,11 @@ class AnonymizationPlan:
         )
 
 
+def _filled_type(df: DataFrame, p: ColumnPlan) -> T.DataType:
+    """The type of a column once its gaps are filled."""
+    return T.DoubleType() if p.imputation.number is not None else df.schema[p.column].dataType
+
+
 def _draw(ord_: int, stream: int) -> str:
     return f"__u_{ord_}_{stream}"
 

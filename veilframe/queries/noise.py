@@ -7,12 +7,13 @@ import math
 from pyspark.sql import functions as F
 
 from veilframe.functions import discrete as D
+from veilframe.functions import exact as E
 from veilframe.functions import mechanisms as M
 from veilframe.functions import noise as N
 from veilframe.functions import values as V
 from veilframe.queries.base import (
     boolean_rr_sql, categorical_rr_sql, gaussian_sql, hash_sql, keyed, laplace_sql, partial_mask_sql,
-    query, r, rnd, table, u_sql,
+    SECRET, query, r, rnd, table, u_sql,
 )
 
 GAPPY_BALANCE = "case when c_custkey % 7 = 0 then null else c_acctbal end"
@@ -241,3 +242,51 @@ def hash_id(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     return df.select("c_custkey", D.mask(key, "hash").alias("hashed"), D.mask(key, "hash", "salt").alias("salted"))
+
+
+def bits_sql(column: str, key: str, stream: int, half: int = 0) -> str:
+    return f"cast('0x' || substr(md5('{SECRET}|{column}|e{stream}|' || cast({key} as varchar)), {1 + 15 * half}, 15) as bigint)"
+
+
+def exact_laplace_sql(column: str, key: str, epsilon: float, units: int) -> str:
+    """The digits of two geometric numbers, one by one."""
+    return " + ".join(
+        f"(cast({bits_sql(column, key, j)} < {t} as bigint) - cast({bits_sql(column, key, j, 1)} < {t} as bigint)) * {1 << j}"
+        for j, t in enumerate(E.digit_thresholds(epsilon, units))
+    )
+
+
+def exact_gaussian_sql(column: str, key: str, sigma: float) -> str:
+    """How many cumulated probabilities a draw reaches."""
+    table = list(E.gaussian_thresholds(sigma))
+    return f"len(list_filter({table}, lambda t: t <= {bits_sql(column, key, 0)})) - {len(table) // 2}"
+
+
+_STEP = E.step_of(10.0, 0.5, False)
+
+
+@query(
+    "laplace_exact",
+    f"select c_custkey, case when c_acctbal is not null then (round_even(c_acctbal / {_STEP}, 0) + {exact_laplace_sql('c_acctbal', 'c_custkey', 0.5, E.units_of(10.0, _STEP, False))})"
+    f" * {_STEP} end as noisy from (select c_custkey, {GAPPY_BALANCE} as c_acctbal from customer)",
+)
+def laplace_exact(spark, sf_dir):
+    """Balances on a grid; nothing is rounded for the comparison."""
+    return _gappy(spark, sf_dir).select("c_custkey", E.laplace(F.col("c_acctbal"), keyed("c_custkey"), "c_acctbal", 10.0, 0.5).alias("noisy"))
+
+
+@query("laplace_exact_whole", f"select p_partkey, cast(p_size + {exact_laplace_sql('p_size', 'p_partkey', 0.3, 1)} as bigint) as noisy from part")
+def laplace_exact_whole(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", E.laplace(F.col("p_size"), keyed("p_partkey"), "p_size", 1.0, 0.3, True).alias("noisy"))
+
+
+_GRID, _SIGMA_STEPS = E.gaussian_grid(1.0, 0.5, 1e-5, False)
+
+
+@query(
+    "gaussian_exact",
+    f"select c_custkey, case when c_acctbal is not null then (round_even(c_acctbal / {_GRID}, 0) + {exact_gaussian_sql('c_acctbal', 'c_custkey', _SIGMA_STEPS)})"
+    f" * {_GRID} end as noisy from (select c_custkey, {GAPPY_BALANCE} as c_acctbal from customer)",
+)
+def gaussian_exact(spark, sf_dir):
+    return _gappy(spark, sf_dir).select("c_custkey", E.gaussian(F.col("c_acctbal"), keyed("c_custkey"), "c_acctbal", 1.0, 0.5, 1e-5).alias("noisy"))
