@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -146,12 +147,28 @@ def test_bpe_of_very_long_mixed_words(library, letters):
     assert made.encode([word, word[:1000]]) == [" ".join(map(str, library.encode_ordinary(t))).encode() for t in (word, word[:1000])]
 
 
-def test_bpe_contracts_equally_with_and_without_sql(library):
+@pytest.mark.parametrize("size, around", [(1, 1), (3, 1), (48, 4)])
+def test_pieces_of_any_size_give_the_same_ids(library, monkeypatch, size, around):
     rng = random.Random(4)
+    monkeypatch.setattr(bpe, "PIECE", size)
+    monkeypatch.setattr(bpe, "AROUND", around)
     made = bpe.Codec(PATH, PATTERN)
-    for n in (1, 2, 50, 600):
-        word = "".join(rng.choice("abcdeé") for _ in range(n))
-        assert made.contracted(word.encode()) == library.encode_ordinary(word)
+    for letters in ("abcdeé", "a", "theingon", "aA1"):
+        words = ["".join(rng.choice(letters) for _ in range(n)) for n in (2, 50, 61, 300)]
+        words = [w for w in words if len(library.encode_ordinary(w)) > 1 and len(made.split(w)) == 1]
+        got = made.in_pieces([w.encode() for w in words])
+        assert [got[w.encode()] for w in words] == [library.encode_ordinary(w) for w in words]
+
+
+@pytest.mark.parametrize("size", [300, 1000, 3000, 100_000])
+def test_bpe_is_no_slower_for_long_words(size):
+    rng = random.Random(size)
+    made = bpe.Codec(PATH, PATTERN)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(max(1, 30_000 // size))]
+    start = time.process_time()
+    made.encode(words)
+    # 60 kB/s and more are usual; a word that costs the square of its length takes minutes
+    assert time.process_time() - start < 10
 
 
 # models

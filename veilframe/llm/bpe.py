@@ -3,12 +3,16 @@
 Every match of the split pattern is encoded by itself. The distinct matches that a task has not met yet become
 rows of an in-process DuckDB (in memory, one thread, no server). In each round of a recursive query the
 token-position rows of a word meet the merge table, the leftmost pair of least rank is contracted, and words
-without a mergeable pair are finished. Words beyond LONG bytes go through a second recursive query that holds rows
-instead of lists and contracts all occurrences of the least pair in one round, where no pair made by it can have
-a lower rank; the result is the same. Both keep every round of a word, so a word whose square is beyond ROUND_CELLS
-is contracted in Python instead, pair by pair from a heap, in memory that follows its length. Decoding joins (document, position, id) rows to the vocabulary and puts the bytes
+without a mergeable pair are finished. Decoding joins (document, position, id) rows to the vocabulary and puts the bytes
 together by an ordered aggregate.
 
+A word beyond LONG bytes is cut into pieces that go through the same query, since a list per round costs the square of its
+length. That is exact by this rule: tokens t1 … tn are the encoding of their bytes if and only if, for each two neighbours, the bytes of both
+encode to these two. (No pair across a border is contracted in the one exactly if none is in the other: as long as no border was
+crossed, the contractions inside two neighbours come in the same order whatever surrounds them.) So each border of two pieces
+is tested by encoding its two neighbours; where they do not stay apart, the tokens around the border are encoded anew as one
+piece, twice as many in each round, and the borders of that piece are tested in their turn.
+
 Defined cases: NULL is the empty text, which has no ids. Repeated rows and keys are encoded each for themselves. Other columns
 are not read. Texts are cut for memory only between documents, never inside. An id outside the vocabulary fails the decoding.
 """
@@ -18,8 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
-from heapq import heapify, heappop, heappush
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -33,15 +36,17 @@ from veilframe.llm.common import per_text
 
 #: Words that a worker remembers; beyond that only those of the present texts stay. More words take more memory and less time.
 REMEMBERED = 200_000
-#: Bytes beyond which a word is encoded as rows.
-LONG = 256
+#: Bytes beyond which a word is encoded in pieces, and bytes of such a piece.
+LONG, PIECE = 256, 48
 #: Squares of the lengths of words that are encoded at once.
 ROUND_CELLS = 10_000_000
+#: Tokens on each side of a border that are encoded anew at first.
+AROUND = 4
 #: Ids that are decoded at once.
 DECODED = 500_000
 
 # A word is one row with the list of its tokens; places count from 1.
-SHORT_WORDS = """
+CONTRACT = """
 WITH RECURSIVE walk(word, toks) AS (
     SELECT word, list(tok ORDER BY pos) FROM symbols GROUP BY word
     UNION ALL
@@ -54,33 +59,6 @@ WITH RECURSIVE walk(word, toks) AS (
 SELECT word, array_to_string(arg_min(toks, len(toks)), ' ') AS ids FROM walk GROUP BY word
 """
 
-# One row per token. In an unbroken run of the pair, such as aaaa, every second place is contracted.
-LONG_WORDS = """
-WITH RECURSIVE walk AS (
-    SELECT word, pos, tok, 0 AS round FROM symbols
-    UNION ALL
-    SELECT word, pos, CASE WHEN starts THEN best ELSE tok END, round + 1
-    FROM (
-        SELECT *, lag(starts) OVER (PARTITION BY word ORDER BY nr) AS taken
-        FROM (
-            SELECT *, merged = best AND (CASE WHEN alone THEN nr = first ELSE (nr - island) % 2 = 0 END) IS TRUE AS starts
-            FROM (
-                SELECT *, min(nr) FILTER (merged = best) OVER (PARTITION BY word) AS first,
-                    max(CASE WHEN merged = best AND before IS DISTINCT FROM best THEN nr END)
-                        OVER (PARTITION BY word ORDER BY nr ROWS UNBOUNDED PRECEDING) AS island
-                FROM (
-                    SELECT t.*, m.merged, m.alone, min(m.merged) OVER (PARTITION BY word) AS best,
-                        lag(m.merged) OVER (PARTITION BY word ORDER BY nr) AS before
-                    FROM (
-                        SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next,
-                            row_number() OVER (PARTITION BY word ORDER BY pos) AS nr
-                        FROM walk) t
-                    LEFT JOIN merges m ON m.pair = ((t.tok::BIGINT << 20) | t.next)))))
-    WHERE best IS NOT NULL AND taken IS NOT TRUE)
-SELECT word, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM walk) WHERE round = last GROUP BY word
-"""
-
 DECODE = """
 SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex, count(*) AS n
 FROM pieces JOIN vocab USING (tok) GROUP BY doc
@@ -102,10 +80,9 @@ class Codec:
         con = self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         made = [(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
         a, b, merged = np.array(made, np.int64).T
-        # alone: a pair with the merged token has a lower rank than the token itself
-        alone = np.zeros(merged.max() + 1, bool)
-        alone[a[merged < a]] = alone[b[merged < b]] = True
-        made = pa.table({"pair": (a << 20) | b, "merged": merged.astype(np.int32), "alone": alone[merged]})
+        made = pa.table({"pair": (a << 20) | b, "merged": merged.astype(np.int32)})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
         con.register("made", made)
         con.execute("CREATE TABLE merges AS SELECT * FROM made")
         con.register("names", pa.table({"tok": np.array(list(ranks.values()), np.int32), "hex": [w.hex() for w in ranks]}))
@@ -114,52 +91,77 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
         raw = [w.encode() for w in words]
+        made = self.contracted([d for d in raw if len(d) <= LONG]) | self.in_pieces([d for d in raw if len(d) > LONG])
         for w, data in zip(words, raw):
-            if len(data) ** 2 > ROUND_CELLS:
-                self.words[w] = b" ".join(b"%d" % t for t in self.contracted(data))
-        for query, some in (
-            (SHORT_WORDS, [i for i, w in enumerate(raw) if len(w) <= LONG]), (LONG_WORDS, [i for i, w in enumerate(raw) if len(w) > LONG and len(w) ** 2 <= ROUND_CELLS]),
-        ):
-            # the recursion keeps what a word was in each round
-            upto = np.cumsum([len(raw[i]) ** 2 for i in some])
-            at = 0
-            while at < len(some):
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + ROUND_CELLS, "right")))
-                part, at = some[at:end], end
-                sizes = np.array([len(raw[i]) for i in part])
-                data = np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
-                word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
-                pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                self.con.register("symbols", pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.single[data]}))
-                out = self.con.sql(query).to_arrow_table()
-                for w, ids in zip(out["word"].to_pylist(), out["ids"].to_pylist()):
-                    self.words[words[part[w]]] = ids.encode()
-
-    @cached_property
-    def pairs(self) -> dict[int, int]:
-        made = self.con.sql("SELECT pair, merged FROM merges").to_arrow_table()
-        return dict(zip(made["pair"].to_pylist(), made["merged"].to_pylist()))
-
-    def contracted(self, data: bytes) -> list[int]:
-        """The ids of a word: the leftmost pair of least rank is contracted until none is left."""
-        pairs, n = self.pairs, len(data)
-        toks = self.single[np.frombuffer(data, np.uint8)].tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # places of the neighbours
-        merged = lambda i: pairs.get(toks[i] << 20 | toks[after[i]]) if after[i] < n else None
-        heap = [(r, i) for i in range(n) if (r := merged(i)) is not None]
-        heapify(heap)
-        while heap:
-            rank, i = heappop(heap)
-            if toks[i] < 0 or merged(i) != rank:
-                continue  # one of the pair has been contracted since
-            gone = after[i]
-            toks[i], toks[gone], after[i] = rank, -1, after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := merged(k)) is not None:
-                    heappush(heap, (r, k))
-        return [t for t in toks if t >= 0]
+            self.words[w] = " ".join(map(str, made[data])).encode()
+
+    def contracted(self, parts: list[bytes]) -> dict[bytes, list[int]]:
+        """The ids of each part: the leftmost pair of least rank is contracted until none is left."""
+        out: dict[bytes, list[int]] = {}
+        # the recursion keeps what a word was in each round
+        upto = np.cumsum([len(p) ** 2 for p in parts])
+        at = 0
+        while at < len(parts):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + ROUND_CELLS, "right")))
+            some, at = parts[at:end], end
+            sizes = np.array(list(map(len, some)))
+            data = np.frombuffer(b"".join(some), np.uint8)
+            word = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
+            pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self.con.register("symbols", pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.single[data]}))
+            found = self.con.sql(CONTRACT).to_arrow_table()
+            for w, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist()):
+                out[some[w]] = list(map(int, ids.split()))
+        return out
+
+    def in_pieces(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """The ids of long words, from pieces whose borders are tested and mended."""
+        cut = [[w[a : a + PIECE] for a in range(0, len(w), PIECE)] for w in words]
+        known = self.contracted(list(dict.fromkeys(p for c in cut for p in c)))
+        # places of tokens as bytes, and which of them are borders still to be tested
+        state = []
+        for c in cut:
+            ids = [i for p in c for i in known[p]]
+            state.append((ids, set(range(PIECE, sum(map(len, c)), PIECE)), AROUND))
+        todo = [k for k in range(len(words)) if state[k][1]]
+        while todo:
+            pairs: dict[bytes, list[int]] = {}
+            tested = []
+            for k in todo:
+                ids, borders, _ = state[k]
+                ends = np.cumsum(self.sizes[ids])
+                at = np.searchsorted(ends, sorted(borders))  # the token before each border
+                first = ends[at] - self.sizes[np.array(ids)[at]]
+                own = [words[k][a:b] for a, b in zip(first.tolist(), ends[at + 1].tolist())]
+                pairs |= dict.fromkeys(own)
+                tested.append((k, ends, at, own))
+            pairs = self.contracted(list(pairs))
+            windows = []
+            for k, ends, at, own in tested:
+                ids, _, around = state[k]
+                spans: list[list[int]] = []
+                for i, p in zip(at.tolist(), own):
+                    if pairs[p] != ids[i : i + 2]:
+                        a, b = max(0, i + 1 - around), min(len(ids), i + 1 + around)
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = max(b, spans[-1][1])
+                        else:
+                            spans.append([a, b])
+                windows += [(k, a, b, words[k][int(ends[a - 1]) if a else 0 : int(ends[b - 1])], int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b in spans]
+            anew = self.contracted(list(dict.fromkeys(w[3] for w in windows)))
+            by_word: dict[int, list[tuple]] = {}
+            for k, a, b, data, start, end in windows:
+                by_word.setdefault(k, []).append((a, b, anew[data], start, end))
+            for k in todo:
+                ids, _, around = state[k]
+                made, last, borders = [], 0, set()
+                for a, b, new, start, end in by_word.get(k, []):
+                    made += ids[last:a] + new
+                    last = b
+                    borders |= {start, end} - {0, len(words[k])}
+                state[k] = (made + ids[last:], borders, 2 * around)
+            todo = [k for k in todo if state[k][1]]
+        return {w: s[0] for w, s in zip(words, state)}
 
     def parts(self, text: str) -> list[str]:
         """The text cut where two matches of the pattern meet in any case: before a space and around a line break,

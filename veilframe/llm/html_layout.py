@@ -2,11 +2,15 @@
 
 * Tree: end tags that may be left out are implied (head before text, body and any tag that may not stand in it, p before a block, li, dt, dd, option, rows and cells of tables), stray end tags are
   ignored, open elements end with the page. Elements deeper than DEEPEST become neighbours, as browsers do.
-* Visibility: head, script, style and the like, the attribute `hidden`, hidden inputs, and inline styles with display:none
-  or visibility:hidden show nothing.
+* Visibility: head, script, style and the like, the attribute `hidden`, hidden inputs, dialogs that are not open, and inline styles with
+  display:none show nothing. visibility is inherited: hidden or collapse hides text down to an element that is visible again; a hidden cell
+  of a table keeps its column.
 * Rendering: white space collapses outside pre; br breaks a line; blocks begin on a new line, paragraphs, headings, lists and tables
-  are set off by a blank line; list items carry a bullet or their number and are indented by level; the cells of a table are
-  padded to the width of their column, cells of several lines stand side by side.
+  are set off by a blank line; list items carry a bullet or their number and are indented by level, up to INDENT characters; the cells of a
+  table are padded to the width of their column, cells of several lines stand side by side.
+* Bounds: lines of a cell beyond WIDE characters do not widen their column, and a table whose padding would be more than PAD times its own
+  text is not padded at all; no text is lost by either. So a text is at most some PAD + INDENT times as long as its page. Comments, and a
+  tag that the page ends in, are taken out beforehand in one pass, so that the parser never looks for the end of the same tag twice.
 
 Defined cases: NULL and empty pages give an empty text. Text outside any element is shown. Repeated rows are rendered each; other
 columns are not read; pages are never cut. Work stays in the task that reads the rows.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,6 +28,8 @@ from pyspark.sql import types as T
 from veilframe.llm.common import per_text
 
 DEEPEST = 256
+#: Longest line of a cell that others are padded to; how much padding a table may have for each of its characters; deepest indentation; most columns of a span.
+WIDE, PAD, INDENT, COLUMNS = 80, 8, 40, 1000
 
 UNSEEN = set("head script style template noscript title meta link iframe canvas audio video datalist".split())
 #: Not shown inside svg and math.
@@ -48,7 +55,13 @@ IMPLIED_END = {
 }
 IMPLIED_END["thead"] = IMPLIED_END["tfoot"] = IMPLIED_END["tbody"]
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
-_hidden = re.compile(r"(display\s*:\s*none|visibility\s*:\s*(hidden|collapse))", re.I)
+_none = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_visibility = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_raw = "script style textarea title iframe noembed noframes xmp".split()
+_mark = re.compile(rf"<!--|<({'|'.join(_raw)})(?=[\s/>])", re.I)
+_raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _raw}
+_comment_end = re.compile(r"--!?>")
+_tag_begins = re.compile(r"<[A-Za-z/!?]")
 _spaces = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -119,9 +132,55 @@ class Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
+def without_comments(html: str) -> str:
+    """The page without comments and without a tag that never ends; what stands in script and the like is left alone."""
+    last = html.rfind(">")
+    if cut := _tag_begins.search(html, last + 1):
+        html = html[: cut.start()]
+    out, at = [], 0
+    while mark := _mark.search(html, at):
+        if tag := mark[1]:
+            end = _raw_end[tag.lower()].search(html, mark.end())
+            if not end:
+                break
+            inner = html[at : end.start()]
+            if tag.lower() == "textarea":  # its tags are text
+                begin = mark.start() + len(inner[mark.start() - at :].partition(">")[0]) + 1 - at
+                inner = inner[:begin] + inner[begin:].replace("<", "&lt;")
+            out.append(inner)
+            at = end.start()
+            continue
+        out.append(html[at : mark.start()])
+        if short := re.compile("-?>").match(html, mark.end()):
+            at = short.end()
+        elif end := _comment_end.search(html, mark.end()):
+            at = end.end()
+        else:
+            return "".join(out)
+    out.append(html[at:])
+    return "".join(out)
+
+
+def displayed(node: Node) -> bool:
     a = node.attrs
-    return not (node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type") == "hidden") or _hidden.search(a.get("style") or ""))
+    return not (
+        node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type") == "hidden") or (node.tag == "dialog" and "open" not in a)
+        or _none.search(a.get("style") or "")
+    )
+
+
+def visible_part(node: Node, shown: bool = True) -> Node | None:
+    """The tree without what is not displayed and without hidden text; None if nothing of an element is left that shows."""
+    own = _visibility.findall(node.attrs.get("style") or "")
+    shown = own[-1].lower() == "visible" if own else shown
+    out = Node(node.tag, node.attrs)
+    for child in node.children:
+        if isinstance(child, str):
+            if shown:
+                out.children.append(child)
+        elif displayed(child) and (part := visible_part(child, shown)):
+            out.children.append(part)
+    return out if shown or out.children or node.tag in ("td", "th") else None
 
 
 class Lines:
@@ -187,8 +246,6 @@ def _fill(node: Node, out: Lines, pre: bool) -> None:
     for child in node.children:
         if isinstance(child, str):
             out.text(child, pre)
-        elif not visible(child):
-            continue
         elif child.tag == "br":
             out.flush()
             out.newline()
@@ -219,10 +276,14 @@ def _block(node: Node, pre: bool) -> list[str]:
         return ["---"]
     inner = render(node, pre or node.tag == "pre")
     if node.tag in ("blockquote", "dd"):
-        return [f"  {x}" if x else x for x in inner]
+        return [_indented("  ", x) if x else x for x in inner]
     return inner
 
 
+def _indented(by: str, line: str) -> str:
+    return line if line[:INDENT].isspace() and len(line) > INDENT else by + line
+
+
 def _list(node: Node, pre: bool) -> list[str]:
     out: list[str] = []
     start = node.attrs.get("start") or ""
@@ -230,21 +291,21 @@ def _list(node: Node, pre: bool) -> list[str]:
     for child in node.children:
         if isinstance(child, str):
             out += [x for x in (_spaces.sub(" ", child).strip(),) if x]
-        elif visible(child):
+        else:
             if child.tag != "li":
                 out += _block(child, pre)
                 continue
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             inner = [x for x in render(child, pre) if x] or [""]
-            out += [(mark if not k else " " * len(mark)) + x for k, x in enumerate(inner)]
+            out += [mark + x if not k else _indented(" " * len(mark), x) for k, x in enumerate(inner)]
     return [x.rstrip() for x in out]
 
 
 def _rows(node: Node):
     """Rows, and the part of the table that they stand in."""
     for child in node.children:
-        if isinstance(child, str) or not visible(child):
+        if isinstance(child, str):
             continue
         if child.tag == "tr":
             yield node, child
@@ -258,9 +319,9 @@ def _loose(node: Node, pre: bool) -> list[str]:
     for child in node.children:
         if isinstance(child, str):
             out += [x for x in (_spaces.sub(" ", child).strip(),) if x]
-        elif visible(child) and child.tag in SECTIONS:
+        elif child.tag in SECTIONS:
             out += _loose(child, pre)
-        elif visible(child) and child.tag != "tr":
+        elif child.tag != "tr":
             one = Node("div", {})
             one.children.append(child)
             out += render(one, pre)
@@ -278,42 +339,49 @@ def _table(node: Node, pre: bool) -> list[str]:
     for group, row in _rows(node):
         if group is not part:
             part, taken = group, {}  # rows that cells from above still take, by column
-        cells: list[list[str]] = []
+        cells: dict[int, list[str]] = {}
         below = {k: n - 1 for k, n in taken.items() if n > 1}
+        at = 0
         for c in row.children:
-            if isinstance(c, str):
-                if not c.strip():
-                    continue
-            elif not visible(c):
+            if isinstance(c, str) and not c.strip():
                 continue
-            while len(cells) in taken:
-                cells.append([])
+            while at in taken:
+                at += 1
             wide, high = (1, 1) if isinstance(c, str) else (_span(c, "colspan"), _span(c, "rowspan"))
-            wide = wide if 0 < wide < 1000 else 1
+            wide = max(1, min(wide, COLUMNS - at)) if wide < 1000 else 1
             if high != 1:
-                below.update({len(cells) + k: high - 1 if high else 65534 for k in range(wide)})
-            cells.append([_spaces.sub(" ", c).strip()] if isinstance(c, str) else render(c, pre))
-            cells += [[]] * (wide - 1)
+                below.update({at + k: high - 1 if high else 65534 for k in range(wide)})
+            cells[at] = [_spaces.sub(" ", c).strip()] if isinstance(c, str) else render(c, pre)
+            at += wide
         taken = below
         rows.append(cells)
-    widths: list[int] = []
+    widths: dict[int, int] = {}
+    for cells in rows:
+        for k, cell in cells.items():
+            widths[k] = max(widths.get(k, 0), int(any(cell)), max((len(x) for x in cell if len(x) <= WIDE), default=0))
+    columns = [k for k in sorted(widths) if widths[k]]
+    # what each column and all before it take
+    upto = dict(zip(columns, accumulate(widths[k] + 2 for k in columns)))
+    text = padded = 0
     for cells in rows:
-        widths += [0] * (len(cells) - len(widths))
-        for k, cell in enumerate(cells):
-            widths[k] = max(widths[k], max(map(len, cell), default=0))
+        high = max(map(len, cells.values()), default=0)
+        text += sum(len(x) + 2 for cell in cells.values() for x in cell)
+        padded += high * max((upto[k] for k, cell in cells.items() if any(cell) and k in upto), default=0)
+    aligned = padded <= (PAD + 1) * text
     for cells in rows:
-        for k in range(max(map(len, cells), default=0)):
-            parts = [(cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(cells, widths)]
-            out.append("  ".join(p for p, w in zip(parts, widths) if w).rstrip())
+        there = columns if aligned else [k for k in columns if any(cells.get(k, ()))]
+        for n in range(max(map(len, cells.values()), default=0)):
+            parts = [(cell[n] if n < len(cell := cells.get(k, [])) else "") for k in there]
+            out.append("  ".join(p.ljust(widths[k]) if aligned else p for p, k in zip(parts, there)).rstrip())
     return out
 
 
 def extract(html: str) -> str:
     """The visible text of a page."""
     builder = Builder()
-    builder.feed(html)
+    builder.feed(without_comments(html))
     builder.close()
-    return "\n".join(render(builder.open[0]))
+    return "\n".join(render(visible_part(builder.open[0])))
 
 
 FIELDS = [T.StructField("text", T.StringType())]
