@@ -188,6 +188,17 @@ def test_trees_find_a_step_and_an_interaction():
     assert np.allclose(model.raw(codes), by_hand)
 
 
+def test_calibration_has_not_seen_the_label(spark):
+    """A unit that stands only in toxic texts of one fold is unknown to the lexicon that leaves that fold out."""
+    fold = F.pmod(F.xxhash64("key"), F.lit(toxicity.FOLDS)).cast("int")
+    rows = spark.range(400).select(F.col("id").alias("key"), (F.col("id") % 2).cast("double").alias("label")).withColumn("fold", fold)
+    word = F.when((F.col("label") == 1) & (F.col("fold") == 2), "zzyzx").when(F.col("label") == 1, "quux").otherwise("plain")
+    rows = rows.withColumn("text", F.concat_ws(" ", F.lit("some words"), word))
+    whole, *without = toxicity.learn_units(rows)
+    assert b"zzyzx " in whole and b"quux " in whole
+    assert [b"zzyzx " in w for w in without] == [True, True, False, True] and all(b"quux " in w for w in without)
+
+
 def test_isotonic_line_by_brute_force():
     at, to = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.4]), np.array([0, 1, 0, 1, 1]))
     assert (np.diff(to) >= 0).all() and np.interp([0.1, 0.2, 0.3, 0.4], at, to).tolist() == [0, 0.5, 0.5, 1]

@@ -4,8 +4,9 @@ Features of a text: densities of a fixed lexicon and of a learned one (words and
 texts hold far more often), how near their hits stand to the second person, capitals, punctuation, and the rate of
 disguised words (digits or signs between letters that spell a lexicon word, stretched letters).
 
-At most SAMPLE labelled rows teach the lexicon, the trees and the calibration; this is the only bound. Calibration uses scores of
-trees that have not seen the row. Keys, languages and sources are no features.
+At most SAMPLE labelled rows teach the lexicon, the trees and the calibration; this is the only bound. The rows are cut into FOLDS parts. For the
+calibration a row is scored by a lexicon, bins and trees that were learned from the other parts only, so its label is nowhere in its score. Keys,
+languages and sources are no features.
 
 Defined cases: NULL and empty texts have all measures 0 and get the score of that point. Repeated rows are scored
 each. Without any label the score is 0.5. Other columns are not read. Long texts are read whole.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.boosting import Tree, binned, edges, grow, prior, sigmoid, slopes
-from veilframe.llm.common import ASCII_LOWER, per_text, pieces, text_bytes
+from veilframe.llm.common import ASCII_LOWER, per_text, pieces, text_bytes, written
 from veilframe.llm.labelled import held_out, sample
 
 SAMPLE = 20_000
@@ -162,25 +163,39 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(of_unit: dict[bytes, float], values: np.ndarray, label: np.ndarray, fold: np.ndarray) -> Toxicity:
-    """Trees on all rows; the calibration on the scores that each row gets from the trees of the other folds."""
-    cuts = edges(values) if len(values) else [np.empty(0)] * len(FEATURES)
-    codes = binned(values, cuts)
+    """Trees on all rows; the calibration on the scores that each row gets from the other folds.
+
+    values: rows x (FOLDS + 1) x features; first the features by the lexicon of all rows, then by those that leave one fold out.
+    """
     start = prior(label)
     unseen = np.zeros(len(label))
     for k in range(FOLDS):
         own = fold % FOLDS == k
-        unseen[own] = boosted(start, boost(codes[~own], label[~own], start), codes[own])
+        codes, _ = _codes(values[:, k + 1], ~own)
+        before = prior(label[~own])
+        unseen[own] = boosted(before, boost(codes[~own], label[~own], before), codes[own])
+    codes, cuts = _codes(values[:, 0], np.ones(len(label), bool))
     return Toxicity(of_unit, cuts, start, boost(codes, label, start), *isotonic(unseen, label))
 
 
-def learn_units(rows: DataFrame) -> dict[bytes, float]:
-    """Log ratios of units that are far denser in toxic texts. Counted in the tasks, added up after one shuffle."""
-    schema = "unit binary, texts long, toxic double, other double"
+def _codes(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bin numbers of all rows, and the edges of the bins, which are learned from some of them."""
+    cuts = edges(values[of]) if of.any() else [np.empty(0)] * len(FEATURES)
+    return binned(values, cuts), cuts
+
+
+def learn_units(rows: DataFrame) -> list[dict[bytes, float]]:
+    """Log ratios of units that are far denser in toxic texts: by all rows, and by all but those of each fold.
+
+    Counted in the tasks by fold, added up after one shuffle; rows has key, text, label and fold.
+    """
+    schema = "fold int, unit binary, texts long, toxic double, other double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            toxic, other, texts = Counter(), Counter(), Counter()
-            for text, label in zip(text_bytes(piece), piece.column("label").to_pylist()):
+            sums = [(Counter(), Counter(), Counter()) for _ in range(FOLDS)]
+            for text, label, fold in zip(text_bytes(piece), piece.column("label").to_pylist(), piece.column("fold").to_pylist()):
+                texts, toxic, other = sums[fold]
                 words = Counter(text.translate(_WORDS).split())
                 own = Counter()
                 for w, k in words.items():
@@ -192,34 +207,42 @@ def learn_units(rows: DataFrame) -> dict[bytes, float]:
                     into[u] += k / n
                 if label:
                     texts.update(own.keys())
-            keys = list({**toxic, **other})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), *[pa.array([c[u] for u in keys], t) for c, t in ((texts, pa.int64()), (toxic, pa.float64()), (other, pa.float64()))]],
-                ["unit", "texts", "toxic", "other"],
-            )
-
-    size = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    n_toxic, n_other = (size[0] or 0) + 1.0, (size[1] or 0) + 1.0
-    sums = rows.mapInArrow(run, schema).groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("texts", "toxic", "other")])
-    # a twentieth of one word in a thousand is added on both sides
-    ratio = F.log((F.col("toxic") / n_toxic + 5e-5) / (F.col("other") / n_other + 5e-5))
-    found = sums.where((F.col("texts") >= LEAST_TEXTS) & (ratio >= float(np.log(LEAST_RATIO)))).select("unit", ratio.alias("w"), "texts")
-    top = found.orderBy(F.desc(F.col("w") * F.log1p("texts")), "unit").limit(UNITS).collect()
-    return {bytes(r["unit"]): r["w"] for r in top}
+            for fold, counts in enumerate(sums):
+                keys = list({**counts[1], **counts[2]})
+                cells = [pa.array([c[u] for u in keys], t) for c, t in zip(counts, (pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(keys), pa.int32()), pa.array(keys, pa.binary()), *cells], ["fold", "unit", "texts", "toxic", "other"])
+
+    sizes = {r["fold"]: (r["t"] or 0.0, r["o"] or 0.0) for r in rows.groupBy("fold").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")).collect()}
+    by_fold = [
+        F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for c in ("texts", "toxic", "other") for k in range(FOLDS)
+    ]
+    sums = written(rows.mapInArrow(run, schema).groupBy("unit").agg(*by_fold), "units")
+    out = []
+    for left_out in (None, *range(FOLDS)):
+        folds = [k for k in range(FOLDS) if k != left_out]
+        n_toxic, n_other = (sum(sizes.get(k, (0.0, 0.0))[i] for k in folds) + 1.0 for i in (0, 1))
+        texts, toxic, other = (sum((F.col(f"{c}{k}") for k in folds[1:]), F.col(f"{c}{folds[0]}")) for c in ("texts", "toxic", "other"))
+        # a twentieth of one word in a thousand is added on both sides
+        ratio = F.log((toxic / n_toxic + 5e-5) / (other / n_other + 5e-5))
+        found = sums.where((texts >= LEAST_TEXTS) & (ratio >= float(np.log(LEAST_RATIO)))).select("unit", ratio.alias("w"), texts.alias("texts"))
+        top = found.orderBy(F.desc(F.col("w") * F.log1p("texts")), "unit").limit(UNITS).collect()
+        out.append({bytes(r["unit"]): r["w"] for r in top})
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", limit: int = SAMPLE) -> Toxicity:
     """The model of at most limit labelled rows."""
-    rows = sample(docs, labels, label, key, text, limit)
-    of_unit = learn_units(rows)
-    weights = Weights(of_unit)
+    hashed = F.xxhash64("key")
+    rows = sample(docs, labels, label, key, text, limit).withColumn("fold", F.pmod(hashed, F.lit(FOLDS)).cast("int"))
+    lexicons = learn_units(rows)
+    weights = [Weights(w) for w in lexicons]
     fields = [T.StructField("values", T.ArrayType(T.DoubleType(), False))]
-    values = per_text(rows.withColumn("key", F.struct("key", "label")), "key", "text", fields, lambda texts: [list(features(texts, weights))])
-    hashed = F.xxhash64("key.key")
-    got = values.withColumn("fold", F.pmod(hashed, F.lit(FOLDS))).orderBy(hashed, "key.key").limit(limit).collect()
+    packed = rows.select(F.struct("key", "label", "fold", hashed.alias("hash")).alias("key"), "text")
+    values = per_text(packed, "key", "text", fields, lambda texts: [list(np.hstack([features(texts, w) for w in weights]))])
+    got = values.orderBy("key.hash", "key.key").limit(limit).collect()
     return fit(
-        of_unit, np.array([r["values"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["key"]["label"] for r in got]),
-        np.array([r["fold"] for r in got], int),
+        lexicons[0], np.array([r["values"] for r in got]).reshape(-1, FOLDS + 1, len(FEATURES)), np.array([r["key"]["label"] for r in got]),
+        np.array([r["key"]["fold"] for r in got], int),
     )
 
 
