@@ -104,7 +104,9 @@ def segment(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np
     n_words = np.array(sizes, np.int64)
     every = np.concatenate(ids) if ids else np.empty(0, np.int64)
     place = np.arange(len(every)) + np.repeat(np.arange(len(sizes)), n_words)
-    _, term = np.unique(every, return_inverse=True)
+    own = np.empty(len(every), np.int32)
+    own[list(numbers.values())] = np.arange(len(numbers))
+    term = own[every]
     order = np.argsort(term.astype(np.uint16) if len(numbers) < 65536 else term, kind="stable")
     return n_words, sorted(numbers, key=numbers.get), np.bincount(term, minlength=len(numbers)), place[order].astype(np.int32)
 
@@ -135,10 +137,24 @@ def phrase(places: dict[int, np.ndarray], window: list[int]) -> np.ndarray:
     return start
 
 
-def by_document(seg: Segment, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents that hold the term, and from where to where its places stand in each."""
-    docs, start = np.unique(np.searchsorted(seg.first, seg.places[term], "right") - 1, return_index=True)
-    return docs, start, np.append(start[1:], len(seg.places[term]))
+class Spread(NamedTuple):
+    """Which documents hold which terms: ascending keys term x documents + document, the places of each as places[start:end], and the keys of term t as keys[upto[t]:upto[t + 1]]."""
+
+    documents: int
+    keys: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    upto: np.ndarray
+    places: np.ndarray
+
+
+def spread(seg: Segment, terms: int) -> Spread:
+    n, lists = len(seg.n_words), [seg.places.get(t, np.empty(0, np.int32)) for t in range(terms)]
+    places = np.concatenate([*lists, np.empty(0, np.int32)])
+    every = np.repeat(np.arange(terms), list(map(len, lists))) * n + np.searchsorted(seg.first, places, "right") - 1
+    start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
+    keys = every[start]
+    return Spread(n, keys, start, np.append(start[1:], len(every)), np.searchsorted(keys, np.arange(terms + 1) * n), places)
 
 
 def least_span(lists: list[np.ndarray]) -> int:
@@ -154,36 +170,30 @@ def least_span(lists: list[np.ndarray]) -> int:
     return best
 
 
-def near(seg: Segment, window: list[int], span: int, memo: dict[int, tuple]) -> np.ndarray:
+def near(found: Spread, window: list[int], span: int) -> np.ndarray:
     """Documents that hold the terms of the window, but for one in SPARE, and the RAREST rarest of them within that many words.
 
     Rarity and presence are those in the document, equally rare terms go by their place in the window, so the
-    other documents of the segment do not matter. memo keeps what by_document finds in the segment.
+    other documents of the segment do not matter.
     """
-    terms = list(dict.fromkeys(window))
+    terms = np.array(list(dict.fromkeys(window)))
     spare = len(terms) // SPARE
-    none = np.empty(0, np.int64)
-    for t in terms:
-        if t not in memo:
-            memo[t] = by_document(seg, t) if t in seg.places else (none, none, none)
-    held = [memo[t] for t in terms]
+    low, high = found.upto[terms], found.upto[terms + 1]
     # a document that misses so few terms holds one of the rarest spare + 1
-    docs = np.unique(np.concatenate(sorted((h[0] for h in held), key=len)[: spare + 1]))
+    some = np.argsort(high - low, kind="stable")[: spare + 1].tolist()
+    docs = np.unique(np.concatenate([found.keys[low[k] : high[k]] - terms[k] * found.documents for k in some]))
     if not len(docs):
         return docs
-    there = np.stack([_there(own, docs) if len(own) else np.zeros(len(docs), bool) for own, _, _ in held])
+    wanted = terms[:, None] * found.documents + docs
+    at = np.minimum(np.searchsorted(found.keys, wanted), len(found.keys) - 1)
+    there = found.keys[at] == wanted
     enough = there.sum(0) >= len(terms) - spare
-    docs, there = docs[enough], there[:, enough]
-    if not len(docs):
-        return docs
-    start, end = np.zeros(there.shape, np.int64), np.full(there.shape, np.iinfo(np.int32).max)
-    for k, (own, a, b) in enumerate(held):
-        at = np.searchsorted(own, docs[there[k]])
-        start[k, there[k]], end[k, there[k]] = a[at], b[at]
+    if not enough.any():
+        return docs[enough]
+    docs, there, at = docs[enough], there[:, enough], at[:, enough]
+    start, end = found.start[at], np.where(there, found.end[at], np.iinfo(np.int64).max)
     rarest = np.argsort(end - start, axis=0, kind="stable")[:RAREST].T.tolist()
-    ok = [
-        least_span([seg.places[terms[k]][start[k, d] : end[k, d]] for k in some if there[k, d]]) <= span for d, some in enumerate(rarest)
-    ]
+    ok = [least_span([found.places[start[k, d] : end[k, d]] for k in some if there[k, d]]) <= span for d, some in enumerate(rarest)]
     return docs[np.array(ok)]
 
 
@@ -195,7 +205,7 @@ def matches(seg: Segment, items: Items, slop: int | None = None) -> tuple[list[l
     there[list(seg.places)] = True
     there[-1] = True  # behind the end of short windows
     absent = (~there[items.windows]).sum(1)
-    memo: dict[int, tuple] = {}
+    found = spread(seg, len(items.terms)) if slop is not None else None
     for w in np.flatnonzero(absent <= (items.windows.shape[1] // SPARE if slop is not None else 0)).tolist():
         window = items.windows[w, : items.sizes[w]].tolist()
         start = phrase(seg.places, window) if not absent[w] else ()
@@ -206,7 +216,7 @@ def matches(seg: Segment, items: Items, slop: int | None = None) -> tuple[list[l
             for d in set(docs.tolist()):
                 hit[d].update(items.of(w))
         if slop is not None:
-            for d in near(seg, window, len(window) + slop, memo).tolist():
+            for d in near(found, window, len(window) + slop).tolist():
                 close[d].update(items.of(w))
     return [merged(s) for s in spans], hit, [c - h for c, h in zip(close, hit)]
 
