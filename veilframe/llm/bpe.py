@@ -91,13 +91,18 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
         raw = [w.encode() for w in words]
-        made = self.contracted([d for d in raw if len(d) <= LONG]) | self.in_pieces([d for d in raw if len(d) > LONG])
+        made = self.contracted([d for d in raw if len(d) <= LONG])
+        if len(made) < len(raw):
+            made |= {d: " ".join(map(str, ids)) for d, ids in self.in_pieces([d for d in raw if len(d) > LONG]).items()}
         for w, data in zip(words, raw):
-            self.words[w] = " ".join(map(str, made[data])).encode()
+            self.words[w] = made[data].encode()
 
-    def contracted(self, parts: list[bytes]) -> dict[bytes, list[int]]:
-        """The ids of each part: the leftmost pair of least rank is contracted until none is left."""
-        out: dict[bytes, list[int]] = {}
+    def ids_of(self, parts: list[bytes]) -> dict[bytes, list[int]]:
+        return {p: list(map(int, ids.split())) for p, ids in self.contracted(parts).items()}
+
+    def contracted(self, parts: list[bytes]) -> dict[bytes, str]:
+        """The decimal ids of each part, joined by a space: the leftmost pair of least rank is contracted until none is left."""
+        out: dict[bytes, str] = {}
         # the recursion keeps what a word was in each round
         upto = np.cumsum([len(p) ** 2 for p in parts])
         at = 0
@@ -110,14 +115,13 @@ class Codec:
             pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             self.con.register("symbols", pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.single[data]}))
             found = self.con.sql(CONTRACT).to_arrow_table()
-            for w, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist()):
-                out[some[w]] = list(map(int, ids.split()))
+            out.update(zip(map(some.__getitem__, found["word"].to_pylist()), found["ids"].to_pylist()))
         return out
 
     def in_pieces(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """The ids of long words, from pieces whose borders are tested and mended."""
         cut = [[w[a : a + PIECE] for a in range(0, len(w), PIECE)] for w in words]
-        known = self.contracted(list(dict.fromkeys(p for c in cut for p in c)))
+        known = self.ids_of(list(dict.fromkeys(p for c in cut for p in c)))
         # places of tokens as bytes, and which of them are borders still to be tested
         state = []
         for c in cut:
@@ -135,7 +139,7 @@ class Codec:
                 own = [words[k][a:b] for a, b in zip(first.tolist(), ends[at + 1].tolist())]
                 pairs |= dict.fromkeys(own)
                 tested.append((k, ends, at, own))
-            pairs = self.contracted(list(pairs))
+            pairs = self.ids_of(list(pairs))
             windows = []
             for k, ends, at, own in tested:
                 ids, _, around = state[k]
@@ -148,7 +152,7 @@ class Codec:
                         else:
                             spans.append([a, b])
                 windows += [(k, a, b, words[k][int(ends[a - 1]) if a else 0 : int(ends[b - 1])], int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b in spans]
-            anew = self.contracted(list(dict.fromkeys(w[3] for w in windows)))
+            anew = self.ids_of(list(dict.fromkeys(w[3] for w in windows)))
             by_word: dict[int, list[tuple]] = {}
             for k, a, b, data, start, end in windows:
                 by_word.setdefault(k, []).append((a, b, anew[data], start, end))
