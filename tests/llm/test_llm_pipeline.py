@@ -63,3 +63,41 @@ def test_entry_works_without_the_text_operators():
         "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 80 and set(e.oracle_sql()) <= set(e.queries())"
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
+
+
+CLASHES = "key string, r string, own string, score double, held_out int, n_tokens int, component_id int, `a.b` string"
+
+
+def odd_folder(spark, tmp_path, rows, n_chars=True):
+    """Documents with columns that clash with those of the operators, beside the given labels and benchmark."""
+    schema = "doc_id long, text string, lang string, source string, " + ("n_chars long, " if n_chars else "") + CLASHES
+    full = [(k, t, None, s, *([None] if n_chars else []), "x", "r", "o", 0.1, 2, 3, 4, "y") for k, t, s in rows]
+    spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_odd_rows_run_through(spark, tmp_path):
+    given = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").limit(60).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = given + [(None, None, None), (900, None, "s"), (901, "", "s"), (901, "", "s"), (902, item, None), given[0], given[0], (903, given[1][1], "other"), (904, "word " * 20_000, "s")]
+    folder = odd_folder(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, folder), name)
+        assert docs.columns == names and docs.count() <= before.count(), name
+    assert docs.where("doc_id = 902").count() == 0
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect())
+    left = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert all(r["decoded_sha256"] == hashlib.sha256(left[r["doc_id"]].encode()).hexdigest() for r in rows)
+
+
+def test_an_empty_table_and_one_without_n_chars(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd_folder(spark, tmp_path / "a", [])).count() == 0
+    given = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").limit(20).collect()]
+    assert corpus_pipeline.run(spark, odd_folder(spark, tmp_path / "b", given, n_chars=False)).count() > 0

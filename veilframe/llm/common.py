@@ -83,9 +83,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def keep_rows(df: DataFrame, text: str, fn: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, for whose text fn gives true."""
+    names = df.columns
+    own = f"c{names.index(text)}"  # columns may have any name, also one with a dot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text):
-            yield piece.filter(pa.array(np.asarray(fn(text_bytes(piece, text)), bool)))
+        for piece in pieces(batches, own):
+            yield piece.filter(pa.array(np.asarray(fn(text_bytes(piece, own)), bool))).rename_columns(names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, df.schema)
