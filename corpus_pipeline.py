@@ -1,6 +1,10 @@
 """The corpus pipeline: documents of good quality, without boilerplate lines, near copies and benchmark text, as token ids.
 
 STAGES are applied in order; each gets what its predecessor returned, written and read again.
+
+documents needs the columns doc_id, text and source; n_chars follows the text where it is there, all others stay as they are up to the last stage. Rows are
+judged as in the operators: NULL texts are empty, a NULL source is a source, of rows with equal doc_id and text that are near copies one
+stays, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that its source repeats on different texts; n_chars follows the text."""
-    made = site_lines.drop_boilerplate(docs, host="source", least=site_lines.REPEATED, once=True)
-    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    made = site_lines.drop_boilerplate(docs, host="source")
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
