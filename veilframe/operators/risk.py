@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import values as V
+from veilframe.operators import kd_tree
 from veilframe.operators.cells import column_position, one_row, unpivot_text, value_counts
 from veilframe.operators.profile import first_rows
 from veilframe.operators.utility import NOISY
@@ -17,10 +18,11 @@ from veilframe.session import table_store
 
 K_THRESHOLD = 5
 OUTLIER_THRESHOLD = 2.0
-# The linkage attack: originals in the first sample, growth of the sample, columns of the grid.
-FIRST_SAMPLE = 64
-SAMPLE_GROWTH = 16
-GRID_AXES = 2
+# The linkage attack: points a leaf of the tree holds, how many of them place one cut, and the
+# share of the leaves planned that a level must reach, or else another one follows.
+LEAF_POINTS = 64
+POINTS_PER_CUT = 16
+FEW_LEAVES = 8
 _SLOTS = 2**62
 # Quasi-identifiers looked for where the caller names none.
 QUASI_IDENTIFIERS = ["age", "location", "gender", "occupation"]
@@ -131,49 +133,52 @@ def linkage_attack(
     Of equal originals only the earliest can matter, so they become one point.
 
     The probes meet a keyed sample of the points, those that are left a larger one, and the last of
-    them every point. A ball that holds none of m sampled points is expected to hold few of the next
-    sample, so every round makes few pairs for each probe that is left. Points are found by cells of a
-    grid over the two widest columns; each probe takes the grid whose cells are as wide as its ball,
-    which therefore touches two cells a side. Rows of equal keys are told apart by their values.
+    them every point. A k-d tree over the sample (`kd_tree`) gains a level each round, more where
+    columns of few values allow few cuts, so a leaf always holds about as many points; every point is
+    dealt to one leaf and a probe goes to the leaves its ball may reach. A ball that holds none of m
+    sampled points is expected to hold few of the next sample, so it reaches few leaves. Rows of equal
+    keys are told apart by their values.
     """
     if not columns:
         raise ValueError("the attack needs at least one numeric column")
     dims = range(len(columns))
     o = {c: _filled(paired, c) for c in columns}
-    row = paired.agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.abs(o[c])).alias(f"max_{i}") for i, c in enumerate(columns)],
-                     *[F.stddev_pop(o[c]).alias(f"std_{i}") for i, c in enumerate(columns)]).first()
+    row = paired.agg(*[F.max(F.abs(o[c])).alias(f"max_{i}") for i, c in enumerate(columns)]).first()
     scale = [row[f"max_{i}"] or 1.0 for i in dims]
-    axes = sorted(dims, key=lambda i: -(row[f"std_{i}"] or 0.0) / scale[i])[:GRID_AXES]
 
     stored = table_store(paired.sparkSession)
     # one key is a plain column, whose minimum a hash aggregate keeps
     order = F.col(key[0]) if len(key) == 1 else F.struct(*key)
-    xs = [(o[c] / F.lit(s)).alias(f"x{i}") for i, (c, s) in enumerate(zip(columns, scale))]
-    ps = [(_filled(paired, c + NOISY) / F.lit(s)).alias(f"p{i}") for i, (c, s) in enumerate(zip(columns, scale))]
+    x_names, p_names = [f"x{i}" for i in dims], [f"p{i}" for i in dims]
+    xs = [(o[c] / F.lit(s)).alias(x) for x, c, s in zip(x_names, columns, scale)]
+    ps = [(_filled(paired, c + NOISY) / F.lit(s)).alias(p) for p, c, s in zip(p_names, columns, scale)]
     located = paired.select(order.alias("row"), *xs)
-    points = stored(located.groupBy(*[f"x{i}" for i in dims]).agg(F.min("row").alias("row")), "points")
+    points = stored(located.groupBy(*x_names).agg(F.min("row").alias("row")), "points")
+    total = points.count()  # from the footers of the written table
     chosen = paired if probes is None else first_rows(paired, key, probes)
-    radius = F.least(F.sqrt("own") * (1 + 1e-9) + 1e-12, F.lit(1e300))  # a margin far above rounding
-    # scaled originals lie within -1 and 1, so no ball needs cells wider than that
-    level = F.ceil(F.log2(F.least(radius, F.lit(1.0)) * 2)).cast("int")
+    radius = F.least(F.sqrt("own") * (1 + 1e-9) + 1e-12, F.lit(1e150))  # a margin far above rounding
     left = stored(
         chosen.select(order.alias("probe"), *xs, *ps).withColumn("own", _squared(len(columns)))
-        .select("probe", *[f"p{i}" for i in dims], "own", radius.alias("radius"), level.alias("level")),
+        .select("probe", *p_names, "own", radius.alias("radius")),
         "probes_0",
     )
     own, identity = left, left.columns
-    size, finished = FIRST_SAMPLE, False
+    levels: list[DataFrame] = []
+    size, finished = LEAF_POINTS, False
     for turn in itertools.count(1):
-        levels = [r["level"] for r in left.select("level").distinct().collect()]  # some forty at the most
-        if finished or not levels:
+        if finished or left.isEmpty():
             break
-        finished = size >= row["rows"]
-        sample = points if finished else points.where(
-            F.pmod(F.xxhash64("row"), F.lit(_SLOTS)) < F.lit(math.ceil(size / row["rows"] * _SLOTS))
-        )
-        hits = _beaten(left, sample, levels, axes, len(columns))
-        left = stored(left.join(hits, identity, "left_anti"), f"probes_{turn}")
-        size *= SAMPLE_GROWTH
+        finished = total <= 2 * size
+        sample = points if finished else _sampled(points, size / total)
+        # a few points per cut are enough to place it
+        few = _sampled(points, POINTS_PER_CUT / LEAF_POINTS * size / total)
+        leaves, before = 1 if turn == 1 else 0, 0
+        # one level a round, more where columns of few values allow few cuts
+        while leaves * FEW_LEAVES * LEAF_POINTS < size and leaves >= 2 * before and len(levels) < kd_tree.MAX_LEVELS:
+            levels.append(stored(kd_tree.split(kd_tree.deal(few, levels, x_names), x_names), f"level_{len(levels)}"))
+            leaves, before = kd_tree.leaves(levels[-1]), leaves
+        left = stored(left.join(_beaten(left, sample, levels, len(columns)), identity, "left_anti"), f"probes_{turn}")
+        size *= kd_tree.FANOUT
     counts = one_row(own.agg(F.count(F.lit(1)).alias("probes")), left.agg(F.count(F.lit(1)).alias("linked")))
     rate = F.coalesce(F.try_divide(F.col("linked") * 100.0, F.col("probes")), F.lit(0.0))
     return counts.select(
@@ -185,21 +190,22 @@ def linkage_attack(
     )
 
 
-def _beaten(probes: DataFrame, points: DataFrame, levels: Sequence[int], axes: Sequence[int], dimensions: int) -> DataFrame:
+def _sampled(points: DataFrame, share: float) -> DataFrame:
+    """A keyed sample of about this share of the points; the smaller one lies within the larger."""
+    if share >= 1:
+        return points
+    return points.where(F.pmod(F.xxhash64("row"), F.lit(_SLOTS)) < F.lit(math.ceil(share * _SLOTS)))
+
+
+def _beaten(probes: DataFrame, points: DataFrame, levels: Sequence[DataFrame], dimensions: int) -> DataFrame:
     """The probes whose ball holds a point that is nearer than their own, or as near and earlier."""
-    side = F.pow(F.lit(2.0), F.col("level"))
-    placed = points.withColumn("level", F.explode(F.array(*[F.lit(g) for g in levels])))
-    balls, cells = probes, ["level"]
-    for a in axes:
-        low = F.greatest(F.col(f"p{a}") - F.col("radius"), F.lit(-1.0))
-        high = F.least(F.col(f"p{a}") + F.col("radius"), F.lit(1.0))
-        first, last = F.floor(low / side), F.floor(high / side)
-        balls = balls.withColumn(f"cell{a}", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array(first))))
-        placed = placed.withColumn(f"cell{a}", F.floor(F.col(f"x{a}") / side))
-        cells.append(f"cell{a}")
+    dims = range(dimensions)
+    placed = kd_tree.deal(points, levels, [f"x{i}" for i in dims]).withColumnRenamed("leaf", "cell")
+    balls = kd_tree.reach(probes, levels, [f"p{i}" for i in dims], "radius")
     distance = _squared(dimensions)
     closer = (distance < F.col("own")) | ((distance == F.col("own")) & (F.col("row") < F.col("probe")))
-    return balls.join(placed, cells).where(closer).select(probes.columns).distinct()
+    # a semi join leaves a leaf at the first point that beats the probe
+    return balls.join(placed, (F.col("leaf") == F.col("cell")) & closer, "left_semi").select(probes.columns)
 
 
 def _filled(df: DataFrame, column: str) -> Column:

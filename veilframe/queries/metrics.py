@@ -287,6 +287,33 @@ def linkage_attack_events(spark, sf_dir):
     return rounded(R.linkage_attack(paired_events(spark, sf_dir), ["value", "user_id"], ["event_id"]))
 
 
+ORDERS_SQL = f"""select o_orderkey, price, priority,
+    price + {laplace_sql(u_sql('price', 'o_orderkey'), '1e3 / 5e-1')} as price__noisy,
+    priority + {laplace_sql(u_sql('priority', 'o_orderkey'), '1e-1 / 5e-1')} as priority__noisy
+    from (select o_orderkey, case when o_orderstatus = 'F' then 0e0 else cast(o_totalprice as double) end as price,
+          cast(substr(o_orderpriority, 1, 1) as double) as priority from orders)"""
+
+
+@query(
+    "linkage_attack_skewed",
+    f"select * exclude (success_rate), {r('success_rate')} as success_rate from ({linkage_sql(ORDERS_SQL, ['price', 'priority'], 'o_orderkey')})",
+)
+def linkage_attack_skewed(spark, sf_dir):
+    """Every released order against every original, where many prices are one value and a column has five."""
+    draws = keyed("o_orderkey")
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.expr("case when o_orderstatus = 'F' then 0e0 else cast(o_totalprice as double) end").alias("price"),
+        F.expr("cast(substr(o_orderpriority, 1, 1) as double)").alias("priority"),
+    )
+    paired = df.select(
+        "*",
+        N.laplace(F.col("price"), draws.uniform("price"), 1000.0, 0.5).alias("price__noisy"),
+        N.laplace(F.col("priority"), draws.uniform("priority"), 0.1, 0.5).alias("priority__noisy"),
+    )
+    return rounded(R.linkage_attack(paired, ["price", "priority"], ["o_orderkey"]))
+
+
 def risk_sql(source: str, columns: list[str], numbers: list[str], key: str, qi: list[str]) -> str:
     """`qi` names quasi-identifiers of the release; empty where there are none."""
     k = (
