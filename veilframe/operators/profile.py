@@ -64,6 +64,13 @@ def profile(
         "column",
         column_position(columns).alias("ord"),
         "total_count",
+        *measures_of(total),
+    )
+
+
+def measures_of(total: Column) -> list[Column]:
+    """The shares, numeric statistics and distinct counts of a profile, from counts, limits and sums."""
+    return [
         _share("n_numeric", total).alias("numeric_ratio"),
         _share("n_boolean", total).alias("boolean_ratio"),
         _share("n_string", total).alias("string_ratio"),
@@ -77,7 +84,7 @@ def profile(
         "unique_count",
         _share("unique_count", total).alias("unique_ratio"),
         F.coalesce(F.try_divide("sum_length", "n_string"), F.lit(0.0)).alias("avg_string_length"),
-    )
+    ]
 
 
 def class_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

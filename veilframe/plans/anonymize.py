@@ -33,6 +33,7 @@ from veilframe.operators.profile import (
     infer_types,
     profile,
 )
+from veilframe.operators.profile_state import merged_profile
 from veilframe.operators.risk import risk_report
 from veilframe.operators.utility import NOISY, utility_metrics, utility_summary
 
@@ -171,6 +172,13 @@ def out_type(p: ColumnPlan, dtype: T.DataType) -> T.DataType:
     return T.BooleanType() if p.semantic_type == "boolean" else T.StringType()
 
 
+def _kept_profile(states: DataFrame, profiled: Sequence[str]) -> DataFrame:
+    known = {r["column"] for r in states.select("column").distinct().collect()}  # as wide as the schema
+    if lacking := [c for c in profiled if c not in known]:
+        raise ValueError(f"no state of the columns: {lacking}")
+    return merged_profile(states.where(F.col("column").isin(list(profiled))))
+
+
 def fit(
     df: DataFrame,
     key: Sequence[str],
@@ -194,6 +202,7 @@ def fit(
     noise: KeyedNoise | TaskNoise | None = None,
     keep_unreadable: bool = False,
     release_id: str | None = None,
+    states: DataFrame | None = None,
 ) -> AnonymizationPlan:
     """Learn a release plan from a table.
 
@@ -206,6 +215,8 @@ def fit(
     distinct values, `exact` or `approx`, at every size. `adjust_small` raises an epsilon below 2 to 4
     where a table has fewer than 500 rows. A column that no longer fits the
     budget becomes NULL, stays as it is (`keep`) or stops the run (`error`).
+    `states` are kept profiles of the parts of the table (`profile_state`): types are inferred from them, and
+    the table is not read for its profile; they go before `sample_rows` and `distinct`.
     `release_id` enters every draw; by default it is a fingerprint of the mechanisms, so that the same plan
     repeats its noise and plans that differ anywhere are independent of each other.
     """
@@ -229,7 +240,10 @@ def fit(
     sample = df if sample_rows is None else first_rows(df, key, sample_rows)
     # an identifier is hashed whatever it holds
     profiled = [c for c in names if (overrides or {}).get(c) != "id"]
-    typed = infer_types(profile(sample, profiled, distinct=distinct)) if profiled else None
+    typed = None
+    if profiled:
+        measured = profile(sample, profiled, distinct=distinct) if states is None else _kept_profile(states, profiled)
+        typed = infer_types(measured)
     profiles = collect_profiles(sample, typed, overrides, names)
     types = {c: p.semantic_type for c, p in profiles.items()}
 

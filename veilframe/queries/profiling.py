@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.operators import profile as P
+from veilframe.operators import profile_state as PS
+from veilframe.operators.cells import value_counts
 from veilframe.queries.base import query, r, rounded, table
+from veilframe.session import table_store
 
 # columns of each table by how their cells are read
 CUSTOMER = {"c_custkey": "int", "c_name": "text", "c_nationkey": "int", "c_acctbal": "number", "c_mktsegment": "text"}
@@ -215,3 +218,76 @@ def type_overrides(spark, sf_dir):
     chosen = P.apply_overrides(typed, wanted)
     groups = P.column_groups(chosen)
     return groups.join(chosen.select("column", "ord"), "column").select("column", "ord", "semantic_type", "group")
+
+
+# --- profiles kept per part --------------------------------------------------------------
+
+EVENTS = {"event_id": "int", "user_id": "int", "event_type": "text", "value": "number", "props": "text"}
+
+
+def event_states(spark, sf_dir):
+    """The states of the days of all events, written and read again."""
+    days = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return table_store(spark)(PS.profile_state(days, list(EVENTS), ["day"]), "states")
+
+
+@query(
+    "profile_incremental",
+    f"""select p.*, true as unique_close from (select "column", ord, total_count, {r('numeric_ratio')} as numeric_ratio,
+        {r('string_ratio')} as string_ratio, {r('num_min', 4)} as num_min, {r('num_max', 4)} as num_max, {r('num_mean', 4)} as num_mean,
+        is_integer, {r('num_range', 4)} as num_range, {r('avg_string_length')} as avg_string_length
+        from ({profile_sql('select * from events', EVENTS)})) p""",
+)
+def profile_incremental(spark, sf_dir):
+    """The profile of all events from the states of their days; estimates are held against the exact counts."""
+    merged = PS.merged_profile(event_states(spark, sf_dir))
+    exact = P.profile(table(spark, sf_dir, "events"), list(EVENTS)).select("column", F.col("unique_count").alias("truth"))
+    close = F.abs(F.col("unique_count") - F.col("truth")) <= F.col("truth") * 0.08  # five deviations of the sketch
+    return rounded(rounded(merged.join(exact, "column").select(
+        "column", "ord", "total_count", "numeric_ratio", "string_ratio", "num_min", "num_max", "num_mean", "is_integer",
+        "num_range", "avg_string_length", close.alias("unique_close"),
+    )).withColumns({c: F.round(c, 4) for c in ("num_min", "num_max", "num_mean", "num_range")}))
+
+
+@query(
+    "profile_states_daily",
+    f"""select cast(ts as date) as "day", count(*) as "rows", count(value) as total_count, {r('min(value)', 4)} as num_min,
+        {r('max(value)', 4)} as num_max, {r('sum(value)', 2)} as num_sum from events group by 1""",
+)
+def profile_states_daily(spark, sf_dir):
+    """What is kept of the values of each day."""
+    kept = event_states(spark, sf_dir).where("column = 'value'")
+    return rounded(kept.select("day", "rows", "total_count", F.round("num_min", 4).alias("num_min"),
+                               F.round("num_max", 4).alias("num_max"), F.round("num_sum", 2).alias("num_sum")))
+
+
+@query(
+    "frequent_incremental",
+    """select 'event_type' as "column", event_type as item, count(*) as "count" from events where event_type is not null group by 2""",
+)
+def frequent_incremental(spark, sf_dir):
+    """The frequent values of a column from the states of the days; exact, since the column has few values."""
+    return PS.merged_frequent(event_states(spark, sf_dir).where("column = 'event_type'"), 100)
+
+
+@query(
+    "quantiles_incremental",
+    """select 'value' as "column", unnest([25e-2, 5e-1, 75e-2]) as share, true as within""",
+)
+def quantiles_incremental(spark, sf_dir):
+    """Quartiles from the states of the days, and whether their exact ranks are within 3 % of the rows."""
+    found = PS.merged_quantiles(event_states(spark, sf_dir).where("column = 'value'"))
+    values = value_counts(table(spark, sf_dir, "events"), ["value"]).where("value IS NOT NULL")
+    number = F.col("value_text").cast("double")
+    wide = found.groupBy().pivot("share", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    wide = wide.toDF("q0", "q1", "q2")
+    met = values.withColumnRenamed("value", "value_text").crossJoin(F.broadcast(wide))  # one row
+    low = [F.sum(F.when(number < F.col(f"q{i}"), F.col("n")).otherwise(0)).alias(f"below{i}") for i in range(3)]
+    high = [F.sum(F.when(number <= F.col(f"q{i}"), F.col("n")).otherwise(0)).alias(f"upto{i}") for i in range(3)]
+    ranks = met.agg(F.sum("n").alias("n"), *low, *high)
+    rows = [
+        F.struct(F.lit("value").alias("column"), F.lit(s).alias("share"),
+                 ((F.col(f"below{i}") <= F.col("n") * (s + 0.03)) & (F.col(f"upto{i}") >= F.col("n") * (s - 0.03))).alias("within"))
+        for i, s in enumerate((0.25, 0.5, 0.75))
+    ]
+    return ranks.select(F.inline(F.array(*rows)))
