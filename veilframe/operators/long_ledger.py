@@ -58,7 +58,7 @@ def long_ledger(entries: DataFrame, totals: DataFrame) -> DataFrame:
             ),
             f"state_{len(states)}",
         )
-    every = states[0]
+    every = states[0] if states else state  # no entries, no rounds
     for one in states[1:]:
         every = every.unionByName(one)
     following = Window.partitionBy("dataset").orderBy("round")  # one row per round

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from veilframe.operators import budget as B
 from veilframe.operators import policy as P
 from veilframe.queries.base import query, r, rounded, table
+from veilframe.session import scratch_dir, table_store
+from veilframe.streaming import ledger as SL
 
 _DATASET = "concat('cust_', o_custkey)"
 
@@ -393,9 +395,7 @@ def ledger_violations(spark, sf_dir):
     return B.ledger_violations(entries, totals)
 
 
-@query(
-    "budget_ledger_long",
-    """with e as (select concat('type_', event_type) as dataset, event_id as ord, props as "column", 'release' as operation,
+LONG_LEDGER_SQL = """with e as (select concat('type_', event_type) as dataset, event_id as ord, props as "column", 'release' as operation,
         1 + cast(floor(value * 10) as bigint) as e from events),
         g as (select dataset, list(e order by ord) as es, cast(floor(count(*) * 20) as bigint) as total from e group by 1),
         f as (select dataset, total, list_slice(list_reduce(list_prepend([0::bigint], list_transform(es, lambda x: [x])),
@@ -404,10 +404,11 @@ def ledger_violations(spark, sf_dir):
         n as (select *, row_number() over (partition by dataset order by ord) as i from e)
         select n.dataset, ord, "column", operation, cast(e as double) / 1000000 as epsilon,
         used[i] > case when i = 1 then 0 else used[i - 1] end as admitted, cast(used[i] as double) / 1000000 as used_after,
-        cast(total as double) / 1000000 as total_epsilon from n join f on n.dataset = f.dataset""",
-)
-def budget_ledger_long(spark, sf_dir):
-    """Every event charges the dataset of its type, of which there are five."""
+        cast(total as double) / 1000000 as total_epsilon from n join f on n.dataset = f.dataset"""
+
+
+def _event_charges(spark, sf_dir):
+    """Every event charges the dataset of its type, of which there are five; and what these may spend."""
     events = table(spark, sf_dir, "events")
     entries = events.select(
         F.expr("concat('type_', event_type)").alias("dataset"), F.col("event_id").alias("ord"),
@@ -417,4 +418,43 @@ def budget_ledger_long(spark, sf_dir):
     totals = entries.groupBy("dataset").agg((F.count(F.lit(1)) * 20).alias("n")).select(
         "dataset", (F.col("n").cast("double") / 1000000).alias("total_epsilon")
     )
-    return B.ledger(entries, totals)
+    return entries, totals
+
+
+@query("budget_ledger_long", LONG_LEDGER_SQL)
+def budget_ledger_long(spark, sf_dir):
+    """Every event charges the dataset of its type, in one ledger."""
+    return B.ledger(*_event_charges(spark, sf_dir))
+
+
+def _charged_stream(spark, sf_dir):
+    """The charges of all events, arriving in two parts; the stream is stopped between them and goes on."""
+    entries, totals = _event_charges(spark, sf_dir)
+    stored, folder = table_store(spark), scratch_dir(spark)
+    totals = stored(totals, "totals")
+    middle = entries.agg(F.percentile_approx("ord", 0.5)).first()[0]
+    for name, part in (("first", F.col("ord") <= middle), ("second", F.col("ord") > middle)):
+        entries.where(part).write.parquet(f"{folder}/arriving/{name}")
+        arriving = spark.readStream.schema(entries.schema).parquet(f"{folder}/arriving/*")
+        SL.ledger_stream(arriving, totals, f"{folder}/ledger", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return f"{folder}/ledger", totals
+
+
+@query("stream_ledger", LONG_LEDGER_SQL)
+def stream_ledger(spark, sf_dir):
+    """Charges that arrive in two parts are decided as if they had come at once."""
+    path, _ = _charged_stream(spark, sf_dir)
+    return SL.decisions(spark, path).drop("batch")
+
+
+@query(
+    "stream_ledger_report",
+    f"""select dataset, total_epsilon, {r('used_epsilon')} as used_epsilon, {r('total_epsilon - used_epsilon')} as remaining_epsilon,
+        admitted, skipped, {r('used_epsilon * 1e2 / total_epsilon')} as utilization from (select dataset, total_epsilon,
+        max(used_after) as used_epsilon, count(*) filter (admitted) as admitted, count(*) filter (not admitted) as skipped
+        from ({LONG_LEDGER_SQL}) group by 1, 2)""",
+)
+def stream_ledger_report(spark, sf_dir):
+    """What each dataset has left after the stream."""
+    path, totals = _charged_stream(spark, sf_dir)
+    return rounded(SL.stream_report(spark, path, totals))
