@@ -17,6 +17,7 @@ from veilframe.operators import profile as R
 from veilframe.operators import quality as Q
 from veilframe.operators import risk as K
 from veilframe.operators import utility as U
+from veilframe.plans.anonymize import preprocess_summary
 
 
 def table(spark, values, name="v", kind="double"):
@@ -360,3 +361,17 @@ def test_uniqueness_estimate(spark):
     exact = K.uniqueness(df, ["v"]).first()["uniqueness"]
     assert exact == 0.02
     assert K.uniqueness(df, ["v"], "approx").first()["uniqueness"] == pytest.approx(exact, rel=0.2)
+
+
+def test_quality_report_reads_a_table_twice(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, "x" if i else "12", 1e11 if i == 3 else 1.0) for i in range(9)], "k int, t string, v double").write.parquet(path)
+    df = spark.read.parquet(path)
+    report = Q.quality_report(df, ["k"])
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+    assert (report.first()["warnings"], report.first()["errors"]) == (9, 0)  # eight mixed cells and an extreme one
+    structure = spark.createDataFrame([("error", "column_count", "r", 1)], "severity string, check string, row_key string, found int")
+    fills = {c: I.Imputation(c, "none", 0) for c in df.columns}
+    types = {"k": "count", "t": "string", "v": "numeric"}
+    scores = [preprocess_summary(df, ["k"], types, fills, s).first()["quality_score"] for s in (None, structure)]
+    assert scores == [55, 35]

@@ -14,6 +14,7 @@ from veilframe.operators.profile import first_rows
 
 EXTREME_VALUE = 1e10
 MAX_DETAILS = 20
+TEXT_CLASSES = ("boolean", "numeric", "string")
 
 
 def number_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -38,26 +39,29 @@ def type_mix(
             [], "column string, ord int, expected_class string, differing bigint"
         )
     rows = df if sample_rows is None else first_rows(df, key, sample_rows)
-    ordered = F.struct(*key)
-    aggregates = []
-    known = {}
-    for c in columns:
-        known[c] = _text_class(df, c)
-    for i, c in enumerate(columns):
-        aggregates.append(F.min_by(known[c], F.when(known[c].isNotNull(), ordered)).alias(f"first_{i}"))
-        for kind in ("boolean", "numeric", "string"):
-            aggregates.append(F.count_if(known[c] == kind).alias(f"{kind}_{i}"))
-    wide = rows.agg(*aggregates)
-    fields = {
-        "expected_class": {c: f"first_{i}" for i, c in enumerate(columns)},
-        **{k: {c: f"{k}_{i}" for i, c in enumerate(columns)} for k in ("boolean", "numeric", "string")},
-    }
+    wide = rows.agg(*[measure.alias(name) for name, measure in _mix_measures(df, key, columns).items()])
+    fields = {kind: {c: f"{kind}_{i}" for i, c in enumerate(columns)} for kind in ("first", *TEXT_CLASSES)}
     long = stack_rows(wide, columns, fields)
-    same = F.when(F.col("expected_class") == "boolean", F.col("boolean")).when(
-        F.col("expected_class") == "numeric", F.col("numeric")
-    ).otherwise(F.col("string"))
-    other = F.col("boolean") + F.col("numeric") + F.col("string") - same
-    return long.select("column", "ord", "expected_class", other.alias("differing")).where("differing > 0")
+    return long.select("column", "ord", F.col("first").alias("expected_class"), _differing("").alias("differing")).where(
+        "differing > 0"
+    )
+
+
+def _mix_measures(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> dict[str, Column]:
+    """Aggregates of each text column: the class of its first value, and how many values each class has."""
+    ordered, measures = F.struct(*key), {}
+    for i, c in enumerate(columns):
+        kind = _text_class(df, c)
+        measures[f"first_{i}"] = F.min_by(kind, F.when(kind.isNotNull(), ordered))
+        for name in TEXT_CLASSES:
+            measures[f"{name}_{i}"] = F.count_if(kind == name)
+    return measures
+
+
+def _differing(suffix: str) -> Column:
+    """Values of another class than the first one."""
+    counts = [F.when(F.col(f"first{suffix}") != name, F.col(f"{name}{suffix}")).otherwise(F.lit(0)) for name in TEXT_CLASSES]
+    return F.coalesce(F.when(F.col(f"first{suffix}").isNotNull(), sum(counts[1:], counts[0])), F.lit(0)).cast("bigint")
 
 
 def _text_class(df: DataFrame, c: str) -> Column:
@@ -230,18 +234,17 @@ def quality_report(
     structure: DataFrame | None = None,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row with the score and what it rests on."""
+    """One row with the score and what it rests on: one aggregate over the cells, one over whole rows."""
     columns = list(columns or df.columns)
     numbers = number_columns(df, columns)
     extremes = sum(
         (F.count_if(F.abs(V.to_number(F.col(c), df.schema[c].dataType)) > EXTREME_VALUE) for c in numbers),
         F.lit(0).cast("bigint"),
     )
-    parts = [
-        missing_totals(df, columns, {"extreme": extremes}),
-        type_mix(df, key, columns).agg(F.coalesce(F.sum("differing"), F.lit(0)).alias("mixed")),
-        duplicate_report(df, columns).drop("rows"),
-    ]
+    texts = [c for c in columns if V.is_text(df.schema[c].dataType)]
+    mixed = sum((_differing(f"_{i}") for i in range(len(texts))), F.lit(0).cast("bigint"))
+    cells = missing_totals(df, columns, {"extreme": extremes, **_mix_measures(df, key, texts)})
+    parts = [cells.withColumn("mixed", mixed), duplicate_report(df, columns).drop("rows")]
     if structure is not None:
         parts.append(
             structure.agg(

@@ -278,6 +278,60 @@ def quality_report(spark, sf_dir):
     return rounded(Q.quality_report(df, ["event_id"]))
 
 
+# one short record, some long ones, names that are numbers, balances out of range
+_TEXT_NAME = "case when c_custkey % 1400 = 7 then '4711' else c_name end"
+_TEXT_BALANCE = "case when c_custkey % 2000 = 11 then 5e10 else c_acctbal end"
+_TEXT_LINE = f"""case when c_custkey % 5000 = 1 then concat_ws(';', c_custkey, {_TEXT_NAME}, c_nationkey)
+    else concat_ws(';', c_custkey, {_TEXT_NAME}, c_nationkey, {_TEXT_BALANCE}, c_mktsegment,
+    case when c_custkey % 1000 = 2 then 'surplus' end) end"""
+
+
+def customers_from_text(spark, sf_dir):
+    """Customers written as ragged text and read again with types, and what is wrong with the text."""
+    path = scratch_dir(spark) + "/customers"
+    lines = table(spark, sf_dir, "customer").select(F.expr(_TEXT_LINE).alias(";".join(CUSTOMER_COLUMNS)))
+    lines.write.csv(path, header=True, sep="\x01", quote="", emptyValue="")
+    text = S.read_delimited(spark, path, ";")
+    typed = {"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"}
+    df = text.select([F.col(c).cast(typed.get(c, "string")) for c in CUSTOMER_COLUMNS])
+    return df, S.structure_issues(spark, path, CUSTOMER_COLUMNS, ";")
+
+
+@query(
+    "quality_report_text",
+    f"""with a as (select count(*) as n, 2 * count(*) filter (c_custkey % 5000 = 1) as gone,
+        count(*) filter (c_custkey % 1000 = 2) as long, count(*) filter (c_custkey % 1400 = 7) as mixed,
+        count(*) filter (c_custkey % 2000 = 11) as extreme from customer),
+        b as (select *, gone + long as errors, long + mixed + extreme as warnings from a),
+        c as (select *, cast(100 - 20 * least(errors, 3) - 5 * least(warnings, 10) as integer) as score from b)
+        select n as "rows", 5 as columns, n * 5 as total_cells, cast(0 as integer) as critical, errors, warnings,
+        greatest(score, 0) as quality_score, case when score >= 90 then 'excellent' when score >= 80 then 'good' when score >= 70
+        then 'fair' when score >= 60 then 'poor' else 'critical' end as quality_assessment, gone as total_missing,
+        {r('gone * 1e2 / (n * 5)')} as missing_percentage, n as unique_rows, cast(0 as bigint) as duplicate_rows,
+        0e0 as duplicate_percentage from c""",
+)
+def quality_report_text(spark, sf_dir):
+    """All columns of a text table with its structure findings: errors, mixed cells, extremes, gaps."""
+    df, structure = customers_from_text(spark, sf_dir)
+    return rounded(Q.quality_report(df, ["c_custkey"], structure))
+
+
+@query(
+    "quality_issues_text",
+    f"""with l as (select *, {_TEXT_LINE} as line from customer)
+        select 'error' as severity, 'column_count' as "check", line as row_key, cast(null as varchar) as "column", cast(null as double) as value
+        from l where c_custkey % 5000 = 1 or c_custkey % 1000 = 2
+        union all select 'error', 'missing_columns', line, null, null from l where c_custkey % 5000 = 1
+        union all select 'warning', 'extra_columns', line, null, null from l where c_custkey % 1000 = 2
+        union all select 'warning', 'type_mix', cast(c_custkey as varchar), 'c_name', null from l where c_custkey % 1400 = 7
+        union all select 'warning', 'extreme_value', cast(c_custkey as varchar), 'c_acctbal', 5e10 from l where c_custkey % 2000 = 11""",
+)
+def quality_issues_text(spark, sf_dir):
+    """Every issue of the text table by its row."""
+    df, structure = customers_from_text(spark, sf_dir)
+    return Q.issues(df, ["c_custkey"], structure)
+
+
 # --- imputation -------------------------------------------------------------------------
 
 
