@@ -80,13 +80,18 @@ def test_pruned_to_the_released_columns(customers):
 
 
 def test_attack_joins_on_cells(spark):
+    from veilframe.operators.kd_tree import root, split
     from veilframe.operators.risk import _beaten
 
-    probes = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 0.4, 0)], "probe int, p0 double, p1 double, own double, radius double, level int")
+    probes = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 0.4)], "probe int, p0 double, p1 double, own double, radius double")
     points = spark.createDataFrame([(0.0, 0.0, 2)], "x0 double, x1 double, row int")
-    text = _beaten(probes, points, [-3, 0], [0, 1], 2)._jdf.queryExecution().executedPlan().toString()
-    keys = next(line for line in text.splitlines() if "Join" in line)
-    assert all(name in keys for name in ("level", "cell0", "cell1")) and "Cartesian" not in text and "NestedLoop" not in text
+    level = split(root(points), ["x0", "x1"])
+    for levels in ([], [level], [level, level]):
+        text = _beaten(probes, points, levels, 2)._jdf.queryExecution().executedPlan().toString()
+        keys = next(line for line in text.splitlines() if "Join" in line)
+        assert "leaf" in keys and "cell" in keys and "NestedLoop" not in keys and "Cartesian" not in text
+        # the one node of the first level is met without a key, by points and by probes
+        assert levels or "NestedLoop" not in text
 
 
 def test_first_rows_are_a_top_k(spark, customers):

@@ -5,8 +5,8 @@ A level of the tree is a table (node, axis, cuts). Leaf `n` of one level is spli
 along one axis, so leaves hold like many rows wherever the values lie; where many values are equal,
 fewer cuts remain. The axis of a node is the one with the largest product of spread, without the
 outermost rows, and number of cuts. Both come from one aggregate with mergeable quantile summaries.
-A level is as large as its number of nodes; whether it is broadcast is left to the optimizer, which
-knows the size of the written table. A tree has at most MAX_LEVELS levels, so that leaves stay longs.
+A level is as large as its number of nodes: the first is one row, and whether a later one is broadcast is
+left to the optimizer, which knows the size of the written table. A tree has at most MAX_LEVELS levels, so that leaves stay longs.
 A node that no row was seen of has no cuts and passes everything to its first child.
 """
 

@@ -23,6 +23,8 @@ OUTLIER_THRESHOLD = 2.0
 LEAF_POINTS = 64
 POINTS_PER_CUT = 16
 FEW_LEAVES = 8
+# Shares of the probes in the first round, which has no tree, so that no key holds them all.
+SHARES = 64
 _SLOTS = 2**62
 # Quasi-identifiers looked for where the caller names none.
 QUASI_IDENTIFIERS = ["age", "location", "gender", "occupation"]
@@ -199,9 +201,13 @@ def _sampled(points: DataFrame, share: float) -> DataFrame:
 
 def _beaten(probes: DataFrame, points: DataFrame, levels: Sequence[DataFrame], dimensions: int) -> DataFrame:
     """The probes whose ball holds a point that is nearer than their own, or as near and earlier."""
-    dims = range(dimensions)
-    placed = kd_tree.deal(points, levels, [f"x{i}" for i in dims]).withColumnRenamed("leaf", "cell")
-    balls = kd_tree.reach(probes, levels, [f"p{i}" for i in dims], "radius")
+    if levels:
+        dims = range(dimensions)
+        placed = kd_tree.deal(points, levels, [f"x{i}" for i in dims]).withColumnRenamed("leaf", "cell")
+        balls = kd_tree.reach(probes, levels, [f"p{i}" for i in dims], "radius")
+    else:  # a first sample of some LEAF_POINTS points, which every share of the probes meets
+        placed = points.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        balls = probes.withColumn("leaf", F.pmod(F.xxhash64("probe"), F.lit(SHARES)).cast("int"))
     distance = _squared(dimensions)
     closer = (distance < F.col("own")) | ((distance == F.col("own")) & (F.col("row") < F.col("probe")))
     # a semi join leaves a leaf at the first point that beats the probe
