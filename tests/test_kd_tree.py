@@ -104,3 +104,66 @@ def test_a_round_holds_every_point_once(spark):
     dealt = kd_tree.deal(rows, grown(rows, xs, 2), xs)
     plan = dealt._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Expand" not in plan
+
+
+def counted_reach(monkeypatch):
+    """A list that gets the number of pairs of ball and leaf of each round of an attack."""
+    made, real = [], kd_tree.reach
+
+    def reach(*args):
+        out = real(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(kd_tree, "reach", reach)
+    return made
+
+
+def linked_by_brute_force(values, released):
+    """Ids are positions; an equal distance goes to the smaller one."""
+    scale = np.abs(values).max(axis=0)
+    original, noisy = values / scale, released / scale
+    return sum(int(np.argmin(((original - p) ** 2).sum(axis=1))) == i for i, p in enumerate(noisy))
+
+
+def test_balls_between_lines_of_points_reach_few_leaves(spark, monkeypatch):
+    """A column of five values with noise far wider than that of the other, of which a third is one value; a small tree has many rounds."""
+    monkeypatch.setattr(kd_tree, "FANOUT", 8)
+    for name, value in {"LEAF_POINTS": 8, "POINTS_PER_CUT": 2, "FEW_LEAVES": 1}.items():
+        monkeypatch.setattr(K, name, value)
+    rng = np.random.default_rng(8)
+    n = 12000
+    values = np.stack([rng.uniform(1000, 500000, n).round(2), rng.integers(1, 6, n)], axis=1)
+    values[::3, 0] = 0.0
+    released = values + rng.laplace(0, 1, (n, 2)) * [2000, 0.2]
+    made = counted_reach(monkeypatch)
+    df = frame(spark, np.column_stack([values, released]), ["a", "b", "a__noisy", "b__noisy"])
+    row = K.linkage_attack(df, ["a", "b"], ["id"]).first()
+    assert (row["probes"], row["linked"]) == (n, linked_by_brute_force(values, released))
+    assert len(made) > 1 and max(made) < 2 * n
+
+
+def test_boxes_lose_no_neighbour(spark):
+    xs, ps = ["a", "b", "c"], ["p", "q", "r"]
+    values = skewed(3000, 10)
+    rng = np.random.default_rng(11)
+    centres, radii = values[:150] + rng.normal(0, 0.05, (150, 3)), np.abs(rng.normal(0, 0.1, 150))
+    rows = frame(spark, values, xs)
+    balls = frame(spark, np.column_stack([centres, radii]), [*ps, "radius"]).withColumnRenamed("id", "ball")
+    levels = grown(rows, xs, 3)
+    dealt = kd_tree.deal(rows, levels, xs)
+    low = kd_tree.boxes(dealt, xs)
+    within = [kd_tree.outer(low, 3), low]
+    reached = kd_tree.reach(balls, levels, ps, "radius", within).select("ball", "leaf")
+    met = reached.join(dealt, "leaf").select("ball", "id").collect()
+    found = {(r["ball"], r["id"]) for r in met}
+    assert len(found) == len(met)
+    near = np.argwhere(((centres[:, None] - values[None]) ** 2).sum(-1) <= (radii ** 2)[:, None])
+    assert {(int(b), int(i)) for b, i in near} <= found
+    assert reached.count() <= kd_tree.reach(balls, levels, ps, "radius").count()
+
+
+def test_rows_without_a_key_are_never_beaten(spark):
+    df = spark.sql("select if(id % 4 = 0, null, id) as k, cast(id % 10 as double) as x, cast(id % 10 as double) as x__noisy from range(400)")
+    # of the ten values, the even ones have rows without a key; one keyed row of each value is first
+    assert K.linkage_attack(df, ["x"], ["k"]).first()[:2] == (400, 110)

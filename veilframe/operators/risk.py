@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +22,6 @@ OUTLIER_THRESHOLD = 2.0
 LEAF_POINTS = 64
 POINTS_PER_CUT = 16
 FEW_LEAVES = 8
-# Shares of the probes in the first round, which has no tree, so that no key holds them all.
-SHARES = 64
 _SLOTS = 2**62
 # Quasi-identifiers looked for where the caller names none.
 QUASI_IDENTIFIERS = ["age", "location", "gender", "occupation"]
@@ -135,53 +132,69 @@ def linkage_attack(
     Of equal originals only the earliest can matter, so they become one point.
 
     The probes meet a keyed sample of the points, those that are left a larger one, and the last of
-    them every point. A k-d tree over the sample (`kd_tree`) gains a level each round, more where
-    columns of few values allow few cuts, so a leaf always holds about as many points; every point is
-    dealt to one leaf and a probe goes to the leaves its ball may reach. A ball that holds none of m
-    sampled points is expected to hold few of the next sample, so it reaches few leaves. Rows of equal
-    keys are told apart by their values.
+    them every point. A point that many rows share is sampled early, so its probes do not stay. A k-d tree
+    over the sample (`kd_tree`) gains a level each round, more where columns of few values allow few cuts, so
+    a leaf always holds about as many points; every point is dealt to one leaf. A probe first meets the leaf
+    it lies in, which beats most; the others go to the leaves their ball may reach. A ball that holds none of
+    m sampled points is expected to hold few of the next sample, and its gaps are counted to where the points
+    of a node lie, so it reaches few leaves. Rows of equal keys are told apart by their values; a row without
+    a key is never beaten.
     """
     if not columns:
         raise ValueError("the attack needs at least one numeric column")
     dims = range(len(columns))
     o = {c: _filled(paired, c) for c in columns}
-    row = paired.agg(*[F.max(F.abs(o[c])).alias(f"max_{i}") for i, c in enumerate(columns)]).first()
+    # one key is a plain column, whose minimum a hash aggregate keeps
+    order = F.col(key[0]) if len(key) == 1 else F.struct(*key)
+    sizes = [F.count(F.lit(1)).alias("rows"), F.count(order).alias("keyed")]
+    row = paired.agg(*sizes, *[F.max(F.abs(o[c])).alias(f"max_{i}") for i, c in enumerate(columns)]).first()
     scale = [row[f"max_{i}"] or 1.0 for i in dims]
 
     stored = table_store(paired.sparkSession)
-    # one key is a plain column, whose minimum a hash aggregate keeps
-    order = F.col(key[0]) if len(key) == 1 else F.struct(*key)
     x_names, p_names = [f"x{i}" for i in dims], [f"p{i}" for i in dims]
     xs = [(o[c] / F.lit(s)).alias(x) for x, c, s in zip(x_names, columns, scale)]
     ps = [(_filled(paired, c + NOISY) / F.lit(s)).alias(p) for p, c, s in zip(p_names, columns, scale)]
     located = paired.select(order.alias("row"), *xs)
-    points = stored(located.groupBy(*x_names).agg(F.min("row").alias("row")), "points")
+    points = stored(located.groupBy(*x_names).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "points")
     total = points.count()  # from the footers of the written table
+    usual = row["rows"] / max(total, 1)
     chosen = paired if probes is None else first_rows(paired, key, probes)
-    radius = F.least(F.sqrt("own") * (1 + 1e-9) + 1e-12, F.lit(1e150))  # a margin far above rounding
-    left = stored(
+    asked = row if probes is None else chosen.agg(*sizes).first()
+    identity = ["probe", *p_names, "own"]
+    left = (
         chosen.select(order.alias("probe"), *xs, *ps).withColumn("own", _squared(len(columns)))
-        .select("probe", *p_names, "own", radius.alias("radius")),
-        "probes_0",
+        .select(*identity).where(F.col("probe").isNotNull())
     )
-    own, identity = left, left.columns
+    closer = _closer(len(columns))
     levels: list[DataFrame] = []
-    size, finished = LEAF_POINTS, False
-    for turn in itertools.count(1):
+    size, leaves = LEAF_POINTS, 1
+    for turn in itertools.count(0):
+        finished = total <= 2 * size
+        size = min(size, total) if finished else size
+        sample = points if finished else _sampled(points, x_names, size / total, usual)
+        if turn == 0:
+            # some LEAF_POINTS points, which go to every task
+            left = stored(left.join(F.broadcast(sample), closer, "left_anti"), "probes_0")
+        else:
+            # a few points per cut are enough to place it
+            few = _sampled(points, x_names, POINTS_PER_CUT / LEAF_POINTS * size / total, usual)
+            before = 0
+            # one level a round, more where columns of few values allow few cuts
+            while not levels or leaves * FEW_LEAVES * LEAF_POINTS < size and leaves >= 2 * before and len(levels) < kd_tree.MAX_LEVELS:
+                levels.append(stored(kd_tree.split(kd_tree.deal(few, levels, x_names), x_names), f"level_{len(levels)}"))
+                leaves, before = kd_tree.leaves(levels[-1]), leaves
+            placed = stored(kd_tree.deal(sample.drop("copies"), levels, x_names), f"points_{turn}")
+            if not finished:
+                left = stored(_unbeaten_at_home(left, placed, levels, p_names), f"home_{turn}")
+            within = _boxes(placed, len(levels), x_names, stored, turn)
+            left = stored(left.join(_beaten(left, placed, levels, p_names, within), identity, "left_anti"), f"probes_{turn}")
         if finished or left.isEmpty():
             break
-        finished = total <= 2 * size
-        sample = points if finished else _sampled(points, size / total)
-        # a few points per cut are enough to place it
-        few = _sampled(points, POINTS_PER_CUT / LEAF_POINTS * size / total)
-        leaves, before = 1 if turn == 1 else 0, 0
-        # one level a round, more where columns of few values allow few cuts
-        while leaves * FEW_LEAVES * LEAF_POINTS < size and leaves >= 2 * before and len(levels) < kd_tree.MAX_LEVELS:
-            levels.append(stored(kd_tree.split(kd_tree.deal(few, levels, x_names), x_names), f"level_{len(levels)}"))
-            leaves, before = kd_tree.leaves(levels[-1]), leaves
-        left = stored(left.join(_beaten(left, sample, levels, len(columns)), identity, "left_anti"), f"probes_{turn}")
         size *= kd_tree.FANOUT
-    counts = one_row(own.agg(F.count(F.lit(1)).alias("probes")), left.agg(F.count(F.lit(1)).alias("linked")))
+    counts = left.agg(
+        F.lit(asked["rows"]).cast("bigint").alias("probes"),
+        (F.count(F.lit(1)) + F.lit(asked["rows"] - asked["keyed"])).alias("linked"),
+    )
     rate = F.coalesce(F.try_divide(F.col("linked") * 100.0, F.col("probes")), F.lit(0.0))
     return counts.select(
         "probes",
@@ -192,26 +205,45 @@ def linkage_attack(
     )
 
 
-def _sampled(points: DataFrame, share: float) -> DataFrame:
-    """A keyed sample of about this share of the points; the smaller one lies within the larger."""
+def _sampled(points: DataFrame, x_names: Sequence[str], share: float, usual: float) -> DataFrame:
+    """A keyed sample of about this share of the points, more of those with more copies than usual; the smaller one lies within the larger."""
     if share >= 1:
         return points
-    return points.where(F.pmod(F.xxhash64("row"), F.lit(_SLOTS)) < F.lit(math.ceil(share * _SLOTS)))
+    slot = F.pmod(F.xxhash64("row", *x_names), F.lit(_SLOTS))
+    return points.where(slot < F.lit(share * _SLOTS) * F.greatest(F.lit(1.0), F.col("copies") / F.lit(usual)))
 
 
-def _beaten(probes: DataFrame, points: DataFrame, levels: Sequence[DataFrame], dimensions: int) -> DataFrame:
-    """The probes whose ball holds a point that is nearer than their own, or as near and earlier."""
-    if levels:
-        dims = range(dimensions)
-        placed = kd_tree.deal(points, levels, [f"x{i}" for i in dims]).withColumnRenamed("leaf", "cell")
-        balls = kd_tree.reach(probes, levels, [f"p{i}" for i in dims], "radius")
-    else:  # a first sample of some LEAF_POINTS points, which every share of the probes meets
-        placed = points.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        balls = probes.withColumn("leaf", F.pmod(F.xxhash64("probe"), F.lit(SHARES)).cast("int"))
+def _boxes(placed: DataFrame, depth: int, x_names: Sequence[str], stored, turn: int) -> list[DataFrame]:
+    """The boxes of the nodes below each level but the last, the first level first."""
+    out: list[DataFrame] = []
+    for above in range(1, depth):
+        up = kd_tree.outer(out[0], len(x_names)) if out else kd_tree.boxes(placed, x_names)
+        out.insert(0, stored(up, f"boxes_{turn}_{above}"))
+    return out
+
+
+def _closer(dimensions: int) -> Column:
+    """Whether a point is nearer to a probe than its own, or as near and earlier."""
     distance = _squared(dimensions)
-    closer = (distance < F.col("own")) | ((distance == F.col("own")) & (F.col("row") < F.col("probe")))
+    return (distance < F.col("own")) | ((distance == F.col("own")) & (F.col("row") < F.col("probe")))
+
+
+def _unbeaten_at_home(probes: DataFrame, placed: DataFrame, levels: Sequence[DataFrame], p_names: Sequence[str]) -> DataFrame:
+    """The probes that no point of the leaf they lie in beats; no probe is copied."""
+    home = kd_tree.deal(probes, levels, p_names)
+    cell = placed.withColumnRenamed("leaf", "cell")
+    return home.join(cell, (F.col("leaf") == F.col("cell")) & _closer(len(p_names)), "left_anti").drop("leaf")
+
+
+def _beaten(
+    probes: DataFrame, placed: DataFrame, levels: Sequence[DataFrame], p_names: Sequence[str], within: Sequence[DataFrame]
+) -> DataFrame:
+    """The probes whose ball holds a point that is nearer than their own, or as near and earlier."""
+    radius = F.least(F.sqrt("own") * (1 + 1e-9) + 1e-12, F.lit(1e150))  # a margin far above rounding
+    balls = kd_tree.reach(probes.withColumn("radius", radius), levels, p_names, "radius", within)
+    cell = placed.withColumnRenamed("leaf", "cell")
     # a semi join leaves a leaf at the first point that beats the probe
-    return balls.join(placed, (F.col("leaf") == F.col("cell")) & closer, "left_semi").select(probes.columns)
+    return balls.join(cell, (F.col("leaf") == F.col("cell")) & _closer(len(p_names)), "left_semi").select(probes.columns)
 
 
 def _filled(df: DataFrame, column: str) -> Column:
