@@ -160,6 +160,27 @@ def test_pieces_of_any_size_give_the_same_ids(library, monkeypatch, size, around
         assert [got[w.encode()] for w in words] == [library.encode_ordinary(w) for w in words]
 
 
+def test_new_words_are_learned_some_at_a_time(library, monkeypatch):
+    rng = random.Random(5)
+    made = bpe.Codec(PATH, PATTERN, remembered=1)
+    sizes, learn = [], made.learn
+    monkeypatch.setattr(made, "learn", lambda words: (sizes.append(len(words)), learn(words)))
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(9, 300 if k % 50 == 0 else 14))) for k in range(1500)) for _ in range(2)]
+    assert made.encode(texts) == [" ".join(map(str, library.encode_ordinary(t))).encode() for t in texts]
+    assert sum(sizes) > 2500 and max(sizes) < 2000
+
+
+def test_workers_keep_no_database_between_texts(library, monkeypatch):
+    monkeypatch.setattr(bpe, "per_text", lambda docs, key, text, fields, run: run)
+    encode, both = bpe.encode(None, PATH, PATTERN), bpe.round_trip(None, PATH, PATTERN)
+    for text in ("abqxzé abqxzéé", "abqxzé zzyqqx"):  # the second time some words are known
+        digest = hashlib.sha256(" ".join(map(str, library.encode_ordinary(text))).encode()).hexdigest()
+        assert encode([text.encode()])[1] == [digest]
+        assert both([text.encode()])[1:] == [[digest], [hashlib.sha256(text.encode()).hexdigest()]]
+        for own in (bpe.codec(PATH, PATTERN), bpe.codec(PATH, PATTERN, bpe.REMEMBERED)):
+            assert "abqxzéé" in "".join(own.words) and "con" not in vars(own)
+
+
 @pytest.mark.parametrize("size", [300, 1000, 3000, 100_000])
 def test_bpe_is_no_slower_for_long_words(size):
     rng = random.Random(size)

@@ -15,14 +15,18 @@ piece, twice as many in each round, and the borders of that piece are tested in
 
 Defined cases: NULL is the empty text, which has no ids. Repeated rows and keys are encoded each for themselves. Other columns
 are not read. Texts are cut for memory only between documents, never inside. An id outside the vocabulary fails the decoding.
+
+Memory of a worker: equal parts of texts are one string, new words are learned some at a time, shorter ones first, and after each piece of a
+task DuckDB is closed and free memory goes back to the system, since Spark keeps the worker for later stages. The words stay.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import duckdb
 import numpy as np
@@ -36,6 +40,8 @@ from veilframe.llm.common import per_text
 
 #: Words that a worker remembers; beyond that only those of the present texts stay. More words take more memory and less time.
 REMEMBERED = 200_000
+#: Unknown parts of texts that are split and encoded at once: that share of the remembered words, LEAST at least. Fewer take more time and less memory.
+SHARE, LEAST = 5, 1000
 #: Bytes beyond which a word is encoded in pieces, and bytes of such a piece.
 LONG, PIECE = 256, 48
 #: Squares of the lengths of words that are encoded at once.
@@ -69,7 +75,7 @@ class Codec:
     """The vocabulary of one rank file in an in-process DuckDB, and the words met so far."""
 
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
+        self.remembered, self.learned = remembered, max(LEAST, remembered // SHARE)
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
@@ -77,16 +83,32 @@ class Codec:
         self.whole = {w.decode(): b"%d" % r for w, r in ranks.items() if _is_text(w)}
         self.words = dict(self.whole)  # a word that is a token is encoded as that token
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        con = self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         made = [(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
         a, b, merged = np.array(made, np.int64).T
-        made = pa.table({"pair": (a << 20) | b, "merged": merged.astype(np.int32)})
+        self.merges = pa.table({"pair": (a << 20) | b, "merged": merged.astype(np.int32)})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = list(map(len, ranks))
-        con.register("made", made)
-        con.execute("CREATE TABLE merges AS SELECT * FROM made")
-        con.register("names", pa.table({"tok": np.array(list(ranks.values()), np.int32), "hex": [w.hex() for w in ranks]}))
-        con.execute("CREATE TABLE vocab AS SELECT * FROM names")
+        self.vocab = pa.table({"tok": np.array(list(ranks.values()), np.int32), "hex": [w.hex() for w in ranks]})
+
+    @cached_property
+    def con(self) -> duckdb.DuckDBPyConnection:
+        """The database with the merge table and the vocabulary, opened when it is needed."""
+        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        for name, rows in (("merges", self.merges), ("vocab", self.vocab)):
+            con.register("made", rows)
+            con.execute(f"CREATE TABLE {name} AS SELECT * FROM made")
+            con.unregister("made")
+        return con
+
+    def rest(self) -> None:
+        """Close the database and give free memory back to the system; the words stay known."""
+        if "con" in self.__dict__:
+            self.con.close()
+            del self.con
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
@@ -176,18 +198,20 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The decimal ids of each text, joined by one space."""
-        split = [self.parts(t) for t in texts]
-        met = set().union(*split)
+        one: dict[str, str] = {}
+        split = [list(map(one.setdefault, s, s)) for s in map(self.parts, texts)]
         if len(self.words) > self.remembered:
-            self.words = {w: self.words[w] for w in met.intersection(self.words)} | self.whole
+            self.words = {w: self.words[w] for w in one.keys() & self.words.keys()} | self.whole
         known = self.words
-        new = {p: self.split(p) for p in met.difference(known)}
-        words = {w for s in new.values() for w in s}.difference(known)
-        if words:
-            self.learn(sorted(words))
-        for part, made in new.items():
-            if len(made) != 1:
-                known[part] = b" ".join([known[w] for w in made])
+        unknown = sorted(one.keys() - known.keys(), key=len)  # a round of the query costs the same for few words, and long ones need many
+        for at in range(0, len(unknown), self.learned):
+            new = {p: self.split(p) for p in unknown[at : at + self.learned]}
+            words = {w for s in new.values() for w in s}.difference(known)
+            if words:
+                self.learn(sorted(words, key=len))
+            for part, made in new.items():
+                if len(made) != 1:
+                    known[part] = b" ".join([known[w] for w in made])
         return [b" ".join(filter(None, map(known.__getitem__, s))) for s in split]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -228,6 +252,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(texts: list[bytes]) -> list:
         made, ids, sizes = encoded_texts(texts, path, pattern)
+        codec(path, pattern).rest()
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids))
         return [pa.array(sizes), [hashlib.sha256(m).hexdigest() for m in made], lists]
 
@@ -255,6 +280,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             first = sizes[:start].sum()
             decoded = codec(*own).decode(ids[first : first + sizes[start:end].sum()], sizes[start:end])
             digests += [hashlib.sha256(d).hexdigest() for d in decoded]
+        codec(*own).rest()
         return [pa.array(sizes), [hashlib.sha256(m).hexdigest() for m in made], digests]
 
     return per_text(docs, key, text, DIGESTS, run)
@@ -274,6 +300,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into:
                 sizes = np.diff(lists.offsets.to_numpy())
                 values = lists.flatten().to_numpy(zero_copy_only=False)
                 texts = codec(path, pattern).decode(values, sizes)
+                codec(path, pattern).rest()
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in rest], pa.array(texts, pa.binary())], names)
 
     return source.mapInArrow(run, out)
